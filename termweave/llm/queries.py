@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from termweave.llm import chat
+from termweave.llm import chat, line_labels
 
-QUERIES = {"op9_chat_format": chat.op9_chat_format}
-ORACLES = {"op9_chat_format": chat.OP9_SQL}
+QUERIES = {
+    "op9_chat_format": chat.op9_chat_format,
+    "op10_quality_rules": line_labels.op10_quality_rules,
+}
+ORACLES = {
+    "op9_chat_format": chat.OP9_SQL,
+}
