@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from termweave.llm import chat, line_labels
+from termweave.llm import chat, line_labels, pii
 
 QUERIES = {
+    "op6_pii": pii.op6_pii,
     "op9_chat_format": chat.op9_chat_format,
     "op10_quality_rules": line_labels.op10_quality_rules,
 }
 ORACLES = {
+    "op6_pii": pii.OP6_SQL,
     "op9_chat_format": chat.OP9_SQL,
 }
