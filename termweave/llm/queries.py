@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from termweave.llm import chat, line_labels, mixing, pii
+from termweave.llm import chat, line_labels, mixing, pii, warc
 
 QUERIES = {
+    "op4_warc": warc.op4_warc,
     "op5_mixing": mixing.op5_mixing,
     "op6_pii": pii.op6_pii,
     "op9_chat_format": chat.op9_chat_format,
     "op10_quality_rules": line_labels.op10_quality_rules,
 }
 ORACLES = {
+    "op4_warc": warc.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op6_pii": pii.OP6_SQL,
     "op9_chat_format": chat.OP9_SQL,
