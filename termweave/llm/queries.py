@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from termweave.llm import chat, line_labels, mixing, pii, warc
+from termweave.llm import chat, line_labels, mixing, pii, token_counts, warc
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op4_warc": warc.op4_warc,
     "op5_mixing": mixing.op5_mixing,
     "op6_pii": pii.op6_pii,
@@ -12,6 +13,7 @@ QUERIES = {
     "op10_quality_rules": line_labels.op10_quality_rules,
 }
 ORACLES = {
+    "op1_token_counts": token_counts.OP1_SQL,
     "op4_warc": warc.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op6_pii": pii.OP6_SQL,
