@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from termweave.llm import chat, decontaminate, line_labels, mixing, pii, token_counts, warc
+from termweave.llm import chat, decontaminate, line_labels, mixing, pii, quality, token_counts, warc
 
 QUERIES = {
+    "op3_quality": quality.op3_quality,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op1_token_counts": token_counts.op1_token_counts,
     "op4_warc": warc.op4_warc,
