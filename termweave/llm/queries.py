@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from termweave.llm import chat, decontaminate, line_labels, mixing, pii, quality, token_counts, warc
+from termweave.llm import chat, decontaminate, line_dedup, line_labels, mixing, pii, quality, token_counts, warc
 
 QUERIES = {
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op3_quality": quality.op3_quality,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_quality_rules": line_labels.op10_quality_rules,
 }
 ORACLES = {
+    "op7_line_dedup": line_dedup.OP7_SQL,
     "op1_token_counts": token_counts.OP1_SQL,
     "op4_warc": warc.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
