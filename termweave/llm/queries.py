@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from termweave.llm import chat, decontaminate, line_dedup, line_labels, mixing, pii, quality, token_counts, warc
+from termweave.llm import chat, decontaminate, line_dedup, line_labels, mixing, near_dedup, pii, quality, token_counts, warc
 
 QUERIES = {
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op3_quality": quality.op3_quality,
     "op8_decontaminate": decontaminate.op8_decontaminate,
