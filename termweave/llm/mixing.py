@@ -80,6 +80,11 @@ def targets(by_source: DataFrame) -> DataFrame:
     return at.select("skey", "size", "n", "target", "block", F.round(F.col("total") / F.col("block")).cast("long").alias("seats"), F.ceil(F.col("size") / SHARD_WORDS).cast("long").alias("shards"))
 
 
+def source_key() -> Column:
+    """The source, with null behind all others."""
+    return F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
+
+
 def hashed(doc_id: Column) -> Column:
     """Seeded hash text of a document id."""
     return F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
@@ -99,10 +104,12 @@ def taken_words(start: Column, size: Column, run: Column, take: Column, first: C
     return passes * size + overlap(first, F.least(first + rest, run)) + overlap(F.lit(0), first + rest - run)
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with size, source_size, target and taken."""
+def mix(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of each row of ``docs``. With ``carry``,
+    the columns of ``docs`` come first; rows that agree in doc_id, source and size then get
+    the least taken of them."""
     spark = docs.sparkSession
-    sized = stage(docs.select("doc_id", F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source")).alias("skey"), n_words("text").alias("size")), "mix-sizes")
+    sized = stage(docs.select("doc_id", source_key().alias("skey"), n_words("text").alias("size")), "mix-sizes")
     by_source = stage(targets(sized.groupBy("skey").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))), "mix-targets")
     quotas = stage(apportion(by_source, [], "skey", "target", "seats").select("skey", F.col("size").alias("source_size"), "n", "target", "block", "quota", "shards"), "mix-quotas")
     n_rows = sized.count()
@@ -117,7 +124,15 @@ def mix(docs: DataFrame) -> DataFrame:
     laid = placed.withColumn("start", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     both = laid.join(shards, (laid["skey"] == shards["k"]) & (laid["shard"] == shards["s"]))
     taken = F.when(F.col("run") > 0, taken_words(F.col("start"), F.col("size"), F.col("run"), F.col("take"), F.col("first"))).otherwise(F.lit(0))
-    return both.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    out = both.select("doc_id", "skey", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    if not carry:
+        return out.drop("skey")
+    once = stage(out.groupBy("doc_id", "skey", "size").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.min("taken").alias("taken")), "mix-taken")
+    mine = once.select(F.col("doc_id").alias("__d"), F.col("skey").alias("__k"), F.col("size").alias("__s"), "size", "source_size", "target", "taken")
+    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    rows = docs.withColumns({"__k2": source_key(), "__s2": n_words("text")}).select(*names, "__k2", "__s2")
+    both = rows.join(mine, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__k2") == F.col("__k")) & (F.col("__s2") == F.col("__s")))
+    return both.select(*names, "size", "source_size", "target", "taken")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

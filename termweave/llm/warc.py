@@ -48,14 +48,12 @@ def byte_len(text: Column) -> Column:
 
 def chunked(payload: Column) -> Column:
     """The payload in chunked transfer framing: chunks of CHUNK code points."""
-    n = F.ceil(F.length(payload) / CHUNK).cast("int")
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    parts = F.regexp_extract_all(payload, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
 
-    def one(k: Column) -> Column:
-        part = F.substr(payload, k * CHUNK + 1, F.lit(CHUNK))
+    def one(part: Column) -> Column:
         return F.concat(F.lower(F.hex(byte_len(part))), F.lit(CRLF), part, F.lit(CRLF))
 
-    return F.concat(F.array_join(F.transform(starts, one), ""), F.lit("0" + CRLF + CRLF))
+    return F.concat(F.array_join(F.transform(parts, one), ""), F.lit("0" + CRLF + CRLF))
 
 
 def header(*fields: tuple[str, Column]) -> Column:
@@ -88,10 +86,9 @@ def records(decided: DataFrame) -> DataFrame:
     # the url goes into one header line
     url = F.regexp_replace("url", r"[\r\n]", "%0A")
     rows = decided.select("page_id", "digest", "bytes", "record_type", "refers_to", url.alias("url"), name.alias("name"), block.alias("block"))
-    parts = F.ceil(F.length("block") / SEGMENT).cast("int")
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), parts))).withColumn("parts", parts)
-    part = F.substr(F.col("block"), (F.col("k") - 1) * SEGMENT + 1, F.lit(SEGMENT))
-    rows = rows.withColumns({"part": part, "total": byte_len(F.col("block"))})
+    cut = F.regexp_extract_all("block", F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0))
+    rows = rows.withColumns({"cut": cut, "total": byte_len(F.col("block"))}).drop("block")
+    rows = rows.select("*", F.size("cut").alias("parts"), F.posexplode("cut").alias("k", "part")).drop("cut").withColumn("k", F.col("k") + 1)
     none = F.lit("")
 
     def line(key: str, value: Column, when: Column) -> Column:
