@@ -13,13 +13,13 @@ Coordinates are banded (``BANDS`` of ``ROWS``); texts that share a band meet in
 
 1. Equal texts are one node; only different texts are compared.
 2. Hub round: each node is compared with the least node of each of its buckets.
-3. Buckets that still hold nodes of different components are searched by signature, in
-   blocks of ``BLOCK`` by ``BLOCK`` nodes, so that no task holds a bucket. Of each pair of
-   components in a block the ``TRIES`` most similar pairs go to the check, more in later
-   rounds, all in the last. So every pair that shares a band and could reach the threshold
-   is either checked or inside one component already; pairs are not emitted for their own
-   sake, and a large group of near copies costs about as many pairs as it has members.
-4. The check is exact: the shingle multisets themselves are compared.
+3. Buckets that still hold nodes of several components are searched in blocks: the nodes
+   outside the component of the bucket's hub, ``BLOCK`` at a time, against all nodes of the
+   bucket, ``WIDE`` at a time, so that no task holds a bucket and a large group of near copies
+   costs its size times its stragglers. A task compares signatures, then shingles, takes a
+   pair only in the first band that it shares, skips nodes that it has connected already and gives only the links that connect two components; pairs are not emitted.
+4. Every link comes from a comparison of the shingle multisets themselves, as sets of 32-bit
+   numbers, which moves a similarity by the share words / 2**32 at most.
 
 Links of ``THRESHOLD`` or more make classes, their connected components; a class is named
 by its least doc_id. A pair of similarity 0.8 shares no band with chance (1 - 0.8**5)**20,
@@ -51,8 +51,7 @@ K = BANDS * ROWS
 DARTS = K * (np.log(K) + 4)
 #: Signatures keep 8 bits of a coordinate; estimates under this are not checked.
 LEAST_ESTIMATE = 0.64
-BLOCK = 256
-TRIES = (4, 64, None)
+BLOCK, WIDE = 256, 1024
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 CACHE = 500_000
 BATCH_CELLS = 100_000
@@ -141,7 +140,8 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard index of two sorted arrays of distinct cells."""
     if not len(a) or not len(b):
         return 0.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    every = np.sort(np.concatenate([a, b]), kind="stable")
+    both = int((every[1:] == every[:-1]).sum())
     return both / (len(a) + len(b) - both)
 
 
@@ -221,7 +221,7 @@ def check(pairs: DataFrame, cells: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (map(lambda s: np.frombuffer(s.as_py(), dtype=np.uint64), batch.column(k)) for k in (2, 3))
+            x, y = (map(lambda s: np.frombuffer(s.as_py(), dtype=np.uint32), batch.column(k)) for k in (2, 3))
             good = [similarity(p, q) >= THRESHOLD for p, q in zip(x, y)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
@@ -244,75 +244,69 @@ def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]
         yield held
 
 
-def cross_pairs(rows: list[tuple], tries: int | None) -> Iterator[tuple[bytes, bytes]]:
-    """Pairs of one block, (key, p, q, own, node, comp, sig) rows, of different components
-    and of high estimates; of each two components the best ``tries``."""
-    p, q = rows[0][1], rows[0][2]
-    names = [r[4] for r in rows]
-    _, comp = np.unique(np.array([r[5] for r in rows], dtype=object), return_inverse=True)
-    if comp.max(initial=0) == 0:
+def block_links(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+    """Links between different components in one block of (key, p, q, all, node, comp, outside,
+    sig, bands, cells) rows: those with ``all`` = 0 against those with ``all`` = 1."""
+    key = rows[0][0]
+    mine, every = [r for r in rows if not r[3]], [r for r in rows if r[3]]
+    if not mine or not every:
         return
-    sig = np.frombuffer(b"".join(r[6] for r in rows), dtype=np.uint8).reshape(-1, K)
-    own = np.array([r[3] for r in rows])
-    at_i, at_j, score = [], [], []
-    for i in range(len(rows) - 1):
-        if p != q and own[i] != p:
+    parent: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    sig, bands = (np.array([np.frombuffer(r[7], dtype=np.uint8) for r in every]), np.array([r[8] for r in every]))
+    cells = [np.frombuffer(r[9], dtype=np.uint32) for r in every]
+    sizes, outside = np.array([len(c) for c in cells]), np.array([r[6] for r in every])
+    nodes, comps = [r[4] for r in every], [r[5] for r in every]
+    for _, _, _, _, node, comp, _, own_sig, own_bands, own_cells in mine:
+        e = estimate(np.frombuffer(own_sig, dtype=np.uint8), sig)
+        own = np.frombuffer(own_cells, dtype=np.uint32)
+        close = (e >= LEAST_ESTIMATE) & (np.minimum(sizes, len(own)) >= THRESHOLD * np.maximum(sizes, len(own)))
+        at = np.flatnonzero(close)
+        if not len(at):
             continue
-        j = np.flatnonzero((own == q) & (comp != comp[i])) if p != q else i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
-        if len(j):
-            e = estimate(sig[i], sig[j])
-            good = e >= LEAST_ESTIMATE
-            at_i.append(np.full(good.sum(), i))
-            at_j.append(j[good])
-            score.append(e[good])
-    if p != q and own[-1] == p and len(rows) > 1:
-        j = np.flatnonzero((own == q) & (comp != comp[-1]))
-        e = estimate(sig[-1], sig[j])
-        good = e >= LEAST_ESTIMATE
-        at_i.append(np.full(good.sum(), len(rows) - 1))
-        at_j.append(j[good])
-        score.append(e[good])
-    if not at_i:
-        return
-    i, j, e = np.concatenate(at_i), np.concatenate(at_j), np.concatenate(score)
-    if tries is not None and len(i):
-        two = np.minimum(comp[i], comp[j]) * (comp.max() + 1) + np.maximum(comp[i], comp[j])
-        order = np.lexsort((j, i, -e, two))
-        two = two[order]
-        first = np.concatenate([[True], two[1:] != two[:-1]])
-        at = np.arange(len(two))
-        place = at - np.maximum.accumulate(np.where(first, at, 0))
-        keep = order[place < tries]
-        i, j = i[keep], j[keep]
-    for x, y in zip(i.tolist(), j.tolist()):
-        yield (names[x], names[y]) if names[x] < names[y] else (names[y], names[x])
-
-
-def candidates(members: DataFrame, comps: DataFrame, nodes: DataFrame, tries: int | None) -> DataFrame:
-    """Distinct pairs of nodes that share a bucket, lie in different components and may be
-    similar. ``members`` is (key, node, n), ``comps`` (node, comp) of linked nodes."""
-    named = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = stage(named, "near-named")
+        shared = bands[at] == np.array(own_bands)
+        first = bands[at, shared.argmax(axis=1)] == key
+        for j in at[first][np.argsort(-e[at[first]], kind="stable")].tolist():
+            # two nodes outside meet twice; the smaller one asks
+            if outside[j] and nodes[j] <= node or find(comps[j]) == find(comp):
+                continue
+            if similarity(own, cells[j]) >= THRESHOLD:
+                parent[find(comp)] = find(comps[j])
+                yield (node, nodes[j]) if node < nodes[j] else (nodes[j], node)
+
+
+def search_buckets(members: DataFrame, comps: DataFrame, nodes: DataFrame, cells: DataFrame) -> DataFrame:
+    """Links (a, b) that connect components within buckets. ``members`` is (key, node, hub),
+    ``comps`` (node, comp) of linked nodes."""
+    named = stage(members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "near-named")
     # buckets of one component have nothing to add
-    open_keys = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    live = named.join(open_keys, "key", "left_semi")
-    live = stage(live.join(nodes.select("node", "sig"), "node"), "near-open")
-    unstage(named)
-    n = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
-    rows = live.select("key", "comp", "node", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
-    rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "comp", "sig")
+    main = F.max(F.when(F.col("node") == F.col("hub"), F.col("comp"))).alias("main")
+    open_ = stage(named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), main).where("low <> high").select("key", "main"), "near-open")
+    live = stage(named.join(open_, "key").select("key", "node", "comp", (F.col("comp") != F.col("main")).alias("outside")), "near-live")
+    counts = stage(live.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("outside").cast("int")).alias("r")), "near-counts")
+    unstage(named, open_)
+    sized = stage(live.join(counts, "key"), "near-sized")
+    ps, qs = F.ceil(F.col("r") / BLOCK).cast("int"), F.ceil(F.col("n") / WIDE).cast("int")
+    p, q = F.pmod(F.xxhash64("node", F.lit(7)), ps).cast("int"), F.pmod(F.xxhash64("node", F.lit(11)), qs).cast("int")
+    mine = sized.where("outside").select("key", p.alias("p"), F.explode(F.sequence(F.lit(0), qs - 1)).alias("q"), F.lit(0).alias("all"), "node", "comp", "outside")
+    every = sized.select("key", F.explode(F.sequence(F.lit(0), ps - 1)).alias("p"), q.alias("q"), F.lit(1).alias("all"), "node", "comp", "outside")
+    rows = stage(mine.unionByName(every), "near-rows")
+    data = stage(nodes.select("node", "sig", "bands").join(cells, "node"), "near-data")
+    full = rows.join(data, "node").select("key", "p", "q", "all", "node", "comp", "outside", "sig", "bands", "cells")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in runs(batches, 3):
-            pairs = sorted(set(cross_pairs(block, tries)))
-            for k in range(0, len(pairs), 10_000):
-                part = pairs[k : k + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in part], pa.binary()) for c in (0, 1)], ["a", "b"])
-
-    dealt = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    out = stage(dealt.mapInArrow(run, "a binary, b binary").distinct(), "near-candidates")
-    unstage(live)
+            if found := list(block_links(block)):
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.binary()) for c in (0, 1)], ["a", "b"])
+
+    dealt = full.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    out = stage(dealt.mapInArrow(run, "a binary, b binary"), "near-links")
+    unstage(live, counts, sized, rows, data)
     return out
 
 
@@ -366,21 +360,13 @@ def _link(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> tuple[DataFr
     wide = members.where("n > 2").select("node").union(tested.select(F.col("a").alias("node"))).union(tested.select(F.col("b").alias("node"))).distinct()
     wide = stage(wide.join(nodes.select("node", "least"), "node"), "near-wide")
     cells = stage(shingle_cells(docs, wide), "near-cells")
-    links = check(tested, cells)
-    comps = components(links)
-    several = members.where("n > 2").select("key", "node", "n")
-    for tries in TRIES:
-        fresh = stage(candidates(several, comps, nodes, tries).join(tested, ["a", "b"], "left_anti"), "near-fresh")
-        if fresh.isEmpty():
-            if tries is None:
-                unstage(fresh)
-                break
-            continue
-        found = check(fresh, cells)
-        tested = stage(tested.union(fresh), "near-tested")
-        links = stage(links.union(found), "near-links")
+    by_hub = check(tested, cells)
+    comps = components(by_hub)
+    more = search_buckets(members.where("n > 2").select("key", "node", "hub"), comps, nodes, cells)
+    links = stage(by_hub.union(more), "near-links")
+    if not more.isEmpty():
         comps = components(links)
-    unstage(cells, wide)
+    unstage(tested, wide, cells, by_hub, more)
     return links, comps
 
 
@@ -394,7 +380,7 @@ def shingle_cells(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
         for batch in batches:
-            made = [shingles.cells(t.as_py()).tobytes() for t in batch.column(1)]
+            made = [np.sort((shingles.cells(t.as_py()) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["node", "cells"])
 
     made = picked.mapInArrow(run, "node binary, cells binary")

@@ -75,6 +75,7 @@ def test_near_classes(spark):
 def test_near_blocks(spark, monkeypatch):
     """Buckets cut into blocks give the same classes."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "WIDE", 5)
     rows = [(i, changed(prose(60, 1), i % 9, i)) for i in range(70)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     assert sorted(((r.doc_id, r.class_id) for r in near_dedup.classes(frame).collect()), key=str) == classes_by_force(rows)
