@@ -24,8 +24,8 @@ gives no rows. Other columns of the documents are kept, whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +34,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.llm.common import table
+from termweave.llm.words import BLANK, hashes, spans
 
 WINDOW, RUN, COVER = 8, 6, 0.5
 LEAST_WORDS = 5
 BLOCK_WORDS = 500_000
-CACHE = 500_000
 
 # Words that count as numbers, units and given names.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice"
@@ -47,66 +47,109 @@ GIVEN_NAMES = "alice anna bob carol carlos daniel david elena emma eva frank geo
 NUMBERS, UNITS, NAMES = (frozenset(x.split()) for x in (NUMBER_WORDS, UNIT_WORDS, GIVEN_NAMES))
 NUMBER = re.compile(r"[+-]?\d[\d.,]*(?:st|nd|rd|th)?\Z")
 QUANTITY = re.compile(r"[+-]?\d[\d.,]*([a-z]+)\Z")
-EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-
-#: Low bits of a word's code: it ends a sentence; it is a name inside a sentence only; it
-#: is a slot by itself.
-ENDS, CAPITAL, SLOT = 1, 2, 4
-FLAGS = np.uint64(7)
-
-
-def _hash(token: str) -> int:
-    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") & ~7
-
-
-NAME_CODE = np.uint64(_hash("<name>"))
-
-
-def code_of(raw: str) -> int:
-    """The code of a word: the hash of its template form, with flags."""
-    bare = EDGE.sub("", raw)
-    low = bare.lower()
-    flags = ENDS if raw.rstrip("\"')]*$%&#")[-1:] in ".!?:" and raw else 0
-    if not bare:
-        return _hash("<mark>") | flags
-    if low in NUMBERS or NUMBER.match(low):
-        return _hash("<number>") | flags | SLOT
-    if low in UNITS:
-        return _hash("<unit>") | flags | SLOT
-    if (q := QUANTITY.match(low)) and q[1] in UNITS:
-        return _hash("<quantity>") | flags | SLOT
-    if bare[0].isupper():
-        return int(NAME_CODE) | flags | SLOT if low in NAMES else _hash(low) | flags | CAPITAL
-    return _hash(low) | flags
-
-
-class Templates:
-    """Words to codes, with a bounded cache."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-
-    def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Template hashes of the words and which of them are slots."""
-        known = self.known
-        try:
-            flat = [known[w] for w in words]
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            for w in set(words):
-                if w not in known:
-                    known[w] = code_of(w)
-            flat = [known[w] for w in words]
-        got = np.array(flat, dtype=np.uint64)
-        flags = got & FLAGS
-        # a capital letter inside a sentence makes a name
-        inside = np.zeros(len(got), dtype=bool)
-        inside[1:] = (flags[:-1] & np.uint64(ENDS)) == 0
-        name = inside & ((flags & np.uint64(CAPITAL)) != 0)
-        out = got & ~FLAGS
-        out[name] = NAME_CODE
-        return out, name | ((flags & np.uint64(SLOT)) != 0)
+#: Signs that don't belong to a word when they stand at its ends.
+MARKS = string.punctuation + "\u00a1\u00ab\u00b7\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u201e\u2026"
+STOPS, AFTER_END = tuple(".!?:\u2026"), "\"')]*$%&#\u00bb\u2019\u201d"
+
+
+
+def _marked(signs: str) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[list(signs.encode())] = True
+    return out
+
+
+#: ASCII signs that don't belong to a word at its ends; signs that end a sentence; signs
+#: that may stand behind those.
+MARKS, STOPS, AFTER = _marked(string.punctuation), _marked(".!?:"), _marked("\"')]*$%&#")
+DIGITS = _marked(string.digits)
+
+
+def code_of(token: str) -> np.uint64:
+    a = np.frombuffer(token.encode(), dtype=np.uint8)
+    return hashes(a, np.array([0]), np.array([len(a)]))[0]
+
+
+def _codes(tokens) -> np.ndarray:
+    return np.sort(np.array([code_of(t) for t in tokens], dtype=np.uint64))
+
+
+NUMBER_CODE, UNIT_CODE, QUANTITY_CODE, NAME_CODE, MARK_CODE = (code_of(f"<{x}>") for x in ("number", "unit", "quantity", "name", "mark"))
+NUMBER_TABLE, UNIT_TABLE, NAME_TABLE = _codes(NUMBERS), _codes(UNITS), _codes(NAMES)
+EVERY_TABLE = _codes(NUMBERS | UNITS | NAMES)
+
+
+def among(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes
+
+
+def lower(text: str) -> tuple[bytes, bytes]:
+    """The text and its lower case, byte for byte at the same places; a sign whose lower case
+    has another length stays."""
+    data, low = (t.encode("utf-8", "surrogatepass") for t in (text, text.lower()))
+    if len(data) != len(low):
+        low = "".join(c if len(c.lower().encode("utf-8", "surrogatepass")) != len(c.encode("utf-8", "surrogatepass")) else c.lower() for c in text).encode("utf-8", "surrogatepass")
+    return data, low
+
+
+def templates(text: str) -> tuple[np.ndarray, np.ndarray, WordsOf]:
+    """Codes of the template words of a text, which of them are slots, and the words."""
+    data, low = lower(text)
+    a, b = np.frombuffer(data, dtype=np.uint8), np.frombuffer(low, dtype=np.uint8)
+    start, end = spans(b)
+    n = len(start)
+    if not n:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool), []
+
+    def before(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places kept, and how many come before each place."""
+        return np.flatnonzero(keep), np.concatenate([[0], np.cumsum(keep)])
+
+    core, n_core = before(~(BLANK[b] | MARKS[b]))
+    i, j = n_core[start], n_core[end] - 1
+    bare = i <= j
+    last = len(core) - 1
+    first = np.where(bare, core[np.clip(i, 0, max(last, 0))] if last >= 0 else 0, start)
+    stop = np.where(bare, core[np.clip(j, 0, max(last, 0))] + 1 if last >= 0 else 0, start)
+    codes = hashes(b, first, stop)
+    # a capital: the first sign differs from its lower case (its second byte, if it has one)
+    high = np.minimum(first + 1, len(b) - 1)
+    capital = bare & ((a[first] != b[first]) | ((a[first] >= 0xC0) & (a[high] != b[high])))
+    rest, n_rest = before(~AFTER[b])
+    k = n_rest[end] - 1
+    at_end = rest[np.maximum(k, 0)] if len(rest) else np.zeros(n, dtype=int)
+    ends = (k >= 0) & (at_end >= start) & STOPS[b[at_end]]
+    inside = np.zeros(n, dtype=bool)
+    inside[1:] = ~ends[:-1]
+    # most words are in no table
+    listed = np.flatnonzero(bare & among(codes, EVERY_TABLE))
+    number, unit, given = (np.zeros(n, dtype=bool) for _ in range(3))
+    for which, known in ((number, NUMBER_TABLE), (unit, UNIT_TABLE), (given, NAME_TABLE)):
+        which[listed] = among(codes[listed], known)
+    name = bare & capital & ~number & ~unit & (inside | given)
+    quantity = np.zeros(n, dtype=bool)
+    for w in np.flatnonzero(bare & DIGITS[b[first]]):
+        token = low[first[w] : stop[w]].decode("utf-8", "replace")
+        if NUMBER.match(token):
+            number[w] = True
+        elif (q := QUANTITY.match(token)) and q[1] in UNITS:
+            quantity[w] = True
+    for which, code in ((number, NUMBER_CODE), (unit, UNIT_CODE), (quantity, QUANTITY_CODE), (name, NAME_CODE), (~bare, MARK_CODE)):
+        codes[which] = code
+    return codes, number | unit | quantity | name, WordsOf(low, first, stop)
+
+
+class WordsOf:
+    """The words of a text in lower case without marks, cut out when asked for."""
+
+    def __init__(self, low: bytes, first: np.ndarray, stop: np.ndarray) -> None:
+        self.low, self.first, self.stop = low, first, stop
+
+    def __getitem__(self, k: int) -> bytes:
+        return self.low[self.first[k] : self.stop[k]]
+
+    def __len__(self) -> int:
+        return len(self.first)
 
 
 def windows(codes: np.ndarray, slots: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +162,6 @@ def windows(codes: np.ndarray, slots: np.ndarray, width: int) -> tuple[np.ndarra
         for j in range(width):
             key *= np.uint64(0x9E3779B97F4A7C15)
             key += codes[j : j + n]
-        key ^= key >> np.uint64(31)
     summed = np.concatenate([[0], np.cumsum(slots)])
     return key, 2 * (summed[width:] - summed[:-width]) <= width
 
@@ -129,9 +171,8 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str]]) -> None:
         self.ids = [i for i, _ in items]
-        self.words = [t.split() for _, t in items]
-        coder = Templates()
-        coded = [coder.codes(w) for w in self.words]
+        made = [templates(t) for _, t in items]
+        coded, self.words = [(c, s) for c, s, _ in made], [w for *_, w in made]
         self.slots = [np.flatnonzero(s) for _, s in coded]
         self.widths = [min(WINDOW, len(w)) if len(w) >= LEAST_WORDS else 0 for w in self.words]
         self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -150,8 +191,9 @@ class Index:
             order = np.argsort(key, kind="stable")
             self.tables[width] = key[order], own[order], pos[order]
 
-    def find(self, words: list[str], codes: np.ndarray, slots: np.ndarray) -> list[tuple[int | None, int]]:
+    def find(self, text: str) -> list[tuple[int | None, int]]:
         """(item_id, hits) of the items that a document holds."""
+        codes, slots, words = templates(text)
         out = []
         for width, (keys, owner, at) in self.tables.items():
             own, good = windows(codes, slots, width)
@@ -182,17 +224,17 @@ class Index:
         step = np.flatnonzero(np.diff(hits) != 1)
         return int(np.diff(np.concatenate([[-1], step, [len(hits) - 1]])).max()) >= RUN
 
-    def _consistent(self, k: int, words: list[str], line: int, hits: np.ndarray, width: int) -> bool:
+    def _consistent(self, k: int, words: WordsOf, line: int, hits: np.ndarray, width: int) -> bool:
         """Whether each slot value of the item stands for one value along the alignment."""
         low, high = int(hits[0]), int(hits[-1]) + width
         covered = np.zeros(high - low + 1, dtype=int)
         np.add.at(covered, hits - low, 1)
         np.add.at(covered, hits - low + width, -1)
         covered = np.cumsum(covered) > 0
-        values: dict[str, str] = {}
+        values: dict[bytes, bytes] = {}
         for at in self.slots[k]:
             if low <= at < high and covered[at - low]:
-                mine, theirs = (EDGE.sub("", x).lower() for x in (self.words[k][at], words[at + line]))
+                mine, theirs = self.words[k][at], words[at + line]
                 if values.setdefault(mine, theirs) != theirs:
                     return False
         return True
@@ -224,14 +266,13 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         held = docs.sparkSession.sparkContext.broadcast(Index(block))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index, coder = held.value, Templates()
+            index = held.value
             for batch in batches:
                 names = batch.schema.names
                 at = names.index("text")
                 found = []
                 for text, before in zip(batch.column(at), batch.column(len(names) - 1)):
-                    words = (text.as_py() or "").split()
-                    new = [{"item_id": i, "hits": n} for i, n in index.find(words, *coder.codes(words))] if len(words) >= LEAST_WORDS else []
+                    new = [{"item_id": i, "hits": n} for i, n in index.find(text.as_py() or "")]
                     found.append(sorted([*before.as_py(), *new], key=lambda x: (x["item_id"] is not None, x["item_id"] or 0, x["hits"])))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, item_type)], names)
 
