@@ -38,11 +38,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.llm.common import attach, stage, table, text_of, unstage
+from termweave.llm.words import mix, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -51,58 +51,36 @@ K = BANDS * ROWS
 DARTS = K * (np.log(K) + 4)
 #: Signatures keep 8 bits of a coordinate; estimates under this are not checked.
 LEAST_ESTIMATE = 0.64
-BLOCK, WIDE = 256, 1024
+BLOCK, WIDE = 192, 384
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-CACHE = 500_000
 BATCH_CELLS = 100_000
 BROADCAST_ROWS = 500_000
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Shingles:
-    """Texts to the hashes of their shingles, with a bounded cache of words."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def of(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").split()
-        if not words:
-            return np.zeros(0, dtype=np.uint64)
-        known = self.known
-        try:
-            flat = [known[w] for w in words]
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            for w in set(words):
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            flat = [known[w] for w in words]
-        codes = np.array(flat, dtype=np.uint64)
-        width = min(SHINGLE, len(codes))
-        n = len(codes) - width + 1
-        key = np.full(n, width, dtype=np.uint64)
-        for j in range(width):
-            key = mix(key * GOLDEN + codes[j : j + n])
-        return key
+def shingles(text: str) -> np.ndarray:
+    """Hashes of the shingles of a text, in order."""
+    codes = word_hashes(text)
+    width = min(SHINGLE, len(codes))
+    n = len(codes) - width + 1
+    key = np.full(n if width else 0, width, dtype=np.uint64)
+    for j in range(width):
+        key = mix(key * GOLDEN + codes[j : j + n])
+    return key
+
 
-    def cells(self, text: str) -> np.ndarray:
-        """Unit cells of the weighted elements: one number for each copy of a shingle, so
-        that the weighted Jaccard index of shingles is the plain one of cells. Sorted."""
-        key = np.sort(self.of(text))
-        if not len(key):
-            return key
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        at = np.arange(len(key))
-        copy = at - np.maximum.accumulate(np.where(first, at, 0))
-        return np.sort(mix(key + copy.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+def shingle_cells_of(text: str) -> np.ndarray:
+    """Unit cells of the weighted elements: one number for each copy of a shingle, so that
+    the weighted Jaccard index of shingles is the plain one of cells."""
+    key = np.sort(shingles(text))
+    if not len(key):
+        return key
+    again = key[1:] == key[:-1]
+    if not again.any():
+        return mix(key)
+    first = np.concatenate([[True], ~again])
+    at = np.arange(len(key))
+    copy = at - np.maximum.accumulate(np.where(first, at, 0))
+    return mix(key + copy.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def dart_minima(cells: list[np.ndarray], bound: float = DARTS) -> np.ndarray:
@@ -157,7 +135,6 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, node, sig, bands) of each row; bands are empty if the text has no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles()
         for batch in batches:
             n = batch.num_rows
             sigs, bands = [b""] * n, [[]] * n
@@ -174,7 +151,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     sigs[i], bands[i] = low[k].tobytes(), keys[k].view(np.int64)
 
             for i, text in enumerate(batch.column(2)):
-                c = shingles.cells(text.as_py())
+                c = shingle_cells_of(text.as_py())
                 if len(c):
                     held.append((i, c))
                     size += len(c)
@@ -335,7 +312,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, class_id) of each row of ``docs``."""
+    """(doc_id, node, comp, class_id) of each row of ``docs``; ``comp`` tells classes apart
+    that have no doc_id."""
     signed = stage(signatures(docs), "near-signed")
     nodes = stage(signed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.min("sig").alias("sig"), F.min("bands").alias("bands")), "near-nodes")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
@@ -346,7 +324,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # names of classes: the least doc_id of all copies of all members
     linked = stage(nodes.select("node", "n", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "near-linked")
     names = stage(linked.groupBy("comp").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("w")), "near-names")
-    named = stage(attach(linked, names, "comp", "w", linked.count()).select("node", "n", "class_id"), "near-classes")
+    named = stage(attach(linked, names, "comp", "w", linked.count()).select("node", "n", "comp", "class_id"), "near-classes")
     out = attach(signed.select("doc_id", "node"), named, "node", "n", signed.count())
     unstage(buckets, shared, members, links, comps)
     return out
@@ -378,9 +356,8 @@ def shingle_cells(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     picked = rows.join(F.broadcast(keys) if few else keys, "node").where("doc_id <=> least").select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles()
         for batch in batches:
-            made = [np.sort((shingles.cells(t.as_py()) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch.column(1)]
+            made = [np.sort((shingle_cells_of(t.as_py()) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["node", "cells"])
 
     made = picked.mapInArrow(run, "node binary, cells binary")
@@ -390,9 +367,9 @@ def shingle_cells(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: that of least doc_id (then least node)."""
-    found = stage(classes(docs).select(F.col("doc_id").alias("__d"), F.col("node").alias("__n"), "class_id"), "near-found")
-    first = found.where("__d <=> class_id").groupBy("class_id").agg(F.min("__n").alias("__n"), F.count(F.lit(1)).alias("__rows"))
-    keep = stage(first.select(F.col("class_id").alias("__d"), "__n", "__rows"), "near-keep")
+    found = stage(classes(docs).select(F.col("doc_id").alias("__d"), F.col("node").alias("__n"), "comp", "class_id"), "near-found")
+    first = found.where("__d <=> class_id").groupBy("comp").agg(F.min("__d").alias("__d"), F.min("__n").alias("__n"), F.count(F.lit(1)).alias("__rows"))
+    keep = stage(first.select("__d", "__n", "__rows"), "near-keep")
     rows = docs.withColumns({"__d2": F.col("doc_id").cast("long"), "__n2": node_of("text")})
     kept = rows.join(keep, F.col("__d2").eqNullSafe(F.col("__d")) & (F.col("__n2") == F.col("__n")))
     single = kept.where("__rows = 1").select(*docs.columns)

@@ -47,7 +47,9 @@ class Knowledge:
 
 def link_diagnoses(mentions: DataFrame, knowledge: Knowledge, config: LinkConfig = LinkConfig()) -> DataFrame:
     """(query_id, candidates, best) of mentions (query_id, text) that have candidates."""
-    expanded = expand(mentions, knowledge.cache, knowledge.model, config.strict_rules)
+    # a row for each distinct mention, read by five branches: kept, so that their plans are
+    # short and the model is asked once
+    expanded = expand(mentions, knowledge.cache, knowledge.model, config.strict_rules).persist()
     asked = weighted_queries(expanded).withColumn("v_id", F.concat_ws("#", "query_id", "q_ord"))
     variants = asked.select(F.col("v_id").alias("query_id"), F.col("q_text").alias("text"))
     found = search.sparse_search(variants, knowledge.documents, config.top_k, config.bm25)
@@ -59,9 +61,9 @@ def link_diagnoses(mentions: DataFrame, knowledge: Knowledge, config: LinkConfig
     merged = search.merge_variants(of_mention)
     sure = expanded.select("query_id", (F.col("expansion.confidence") == "high").alias("__sure"))
     both = merged.join(sure, "query_id")
-    guarded = both.where("__sure").drop("__sure").unionByName(search.token_guard(both.where("NOT __sure").drop("__sure"), mentions))
+    guarded = both.where("__sure").drop("__sure").unionByName(search.token_guard(both.where("NOT __sure").drop("__sure"), expanded.select("query_id", "text")))
     anchored = search.must_have(guarded, expanded.select("query_id", "expansion.must_have"))
-    kept = search.dynamic_threshold(anchored, config.margin, config.least_score, config.most_candidates)
+    kept = search.dynamic_threshold(anchored, config.margin, config.least_score, config.most_candidates).persist()
     best = kept.groupBy("query_id").agg(F.max("best").alias("best"), F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("c"))
     if config.prune is None:
         return best.select("query_id", F.transform("c", lambda x: x["id"]).alias("candidates"), "best")
@@ -83,7 +85,7 @@ def link_entities(entities: DataFrame, knowledge: Knowledge, config: LinkConfig
     """``entities`` with ``candidates`` filled: each distinct (type, text) is linked once.
     Drugs (and diagnoses, if their gate is above 0) whose best score is under the gate are
     dropped; other types have no candidates."""
-    coded = entities.where(F.col("type").isin(DIAGNOSIS, DRUG)).select("type", "text").distinct()
+    coded = entities.where(F.col("type").isin(DIAGNOSIS, DRUG)).select("type", "text").distinct().persist()
     mentions = coded.withColumn("query_id", F.col("text"))
     linked = link_diagnoses(mentions.where(F.col("type") == DIAGNOSIS).select("query_id", "text"), knowledge, config).withColumn("__type", F.lit(DIAGNOSIS))
     drugs = link_drugs(mentions.where(F.col("type") == DRUG).select("query_id", "text"), knowledge.concepts, config).withColumn("__type", F.lit(DRUG))

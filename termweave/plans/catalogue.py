@@ -270,12 +270,12 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _part_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    every = p.select(F.upper("p_type").alias("text")).union(p.select(F.concat_ws("  ", "p_brand", "p_type"))).union(p.select(F.concat_ws("-", F.lower("p_type"), "p_brand"))).union(p.select(F.substring("p_name", 2, 4)))
+    every = p.select(F.upper("p_type").alias("text")).union(p.select(F.concat_ws("  ", "p_brand", "p_type"))).union(p.select(F.concat_ws("-", F.lower("p_type"), "p_brand"))).union(p.select(F.substring("p_name", 2, 4))).union(p.select(F.upper("p_name")))
     return every.distinct().select(F.col("text").alias("query_id"), "text")
 
 
 PART_SQL = """pt AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS id, unnest([p_name, p_brand, p_type || '/' || p_brand]) AS term FROM part),
-pq AS (SELECT DISTINCT t AS query_id FROM (SELECT upper(p_type) AS t FROM part UNION ALL SELECT p_brand || '  ' || p_type FROM part UNION ALL SELECT lower(p_type) || '-' || p_brand FROM part UNION ALL SELECT substr(p_name, 2, 4) FROM part))"""
+pq AS (SELECT DISTINCT t AS query_id FROM (SELECT upper(p_type) AS t FROM part UNION ALL SELECT p_brand || '  ' || p_type FROM part UNION ALL SELECT lower(p_type) || '-' || p_brand FROM part UNION ALL SELECT substr(p_name, 2, 4) FROM part UNION ALL SELECT upper(p_name) FROM part))"""
 
 
 def _lexical_sql(breaks: bool) -> str:
@@ -600,6 +600,53 @@ def submission_json(spark, sf_dir):
     return sinks.submissions(docs, line_entities(spark, sf_dir))
 
 
+@query("""WITH v AS (SELECT conv_id || '-' || turn || '.json' AS file, substr(text, 1, 3) AS text, (conv_id * 7 + turn) % 12 AS f FROM conversations WHERE length(text) > 3)
+SELECT file, text, CASE f WHEN 7 THEN -1 ELSE 0 END AS "start", CASE f WHEN 7 THEN -1 WHEN 8 THEN 999999 WHEN 9 THEN 2 ELSE 3 END AS "end", CASE f WHEN 5 THEN 'A' WHEN 6 THEN '1' ELSE '' END AS candidates FROM v WHERE f <> 11""")
+def saved_entities(spark, sf_dir):
+    _, bodies = made_submissions(spark, sf_dir)
+    rows = files.saved_entities(bodies.select(F.concat("doc_id", F.lit(".json")).alias("file"), "body"))
+    return rows.select("file", "text", "start", "end", F.array_join("candidates", ",").alias("candidates"))
+
+
+@query(f"WITH {GEO_SQL} SELECT g.code, coalesce(g.parent, '') AS parent_code, CASE WHEN g.code = 'ROOT' THEN 0 WHEN g.code[1] = 'R' THEN 1 WHEN g.code[1] = 'N' THEN 2 ELSE 3 END AS depth, (SELECT count(*) FROM g) - 1 AS n_edges FROM g")
+def graph_export(spark, sf_dir):
+    nodes = geography(spark, sf_dir)
+    table_, edges = sinks.graph_tables(nodes, tree.tree_paths(nodes))
+    n = edges.agg(F.count(F.lit(1)).alias("n_edges"))
+    return table_.select("code", "parent_code", "depth").join(F.broadcast(n))  # one row
+
+
+@query(f"""WITH {LINE_SQL}, t AS (SELECT doc_id, ord, rich, [{", ".join(f"'{x}'" for x in [*TYPES, "OTHER"])}][CAST(ord % 6 + 1 AS INT)] AS type FROM l)
+SELECT doc_id, ord, type, CASE WHEN type = 'OTHER' THEN 'type' WHEN type IN ('{TYPES[1]}', '{TYPES[2]}') AND rich > 0 THEN 'assertions_not_allowed' ELSE '' END AS faults FROM t""")
+def entity_schema(spark, sf_dir):
+    from termweave.schema import entity_faults
+
+    kinds = F.array(*map(F.lit, [*TYPES, "OTHER"]))
+    rows = line_entities(spark, sf_dir).withColumn("type", F.get(kinds, (F.col("ord") % 6).cast("int")))
+    faults = entity_faults(*map(F.col, ("text", "position", "type", "assertions", "candidates")))
+    return rows.select("doc_id", "ord", "type", F.array_join(faults, ",").alias("faults"))
+
+
+@query("""WITH e AS (SELECT p_partkey::VARCHAR AS id, p_name AS m, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_type END AS en, p_brand AS syn, CASE WHEN p_size % 2 = 0 THEN '' ELSE 'site' END AS site FROM part),
+v AS (SELECT id, 0 AS o, en AS q, 1.0 AS w FROM e WHERE en <> '' UNION ALL SELECT id, 1, syn, 0.9 FROM e WHERE en <> '' UNION ALL SELECT id, 2, en || ' ' || site, 0.75 FROM e WHERE en <> '' AND site <> ''
+  UNION ALL SELECT id, 3, m, 0.2 FROM e WHERE en <> '' UNION ALL SELECT id, 0, m, 1.0 FROM e WHERE en = '')
+SELECT id AS query_id, row_number() OVER (PARTITION BY id ORDER BY o) - 1 AS q_ord, q AS q_text, w::DOUBLE AS q_weight FROM v""")
+def query_variants(spark, sf_dir):
+    from termweave.operators.expand import weighted_queries
+
+    p = table(spark, sf_dir, "part")
+    made = F.struct(F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_type")).alias("english"), F.array("p_brand").alias("synonyms"), F.when(F.col("p_size") % 2 == 0, "").otherwise("site").alias("site"))
+    rows = weighted_queries(p.select(F.col("p_partkey").cast("string").alias("query_id"), F.col("p_name").alias("text"), made.alias("expansion")))
+    return rows.withColumn("q_ord", F.col("q_ord").cast("long"))
+
+
+@query(f"""WITH {TURNS}, e AS (SELECT len(a) AS n, list_reduce(b, lambda prev, x: list_reduce(range(1, len(a) + 1), lambda out, i: list_append(out, least(out[-1] + 1, prev[i + 1] + 1, prev[i] + CASE WHEN a[i] = x THEN 0 ELSE 1 END)), [prev[1] + 1]), range(0, len(a) + 1)) AS last FROM p)
+SELECT round(avg(1 - last[-1]::DOUBLE / n), 9) AS score FROM e""")
+def text_score(spark, sf_dir):
+    pairs = turn_pairs(spark, sf_dir).select(F.array_join("a", " ").alias("reference"), F.array_join("b", " ").alias("hypothesis"))
+    return metrics.text_score(pairs).select(F.round("score", 9).alias("score"))
+
+
 # -- end to end ------------------------------------------------------------------------------
 
 SAMPLE_NODES = [("ROOT", "ICD-10", None, 0, []), ("E10-E14", "Diabetes mellitus", "ROOT", 1, []), ("E11", "Type 2 diabetes mellitus", "E10-E14", 2, ["đái tháo đường tuýp 2"]), ("A00", "Cholera", "ROOT", 1, ["tả", "bệnh tả"])]

@@ -21,8 +21,9 @@ class BatchConfig:
 
 def linked(documents: DataFrame, extractor: Extractor, knowledge: Knowledge, config: BatchConfig = BatchConfig()) -> DataFrame:
     """(doc_id, ord, text, position, type, assertions, candidates) of documents (doc_id,
-    text). The entities are read twice, for the distinct mentions and for the join."""
-    entities = extract_entities(documents, extractor, config.chunks, config.skip_failed)
+    text). The entities are read twice, for the distinct mentions and for the join, so they
+    are kept; a model is asked once."""
+    entities = extract_entities(documents, extractor, config.chunks, config.skip_failed).persist()
     return link_entities(entities, knowledge, config.link)
 
 
