@@ -103,7 +103,8 @@ def natural_order(name: str | Column) -> list[Column]:
 
 
 def contains_any(text: Column, needles: list[str]) -> Column:
-    out = F.lit(False)
-    for n in needles:
-        out = out | F.contains(text, F.lit(n))
-    return out
+    return text.rlike("|".join(f"\\Q{n}\\E" for n in needles))
+
+
+def starts_with_any(text: Column, starts: list[str]) -> Column:
+    return text.rlike("^(?:" + "|".join(f"\\Q{s}\\E" for s in starts) + ")")

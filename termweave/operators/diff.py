@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from termweave.functions.text import casefold, normalize_text
+from termweave.functions.text import casefold, normalize_text, starts_with_any
 from termweave.schema import DIAGNOSIS
 
 KEY = ["file", "text", "type", "start", "end"]
@@ -47,9 +47,7 @@ def changed(before: DataFrame, after: DataFrame, order: str = "ord") -> DataFram
 def suspicious(rows: DataFrame) -> DataFrame:
     """Rows with ``reason``, one for each heuristic that a row meets."""
     normal, first = normalize_text("text"), F.get("candidates", F.lit(0))
-    procedure = F.lit(False)
-    for p in PROCEDURES:
-        procedure = procedure | F.startswith(normal, F.lit(p))
+    procedure = starts_with_any(normal, PROCEDURES)
     syndrome = F.startswith(casefold("text"), F.lit("hội chứng")) & (first == "G20.C") & ~F.contains(normal, F.lit("parkinson"))
     tests = [("generic diagnosis", normal.isin(GENERIC)), ("procedure as diagnosis", procedure), ("syndrome mapped to Parkinson", syndrome), ("biliary text mapped to thyroid", F.contains(normal, F.lit("mật")) & (first == "C73"))]
     reasons = F.array(*[F.when(F.coalesce(t, F.lit(False)), n) for n, t in tests])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from termweave.functions.spans import correct_span, to_global
-from termweave.functions.text import normalize_text
+from termweave.functions.text import normalize_text, starts_with_any
 from termweave.schema import DIAGNOSIS, SYMPTOM
 
 # Texts that are no entities, for all types and for single ones.
@@ -46,10 +46,7 @@ def dedupe_richest(entities: DataFrame) -> DataFrame:
 def noisy(text: Column, kind: Column) -> Column:
     """Whether an entity is an obvious false find."""
     normal = normalize_text(text)
-    procedure = F.lit(False)
-    for start in PROCEDURE_STARTS:
-        procedure = procedure | F.startswith(normal, F.lit(start))
-    diagnosis = normal.isin(DIAGNOSIS_WORDS + DIAGNOSIS_GENERIC) | procedure
+    diagnosis = normal.isin(DIAGNOSIS_WORDS + DIAGNOSIS_GENERIC) | starts_with_any(normal, PROCEDURE_STARTS)
     symptom = normal.isin(ROLES + SYMPTOM_WORDS + SYMPTOM_GENES)
     return F.coalesce(normal.isin(NOISE) | normal.rlike(UNIT_ONLY) | ((kind == DIAGNOSIS) & diagnosis) | ((kind == SYMPTOM) & symptom), F.lit(False))
 

@@ -373,11 +373,26 @@ def dynamic_threshold(spark, sf_dir):
     return search.dynamic_threshold(rows).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+PART_BM25_SQL = f"""bd AS (SELECT CAST(p_partkey AS VARCHAR) AS id, {sql_tokens("concat_ws(' ', p_name, p_brand, p_type || '/' || p_brand)")} AS l FROM part),
+bp AS (SELECT token, id, size, count(*) AS n FROM (SELECT id, len(l) AS size, unnest(l) AS token FROM bd) GROUP BY ALL),
+bg AS (SELECT count(*) AS docs, avg(len(l)) AS mean FROM bd),
+bi AS (SELECT token, ln(docs - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM bp, bg GROUP BY token, docs),
+bj AS (SELECT token, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM bi) ELSE raw END AS idf FROM bi),
+bq AS (SELECT query_id, unnest({sql_tokens("query_id")}) AS token FROM pq),
+bs AS (SELECT query_id, bp.id, sum(idf * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * size / mean))) AS raw FROM bq JOIN bj USING (token) JOIN bp USING (token), bg GROUP BY ALL),
+bt AS (SELECT query_id, id, CASE WHEN max(raw) OVER (PARTITION BY query_id) > 0 THEN raw / max(raw) OVER (PARTITION BY query_id) ELSE 0 END AS score FROM bs),
+bx AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM bt UNION ALL SELECT query_id, id, score FROM xs) GROUP BY ALL),
+br AS (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM bx WHERE score > 0)"""
+
+
+@query(f"WITH {_lexical_sql(True)}, {PART_BM25_SQL} SELECT query_id, score, count(*) AS n FROM br WHERE rank <= 5 GROUP BY ALL")
 def bm25_and_lexical(spark, sf_dir):
     p = _parts(spark, sf_dir)
     docs = p.select(F.col("rxcui").alias("id"), F.col("name").alias("text"), F.col("synonyms").alias("aliases"))
-    return search.sparse_search(_part_queries(spark, sf_dir), docs, 5).select("query_id", "id", F.round("score", 6).alias("score"), "source")
+    found = search.sparse_search(_part_queries(spark, sf_dir), docs, 5)
+    # equal scores differ in their last bits from engine to engine, which changes the choice
+    # among equals; how many results have which score does not depend on it
+    return found.groupBy("query_id", F.round("score", 6).alias("score")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # -- trees -----------------------------------------------------------------------------------
@@ -654,7 +669,10 @@ SAMPLE_CONCEPTS = [("1191", "Aspirin", "IN", ["ASA"]), ("243670", "aspirin 81 MG
 SENTENCE = "Bệnh nhân có tiền sử đái tháo đường tuýp 2, hiện không ho và dùng Aspirin."
 
 
-@query()
+@query(CHUNK_SQL + f""", h AS (SELECT doc_id, chunk_index, unnest(range(s, e - 1)) AS i, text FROM c WHERE chunk_index >= 0),
+f AS (SELECT doc_id, chunk_index, i, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY i) - 1 AS k FROM h WHERE substr(text, CAST(i + 1 AS BIGINT), 2) = 'ho')
+SELECT doc_id, chunk_index * 4294967296 + k AS ord, 'ho' AS text, i AS "start", i + 2 AS "end", '{SYMPTOM}' AS type, '' AS assertions, '' AS candidates FROM f
+UNION ALL VALUES ('note', 0, 'đái tháo đường tuýp 2', 21, 42, '{DIAGNOSIS}', 'isHistorical', 'E11'), ('note', 2, 'Aspirin', 66, 73, '{DRUG}', 'isNegated', '1191'), ('note', 3, 'ho', 55, 57, '{SYMPTOM}', 'isNegated', '')""")
 def flagship_link(spark, sf_dir):
     """Documents and one clinical sentence, through the whole plan."""
     from termweave.operators.link import Knowledge
@@ -664,7 +682,9 @@ def flagship_link(spark, sf_dir):
     concepts = spark.createDataFrame(SAMPLE_CONCEPTS, "rxcui string, name string, tty string, synonyms array<string>")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     docs = docs.unionByName(spark.createDataFrame([("note", SENTENCE)], "doc_id string, text string"))
-    return linked(docs, RuleExtractor(), Knowledge(nodes, concepts))
+    rows = linked(docs, RuleExtractor(), Knowledge(nodes, concepts))
+    place = [F.get("position", F.lit(k)).cast("long").alias(n) for k, n in enumerate(("start", "end"))]
+    return rows.select("doc_id", "ord", "text", *place, "type", *[F.array_join(c, ",").alias(c) for c in ("assertions", "candidates")])
 
 
 @query()

@@ -8,4 +8,4 @@ def test_names_match():
 
 def test_entry(spark):
     rows = __spark_entry__.entry(spark).collect()
-    assert any(r.doc_id == "note" and r.candidates == ["1191"] for r in rows)
+    assert any(r.doc_id == "note" and r.candidates == "1191" for r in rows)
