@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.llm.common import table
+from termweave.llm.words import mix, word_hashes
 
 TRAIN_DOCS = 2000
 TRAIN_LINES = 40
@@ -40,6 +41,7 @@ SYMBOLS = "#*$%&|<>"
 #: A word this short a line leaves its label open in training.
 KNOWN_WORDS = 8
 N_FEATURES = 10
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def line_features(words: list[bytes], line: str, repeated: bool) -> list[float]:
@@ -184,11 +186,9 @@ def repeat_words(ids: np.ndarray) -> int:
     n = len(ids) - 4
     if n < 2:
         return 0
-    with np.errstate(over="ignore"):
-        key = np.zeros(n, dtype=np.uint64)
-        for j in range(5):
-            key = key * np.uint64(0x9E3779B97F4A7C15) + (ids[j : j + n].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-            key ^= key >> np.uint64(29)
+    key = np.zeros(n, dtype=np.uint64)
+    for j in range(5):
+        key = mix(key * GOLDEN + ids[j : j + n])
     _, back, counts = np.unique(key, return_inverse=True, return_counts=True)
     starts = np.flatnonzero(counts[back] > 1)
     if not len(starts):
@@ -204,13 +204,11 @@ ARROW = [(n, {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
 def measure(text: str, weights: np.ndarray, trans: np.ndarray, share: float) -> tuple:
-    words = text.encode("utf-8", "surrogatepass").split()
+    words = word_hashes(text)
     n = len(words)
     blank = sum(map(text.count, " \t\n\x0b\x0c\r"))
     feats, counts, dup = text_lines(text)
-    vocabulary: dict[bytes, int] = {}
-    ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), dtype=np.int64, count=n)
-    repeated = repeat_words(ids)
+    repeated = repeat_words(words)
     failed = n < MIN_WORDS or 100 * repeated > 20 * n
     labels = viterbi(feats @ weights, trans)
     content = float(counts[labels == 1].sum()) / n if n else 0.0
