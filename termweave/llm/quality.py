@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.llm.common import stage, table
+from termweave.llm.words import FACTOR, word_hashes
 
 N_STATS = 12
 N_FEATURES = 160
@@ -48,7 +49,7 @@ HIGH = bytes(range(128, 256))
 def statistics(text: str) -> list[float]:
     """Statistics of a whole text."""
     data = text.encode("utf-8", "surrogatepass")
-    words = data.split()
+    words = word_hashes(text)
     n = len(words)
     if not n:
         return [0.0] * N_STATS
@@ -68,8 +69,8 @@ def statistics(text: str) -> list[float]:
         min(1.0, count(SIGNS) / n),
         min(1.0, 4 * count(DIGITS) / chars),
         min(1.0, 4 * ends / n),
-        len(set(words)) / n,
-        len(set(zip(words, words[1:]))) / max(1, n - 1) if n > 1 else 1.0,
+        len(np.unique(words)) / n,
+        len(np.unique(words[1:] * FACTOR + words[:-1])) / (n - 1) if n > 1 else 1.0,
         1 - len(set(lines)) / len(lines),
         math.log1p(n / len(lines)),
         count(HIGH) / chars,
