@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from termweave.functions.spans import let
-
 # Weights of the final score.
 TEXT_WEIGHT, ASSERTION_WEIGHT, CANDIDATE_WEIGHT = 0.3, 0.3, 0.4
 
@@ -21,31 +21,30 @@ def final_score(text: Column, assertions: Column, candidates: Column) -> Column:
     return text * TEXT_WEIGHT + assertions * ASSERTION_WEIGHT + candidates * CANDIDATE_WEIGHT
 
 
+def word_edits(a: list[str], b: list[str]) -> int:
+    """Least number of words inserted, deleted or replaced."""
+    codes: dict[str, int] = {}
+    x, y = (np.array([codes.setdefault(w, len(codes)) for w in words], dtype=np.int64) for words in (a, b))
+    places = np.arange(len(y) + 1)
+    row = places.copy()
+    for k, word in enumerate(x, 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (y != word))
+        # insertions run along the row: a running minimum of the distance to the diagonal
+        row = np.minimum.accumulate(np.concatenate([[k], best]) - places) + places
+    return int(row[-1])
+
+
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
     """Edits of words over words of the reference; an empty reference gives 0 or 1.
 
-    ``reference`` and ``hypothesis`` are word arrays. One fold over the hypothesis keeps a
-    row of the edit table; each row is a fold over the reference.
+    ``reference`` and ``hypothesis`` are word arrays. The edit table is filled row by row in
+    Arrow batches; there is no built-in function on words.
     """
 
-    def table(ref: Column) -> Column:
-        start = F.sequence(F.lit(0), F.size(ref))
-
-        def row(prev: Column, word: Column) -> Column:
-            places = F.sequence(F.lit(1), F.size(ref))
-
-            def cell(out: Column, i: Column) -> Column:
-                same = F.when(F.element_at(ref, i) == word, 0).otherwise(1)
-                best = F.least(F.element_at(out, -1) + 1, F.element_at(prev, i + 1) + 1, F.element_at(prev, i) + same)
-                return F.array_append(out, best)
-
-            return F.aggregate(places, F.array(F.element_at(prev, 1) + 1), cell)
-
-        return F.aggregate(hypothesis, start, row, lambda r: F.element_at(r, -1))
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([(word_edits(x, y) / len(x) if len(x) else float(len(y) > 0)) if x is not None and y is not None else None for x, y in zip(a, b)], dtype=float)
 
-    n = F.size(reference)
-    empty = F.when(F.size(hypothesis) == 0, F.lit(0.0)).otherwise(F.lit(1.0))
-    return F.when(n == 0, empty).otherwise(let(reference, table) / n)
+    return F.pandas_udf(run, "double")(reference, hypothesis)
 
 
 def dot(a: Column, b: Column) -> Column:

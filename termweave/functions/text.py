@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
+#: Runs of white space other than one plain space; those need no change.
+ODD_SPACE = r"[\t-\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]" + SPACE + "*| " + SPACE + "+"
+
 
 def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -32,7 +35,7 @@ def strip(text: str | Column) -> Column:
 
 def squeeze(text: str | Column) -> Column:
     """Runs of white space as one space each, none at the ends."""
-    return F.trim(F.regexp_replace(col(text), f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(col(text), ODD_SPACE, " "))
 
 
 def normalize_text(text: str | Column) -> Column:

@@ -37,29 +37,31 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 
 @dataclass
 class Bm25Index:
-    """Postings (token, id, n, size), and statistics of tokens."""
+    """Tokens of documents (token, id, size), one row for each occurrence, and statistics of
+    all tokens (token, idf, mean_size). Only what a query asks for is grouped and shuffled."""
 
-    postings: DataFrame
+    tokens: DataFrame
     idf: DataFrame
 
     @classmethod
     def build(cls, documents: DataFrame) -> Bm25Index:
         searchable = F.concat_ws(" ", "text", F.coalesce("aliases", F.array().cast("array<string>")))
         listed = documents.select("id", search_tokens(searchable).alias("t"))
-        sized = listed.select("id", F.size("t").alias("size"), F.explode("t").alias("token"))
-        postings = sized.groupBy("token", "id").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+        tokens = listed.select("id", F.size("t").alias("size"), F.explode("t").alias("token"))
         # documents without a token count in the mean size too
         totals = listed.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("t")).alias("mean_size"))
-        df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(totals))  # one row
-        raw = df.withColumn("raw", F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        df = listed.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        raw = df.join(F.broadcast(totals)).withColumn("raw", F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
         mean = raw.agg(F.avg("raw").alias("mean_idf"))
         idf = raw.join(F.broadcast(mean)).select("token", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"), "mean_size")
-        return cls(postings, idf)
+        return cls(tokens, idf)
 
     def scores(self, queries: DataFrame) -> DataFrame:
         """(query_id, id, score): sums over query tokens, repeated ones as often."""
         asked = queries.select("query_id", F.explode(search_tokens("text")).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
-        hit = asked.join(self.idf, "token").join(self.postings, "token")
+        wanted = self.tokens.join(asked.select("token").distinct(), "token", "left_semi")
+        postings = wanted.groupBy("token", "id").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+        hit = asked.join(self.idf, "token").join(postings, "token")
         part = F.col("times") * F.col("idf") * F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
         return hit.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 

@@ -33,7 +33,9 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # texts and JSON cost far more to work on than to move
+    return files.spread(read) if name in ("documents", "conversations", "events") else read
 
 
 def sql_fold(x: str) -> str:

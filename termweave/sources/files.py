@@ -13,6 +13,13 @@ from termweave.functions.text import natural_order, split_list, squeeze, strip
 BYTE_ORDER_MARK = "﻿"
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table that is read in fewer parts than there are cores, dealt out to all of them, for
+    work that costs more than the copy. Larger tables stay as they are read."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table._jdf.toJavaRDD().getNumPartitions() < cores else table
+
+
 def list_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     """(path, name, stem) of the files of a folder on any file system, empty ones too, which
     the content readers leave out. The listing alone is on the driver."""
