@@ -17,7 +17,8 @@ Coordinates are banded (``BANDS`` of ``ROWS``); texts that share a band meet in
    outside the component of the bucket's hub, ``BLOCK`` at a time, against all nodes of the
    bucket, ``WIDE`` at a time, so that no task holds a bucket and a large group of near copies
    costs its size times its stragglers. A task compares signatures, then shingles, takes a
-   pair only in the first band that it shares, skips nodes that it has connected already and gives only the links that connect two components; pairs are not emitted.
+   pair only in the first band that it shares, skips nodes that it has connected already
+   and gives only the links that connect two components; pairs are not emitted.
 4. Every link comes from a comparison of the shingle multisets themselves, as sets of 32-bit
    numbers, which moves a similarity by the share words / 2**32 at most.
 
