@@ -13,6 +13,14 @@ texts, grouped by hash and text, which compares the bytes, and summed before the
 shuffled; (4) the numbers of removed chunks joined to their documents. The set of repeated
 hashes is broadcast in (2) if it has at most ``BROADCAST_ROWS`` rows, joined by shuffle if not.
 
+Chunks miss short lines between long ones and repeats that hold no whole chunk. ``dedup_runs``,
+which the pipeline takes, has no boundaries: every two successive lines with words are a unit
+(with the lines without words between them), and so is every long line. A line goes if a unit
+that it is in was found before, so each repeated run of two lines goes whole, an exact copy of
+such a text becomes empty, and all that chunks remove goes too. The first occurrence of a line
+always stays. Lines without words go with the line before them, those at the start with the
+first one that has words. The plan is the same, with units for chunks.
+
 Defined results: a null text stays null, an empty one empty; a text without line feed is one
 line; lines without words never count but belong to their chunk; a text that loses all its
 chunks is empty; rows with the same doc_id and text are treated alike (what one keeps, the
@@ -71,19 +79,52 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__t": F.xxhash64("text")})
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """(__d, __t, ks): numbers of the chunks that each document loses."""
+def word_lines(lines: Column) -> Column:
+    """Places of the lines that have words."""
+    return F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
+
+
+def units(text: Column) -> Column:
+    """array<struct<k,n,counts,text>>: each two successive lines with words (n = 2) and each
+    long one (n = 1); ``k`` numbers the lines with words."""
+
+    def made(lines: Column, at: Column) -> Column:
+        def pair(i: Column, k: Column) -> Column:
+            own = F.slice(lines, i + 1, F.get(at, k + 1) - i + 1)
+            return F.struct(k.cast("int").alias("k"), F.lit(2).alias("n"), (k < F.size(at) - 1).alias("counts"), F.array_join(own, "\n").alias("text"))
+
+        def single(i: Column, k: Column) -> Column:
+            own = F.get(lines, i)
+            return F.struct(k.cast("int").alias("k"), F.lit(1).alias("n"), (F.length(own) >= LONG).alias("counts"), own.alias("text"))
+
+        return F.concat(F.transform(at, pair), F.transform(at, single))
+
+    return let(F.split(text, "\n", -1), lambda lines: let(word_lines(lines), lambda at: made(lines, at)))
+
+
+def later(docs: DataFrame, parts: Callable[[Column], Column], *extra: str) -> DataFrame:
+    """(__d, __t, k, extra): the parts of texts that were found before."""
     rows = keyed(docs.where("text IS NOT NULL").select("doc_id", "text"))
-    rows = rows.select("__d", "__t", F.explode(F.filter(chunks(F.col("text")), lambda c: c["counts"])).alias("c"))
-    rows = rows.select("__d", "__t", F.col("c.k").alias("k"), F.col("c.text").alias("chunk")).withColumn("h", F.xxhash64("chunk"))
-    twice = stage(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "line-hashes")
+    rows = rows.select("__d", "__t", F.explode(F.filter(parts(F.col("text")), lambda c: c["counts"])).alias("c"))
+    rows = rows.select("__d", "__t", *[F.col(f"c.{x}").alias(x) for x in ("k", *extra)], F.col("c.text").alias("chunk")).withColumn("h", F.xxhash64("chunk"))
+    twice = stage(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1").select("h"), "line-hashes")
     few = twice.count() <= BROADCAST_ROWS
     found = stage(rows.join(F.broadcast(twice) if few else twice, "h", "left_semi"), "line-chunks")
     first = F.min(F.struct("__d", "__t", "k")).alias("first")
-    groups = stage(found.groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").withColumnRenamed("chunk", "same"), "line-groups")
-    both = attach(found, groups, "h", "n", found.count(), "inner").where("chunk = same")
-    later = both.where(F.struct("__d", "__t", "k") != F.col("first"))
-    return later.groupBy("__d", "__t").agg(F.collect_set("k").alias("ks"))
+    groups = stage(found.groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n_rows"), first).where("n_rows > 1").withColumnRenamed("chunk", "same"), "line-groups")
+    both = attach(found, groups, "h", "n_rows", found.count(), "inner").where("chunk = same")
+    return both.where(F.struct("__d", "__t", "k") != F.col("first")).select("__d", "__t", "k", *extra)
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """(__d, __t, ks): numbers of the chunks that each document loses."""
+    return later(docs, chunks).groupBy("__d", "__t").agg(F.collect_set("k").alias("ks"))
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """(__d, __t, ks): numbers of the lines with words that each document loses."""
+    lost = later(docs, units, "n").select("__d", "__t", F.explode(F.sequence("k", F.col("k") + F.col("n") - 1)).alias("k"))
+    return lost.groupBy("__d", "__t").agg(F.collect_set("k").alias("ks"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -101,6 +142,24 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return both.withColumn("text", text).select(*docs.columns, "__lines", "__removed")
 
 
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` with texts freed of all lines of repeated runs."""
+    lost = repeated_lines(docs).select(F.col("__d").alias("__d2"), F.col("__t").alias("__t2"), "ks")
+    rows = keyed(docs)
+    both = rows.join(lost, (rows["__d"] == lost["__d2"]) & (rows["__t"] == lost["__t2"]), "left")
+
+    def kept(lines: Column, at: Column, ks: Column) -> Column:
+        def own(k: Column) -> Column:
+            begin = F.when(k == 0, F.lit(0)).otherwise(F.get(at, k))
+            return F.array_join(F.slice(lines, begin + 1, F.coalesce(F.get(at, k + 1), F.size(lines)) - begin), "\n")
+
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(at) - 1), ks), own), "\n")
+
+    split = F.struct(F.split(F.col("text"), "\n", -1).alias("lines"), F.col("ks").alias("ks"))
+    text = let(split, lambda s: let(word_lines(s["lines"]), lambda at: kept(s["lines"], at, s["ks"])))
+    return both.withColumn("text", F.when(F.col("ks").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return dedup_lines(docs).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), "text")
