@@ -8,8 +8,13 @@ lie on one diagonal (document position minus item position) are an alignment; al
 slot value of the item must always stand for the same value in the document, so questions
 with other numbers or names are caught and texts that merely share a frame are not.
 
+A second table has the windows of the plain words (lower case, without punctuation at the
+ends, no placeholders). It finds verbatim text where slots are dense: tables, Title Case,
+capitals.
+
 A document holds an item if one consistent alignment has a run of ``RUN`` hits (that is
-``WINDOW + RUN - 1`` words), or hits at least ``COVER`` of the item's windows.
+``WINDOW + RUN - 1`` words), or hits at least ``COVER`` of the item's windows. That is asked
+of the template hits (of the windows that can hit), of the plain hits, and of both together.
 
 Items are taken in blocks of at most ``BLOCK_WORDS`` words; documents pass once per block,
 and only a block is ever on the driver or in a worker. So a benchmark of any size works and
@@ -17,7 +22,7 @@ nothing is shuffled.
 
 Defined results: null texts are empty; an item of less than ``WINDOW`` words is one window
 of all its words, one of less than ``LEAST_WORDS`` is never found; windows with less than
-half literal words are not compared; repeated items are all reported, repeated documents
+half literal words are compared as plain words only; repeated items are all reported, repeated documents
 each; a null item_id is reported as null; an empty benchmark finds nothing, an empty table
 gives no rows. Other columns of the documents are kept, whatever their names.
 """
@@ -92,14 +97,15 @@ def lower(text: str) -> tuple[bytes, bytes]:
     return data, low
 
 
-def templates(text: str) -> tuple[np.ndarray, np.ndarray, WordsOf]:
-    """Codes of the template words of a text, which of them are slots, and the words."""
+def templates(text: str) -> tuple[np.ndarray, np.ndarray, WordsOf, np.ndarray]:
+    """Codes of the template words of a text, which of them are slots, the words, and the
+    codes of the plain words."""
     data, low = lower(text)
     a, b = np.frombuffer(data, dtype=np.uint8), np.frombuffer(low, dtype=np.uint8)
     start, end = spans(b)
     n = len(start)
     if not n:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool), []
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool), [], np.zeros(0, dtype=np.uint64)
 
     def before(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places kept, and how many come before each place."""
@@ -134,9 +140,11 @@ def templates(text: str) -> tuple[np.ndarray, np.ndarray, WordsOf]:
             number[w] = True
         elif (q := QUANTITY.match(token)) and q[1] in UNITS:
             quantity[w] = True
-    for which, code in ((number, NUMBER_CODE), (unit, UNIT_CODE), (quantity, QUANTITY_CODE), (name, NAME_CODE), (~bare, MARK_CODE)):
+    codes[~bare] = MARK_CODE
+    plain = codes.copy()
+    for which, code in ((number, NUMBER_CODE), (unit, UNIT_CODE), (quantity, QUANTITY_CODE), (name, NAME_CODE)):
         codes[which] = code
-    return codes, number | unit | quantity | name, WordsOf(low, first, stop)
+    return codes, number | unit | quantity | name, WordsOf(low, first, stop), plain
 
 
 class WordsOf:
@@ -166,60 +174,93 @@ def windows(codes: np.ndarray, slots: np.ndarray, width: int) -> tuple[np.ndarra
     return key, 2 * (summed[width:] - summed[:-width]) <= width
 
 
+Table = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def table_of(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Table:
+    """Keys in order, and the item and place of each, from (item, keys, places) rows."""
+    key, at = (np.concatenate([r[j] for r in rows]) for j in (1, 2))
+    own = np.repeat([k for k, *_ in rows], [len(r[1]) for r in rows])
+    order = np.argsort(key, kind="stable")
+    return key[order], own[order], at[order]
+
+
+def probe(table: Table, own: np.ndarray, good: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Item, place in the item and diagonal of each hit of a document's windows."""
+    keys, owner, at = table
+    if not len(own) or not len(keys):
+        return (np.zeros(0, dtype=np.int64),) * 3
+    left = np.searchsorted(keys, own)
+    same = keys[np.minimum(left, len(keys) - 1)] == own
+    hit = np.flatnonzero(same if good is None else same & good)
+    n = np.searchsorted(keys, own[hit], side="right") - left[hit]
+    row = np.repeat(left[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return owner[row], at[row], np.repeat(hit, n) - at[row]
+
+
 class Index:
     """Windows of a block of items: arrays, so that it is small when sent to workers."""
 
     def __init__(self, items: list[tuple[int | None, str]]) -> None:
         self.ids = [i for i, _ in items]
         made = [templates(t) for _, t in items]
-        coded, self.words = [(c, s) for c, s, _ in made], [w for *_, w in made]
-        self.slots = [np.flatnonzero(s) for _, s in coded]
+        self.words = [w for _, _, w, _ in made]
+        self.slots = [np.flatnonzero(s) for _, s, *_ in made]
         self.widths = [min(WINDOW, len(w)) if len(w) >= LEAST_WORDS else 0 for w in self.words]
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: By width: windows of templates, windows of plain words.
+        self.tables: dict[int, tuple[Table, Table]] = {}
         self.counts = [0] * len(items)
         for width in sorted({w for w in self.widths if w}):
-            keys, owner, at = [], [], []
-            for k, (c, s) in enumerate(coded):
+            masked, plain = [], []
+            for k, (c, s, _, p) in enumerate(made):
                 if self.widths[k] == width:
                     key, good = windows(c, s, width)
                     place = np.flatnonzero(good)
                     self.counts[k] = len(place)
-                    keys.append(key[good])
-                    owner.append(np.full(len(place), k))
-                    at.append(place)
-            key, own, pos = np.concatenate(keys), np.concatenate(owner), np.concatenate(at)
-            order = np.argsort(key, kind="stable")
-            self.tables[width] = key[order], own[order], pos[order]
+                    masked.append((k, key[good], place))
+                    every = windows(p, s, width)[0]
+                    plain.append((k, every, np.arange(len(every))))
+            self.tables[width] = table_of(masked), table_of(plain)
 
     def find(self, text: str) -> list[tuple[int | None, int]]:
         """(item_id, hits) of the items that a document holds."""
-        codes, slots, words = templates(text)
+        codes, slots, words, plain = templates(text)
         out = []
-        for width, (keys, owner, at) in self.tables.items():
-            own, good = windows(codes, slots, width)
-            if not len(own) or not len(keys):
-                continue
-            left = np.searchsorted(keys, own)
-            hit = np.flatnonzero((keys[np.minimum(left, len(keys) - 1)] == own) & good)
-            if not len(hit):
+        for width, (masked, literal) in self.tables.items():
+            found = [probe(masked, *windows(codes, slots, width)), probe(literal, windows(plain, slots, width)[0])]
+            item, item_at, line = (np.concatenate([f[j] for f in found]) for j in range(3))
+            if not len(item):
                 continue
-            n = np.searchsorted(keys, own[hit], side="right") - left[hit]
-            doc_at = np.repeat(hit, n)
-            row = np.repeat(left[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            item, item_at = owner[row], at[row]
-            order = np.lexsort((item_at, doc_at - item_at, item))
-            item, item_at, line = item[order], item_at[order], (doc_at - item_at)[order]
+            exact = np.repeat([False, True], [len(f[0]) for f in found])
+            order = np.lexsort((item_at, line, item))
+            item, item_at, line, exact = item[order], item_at[order], line[order], exact[order]
             ends = np.flatnonzero(np.diff(item) | np.diff(line)) + 1
             best: dict[int, int] = {}
             for a, b in zip([0, *ends], [*ends, len(item)]):
-                k, hits = int(item[a]), item_at[a:b]
-                if best.get(k, 0) < b - a and self._holds(k, hits, width) and self._consistent(k, words, int(line[a]), hits, width):
-                    best[k] = int(b - a)
+                k, at = int(item[a]), item_at[a:b]
+                n = self._hits(k, at[~exact[a:b]], at[exact[a:b]], words, int(line[a]), width)
+                if n > best.get(k, 0):
+                    best[k] = n
             out += [(self.ids[k], n) for k, n in best.items()]
         return out
 
-    def _holds(self, k: int, hits: np.ndarray, width: int) -> bool:
-        if width < WINDOW or len(hits) >= COVER * self.counts[k]:
+    def _hits(self, k: int, masked: np.ndarray, plain: np.ndarray, words: WordsOf, line: int, width: int) -> int:
+        """Hits of an alignment that holds, 0 if none does: of templates, of plain words
+        (which are consistent), of both."""
+        total = len(self.words[k]) - width + 1
+        n = 0
+        if len(masked) and self._holds(masked, self.counts[k], width) and self._consistent(k, words, line, masked, width):
+            n = len(masked)
+        if len(plain) > n and self._holds(plain, total, width):
+            n = len(plain)
+        if len(masked) and len(plain):
+            both = np.union1d(masked, plain)
+            if len(both) > n and self._holds(both, total, width) and self._consistent(k, words, line, both, width):
+                n = len(both)
+        return n
+
+    def _holds(self, hits: np.ndarray, total: int, width: int) -> bool:
+        if width < WINDOW or len(hits) >= COVER * total:
             return True
         step = np.flatnonzero(np.diff(hits) != 1)
         return int(np.diff(np.concatenate([[-1], step, [len(hits) - 1]])).max()) >= RUN
