@@ -21,7 +21,9 @@ and only a block is ever on the driver or in a worker. So a benchmark of any siz
 nothing is shuffled.
 
 Defined results: null texts are empty; an item of less than ``WINDOW`` words is one window
-of all its words, one of less than ``LEAST_WORDS`` is never found; windows with less than
+of all its words; of one of less than ``LEAST_WORDS`` only the plain words count, and one
+without any letter or digit is never found; as a first word may be a name or just begin a
+sentence, it is looked for as both, and as a name only with its own value; windows with less than
 half literal words are compared as plain words only; repeated items are all reported, repeated documents
 each; a null item_id is reported as null; an empty benchmark finds nothing, an empty table
 gives no rows. Other columns of the documents are kept, whatever their names.
@@ -206,7 +208,7 @@ class Index:
         made = [templates(t) for _, t in items]
         self.words = [w for _, _, w, _ in made]
         self.slots = [np.flatnonzero(s) for _, s, *_ in made]
-        self.widths = [min(WINDOW, len(w)) if len(w) >= LEAST_WORDS else 0 for w in self.words]
+        self.widths = [min(WINDOW, len(p)) if (p != MARK_CODE).any() else 0 for *_, p in made]
         #: By width: windows of templates, windows of plain words.
         self.tables: dict[int, tuple[Table, Table]] = {}
         self.counts = [0] * len(items)
@@ -215,9 +217,13 @@ class Index:
             for k, (c, s, _, p) in enumerate(made):
                 if self.widths[k] == width:
                     key, good = windows(c, s, width)
+                    good &= len(c) >= LEAST_WORDS
                     place = np.flatnonzero(good)
                     self.counts[k] = len(place)
                     masked.append((k, key[good], place))
+                    if len(c) >= LEAST_WORDS and not s[0] and c[0] != MARK_CODE:
+                        other, fits = windows(np.append(NAME_CODE, c[1:width]), np.append(True, s[1:width]), width)
+                        masked.append((k, other[fits], np.flatnonzero(fits)))
                     every = windows(p, s, width)[0]
                     plain.append((k, every, np.arange(len(every))))
             self.tables[width] = table_of(masked), table_of(plain)
@@ -248,6 +254,8 @@ class Index:
         """Hits of an alignment that holds, 0 if none does: of templates, of plain words
         (which are consistent), of both."""
         total = len(self.words[k]) - width + 1
+        if len(masked) and masked[0] == 0 and 0 not in self.slots[k] and self.words[k][0] != words[line]:
+            masked = masked[1:]  # a name, but not this one
         n = 0
         if len(masked) and self._holds(masked, self.counts[k], width) and self._consistent(k, words, line, masked, width):
             n = len(masked)

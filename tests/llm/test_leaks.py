@@ -25,3 +25,14 @@ def test_part_with_a_dense_spot():
     spot = words.index("Anna")
     part = " ".join(words[spot - 5 : spot + 13])
     assert found([" ".join(words)], "own words stand here " + part + " and more of them here") == [0]
+
+
+def test_short_items_in_any_setting():
+    items = ["What is the capital of France?", "Pi is irrational", "Gold", "--- ...", ""]
+    assert found(items, "Geography\nWhat is the capital of France?") == [0]
+    assert found(items, "1) What is the capital of France? Paris.") == [0]
+    assert found(items, "Quiz\nWhat is the capital of Norway?") == [0]
+    assert found(items, "It is said that Berlin is the capital of Norway.") == []
+    assert found(items, "as PI is irrational, so is pi / 2") == [1]
+    assert found(items, "a vein of gold, --- ... they said") == [2]
+    assert found(items, "pi is rational and marigold is a flower") == []
