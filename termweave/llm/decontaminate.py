@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation (operator 8).
 
 Words of documents and benchmark items are brought to templates: lower case without
-punctuation at the ends, numbers, names and units replaced by typed placeholders (slots).
+punctuation (of all of Unicode) at the ends, numbers, names and units replaced by typed placeholders (slots).
 Windows of ``WINDOW`` template words are hash-joined: the windows of a block of items are
 a sorted table of hashes, probed by every window of every document. Hits of one item that
 lie on one diagonal (document position minus item position) are an alignment; along it a
@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import re
 import string
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.common import table
+from termweave.llm.common import WORD, table
 from termweave.llm.words import BLANK, hashes, spans
 
 WINDOW, RUN, COVER = 8, 6, 0.5
@@ -54,9 +55,40 @@ GIVEN_NAMES = "alice anna bob carol carlos daniel david elena emma eva frank geo
 NUMBERS, UNITS, NAMES = (frozenset(x.split()) for x in (NUMBER_WORDS, UNIT_WORDS, GIVEN_NAMES))
 NUMBER = re.compile(r"[+-]?\d[\d.,]*(?:st|nd|rd|th)?\Z")
 QUANTITY = re.compile(r"[+-]?\d[\d.,]*([a-z]+)\Z")
-#: Signs that don't belong to a word when they stand at its ends.
-MARKS = string.punctuation + "\u00a1\u00ab\u00b7\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u201e\u2026"
-STOPS, AFTER_END = tuple(".!?:\u2026"), "\"')]*$%&#\u00bb\u2019\u201d"
+#: Signs beyond ASCII: punctuation, symbols, formats, spaces. Those that stand for an ASCII
+#: sign are taken as it; the others are no part of a word at its ends.
+#: (Planes 2 to 13 and the private ones have none.)
+KIND = {c: k for c in map(chr, [*range(0x80, 0x20000), *range(0xE0000, 0xE0080)]) if (k := unicodedata.category(c))[0] in "PSZ" or k in ("Cf", "Cc")}
+SIGNS = frozenset(KIND)
+TYPESET = {ord(c): a for a, signs in (
+    ("'", "\u00b4\u2018\u2019\u201a\u201b\u2032\u2039\u203a"),
+    ('"', "\u00ab\u00bb\u201c\u201d\u201e\u201f\u2033\u300c\u300d\u300e\u300f"),
+    (".", "\u2026\u3002\uff0e"), ("!", "\uff01"), ("?", "\uff1f\u061f"), (":", "\uff1a"), (",", "\u3001\uff0c"),
+    ("-", "".join(c for c, k in KIND.items() if k == "Pd") + "\u2212"),
+    (" ", "".join(c for c, k in KIND.items() if k[0] == "Z") + "\u0085"),
+) for c in signs}
+OTHERS = frozenset(c for c in SIGNS if ord(c) not in TYPESET)
+DROP, ENDS = dict.fromkeys(map(ord, OTHERS)), OTHERS | set(string.punctuation)
+NO_BLANK = WORD.removesuffix("+")
+
+
+def _bare(m: re.Match) -> str:
+    word = m[0]
+    first = next((i for i, c in enumerate(word) if c not in ENDS), None)
+    if first is None:
+        return word.translate(DROP) or "-"
+    stop = len(word) - next(i for i, c in enumerate(reversed(word)) if c not in ENDS)
+    return word[:first].translate(DROP) + word[first:stop] + word[stop:].translate(DROP)
+
+
+def plain_signs(text: str) -> str:
+    """The text with ASCII signs for typographic ones, and without others at ends of words."""
+    if text.isascii() or SIGNS.isdisjoint(text):
+        return text
+    text = text.translate(TYPESET)
+    others = "".join(sorted(OTHERS.intersection(text)))
+    # words that hold one, from their start
+    return re.sub(rf"(?<!{NO_BLANK}){NO_BLANK}*[{others}]{NO_BLANK}*", _bare, text) if others else text
 
 
 
@@ -102,7 +134,7 @@ def lower(text: str) -> tuple[bytes, bytes]:
 def templates(text: str) -> tuple[np.ndarray, np.ndarray, WordsOf, np.ndarray]:
     """Codes of the template words of a text, which of them are slots, the words, and the
     codes of the plain words."""
-    data, low = lower(text)
+    data, low = lower(plain_signs(text))
     a, b = np.frombuffer(data, dtype=np.uint8), np.frombuffer(low, dtype=np.uint8)
     start, end = spans(b)
     n = len(start)

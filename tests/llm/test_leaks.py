@@ -1,6 +1,6 @@
 """Benchmark items that are found in whatever type and setting they stand."""
 
-from termweave.llm.decontaminate import Index
+from termweave.llm.decontaminate import Index, templates
 
 NORMAL = "the old miller walks along the quiet river and counts the white stones until the evening bell rings over the valley"
 TITLE = "The Annual Report Of The Northern Harbour Company And Its Many Branches"
@@ -36,3 +36,17 @@ def test_short_items_in_any_setting():
     assert found(items, "as PI is irrational, so is pi / 2") == [1]
     assert found(items, "a vein of gold, --- ... they said") == [2]
     assert found(items, "pi is rational and marigold is a flower") == []
+
+
+def test_typographic_signs():
+    item = 'He said "the ship - an old one - leaves at 5", and \'nobody\' knew why it did...'
+    curly = "He said “the ship — an old one – leaves at 5”, and ‘nobody’ knew why it did…"
+    angled = "¿He said «the ship — an old one — leaves at 5», and „nobody“ knew why it did…"
+    assert found([item], "Intro. " + curly) == found([curly], "Intro. " + item) == found([item], angled) == [0]
+    quoted = "nine plain words stand here for a short item"
+    assert found([quoted], f"a “{quoted}” b") == found([quoted], f"a •«{quoted}»™ b") == [0]
+    assert found(["two small words"], "a «two small words»") == [0]
+    a, b, *_ = map(templates, ("3×4 → x→y cafés", "3÷4 - x-y cafés"))
+    assert (a[3] == b[3]).tolist() == [False, True, False, True]
+    assert templates("“Bergen”")[0] == templates("\"Bergen\"")[0]
+    assert templates("so “Bergen” it is")[1].tolist() == [False, True, False, False]
