@@ -10,8 +10,9 @@ training come from document labels: every line of a document of quality 1 counts
 content, every line of one of quality 0 as boilerplate, except short lines, which are
 unknown and summed out (a hidden label, as clean lines occur in bad documents and boiler
 lines in good ones). Training takes at most ``TRAIN_DOCS`` labelled documents, those of
-least crc32, and of each at most ``TRAIN_LINES`` lines of at most ``TRAIN_CHARS`` characters: a documented
-bound on a sample, for training alone.
+least crc32, and of each at most ``TRAIN_LINES`` successive lines with words, from a place
+that the crc32 chooses: a documented bound on a sample, for training alone. Features are
+those of whole lines of the whole text, worked out on the executors as in scoring.
 Without usable labels a fixed start model is taken.
 
 Defined results: a null text is an empty one; an empty text has no words, so it fails the
@@ -34,7 +35,6 @@ from termweave.llm.words import mix, word_hashes
 
 TRAIN_DOCS = 2000
 TRAIN_LINES = 40
-TRAIN_CHARS = 400
 KEEP_SHARE = 0.5
 MIN_WORDS = 10
 SYMBOLS = "#*$%&|<>"
@@ -137,10 +137,10 @@ START[0][0, 1] = 1.0
 START[0][4:7, 0] = 3.0
 
 
-def train(docs: list[tuple[str, int]], rounds: int = 80, rate: float = 0.5, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (features, 2) and transitions (2, 2) from (text, quality) rows, by gradient
-    ascent with momentum; deterministic."""
-    chains = [(f[:TRAIN_LINES], c[:TRAIN_LINES], q) for t, q in docs for f, c, _ in [text_lines(t)] if len(f)]
+def train(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 80, rate: float = 0.5, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features, 2) and transitions (2, 2) from (features, word counts, quality)
+    rows, by gradient ascent with momentum; deterministic."""
+    chains = [row for row in docs if len(row[0])]
     if not any(q for *_, q in chains) or all(q for *_, q in chains):
         return START
     # both qualities weigh the same
@@ -170,15 +170,28 @@ def train(docs: list[tuple[str, int]], rounds: int = 80, rate: float = 0.5, l2:
     return np.round(w, 6), np.round(trans, 6)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """The bounded sample: labelled rows whose crc32 mod 5 is not 0, those of least crc32."""
+def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """The bounded sample: labelled rows whose crc32 mod 5 is not 0, those of least crc32,
+    as features and word counts of lines."""
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     key = F.crc32(F.col("doc_id").cast("string"))
     picked = known.where(key % 5 != 0).orderBy(key, "doc_id").limit(TRAIN_DOCS)
-    cut = F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, TRAIN_LINES)
-    clipped = F.array_join(F.transform(cut, lambda x: F.substring(x, 1, TRAIN_CHARS)), "\n")
-    rows = docs.select("doc_id", clipped.alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    return [(r.text, r.quality) for r in rows.orderBy("doc_id").collect()]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            feats, counts = [], []
+            for text, seed in zip(batch.column(3), batch.column(2).to_pylist()):
+                f, c, _ = text_lines(text.as_py())
+                at = seed % max(1, len(c) - TRAIN_LINES + 1)
+                feats.append(f[at : at + TRAIN_LINES].ravel())
+                counts.append(c[at : at + TRAIN_LINES])
+            columns = [pa.array(feats, pa.list_(pa.float64())), pa.array(counts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "quality", "feats", "counts"])
+
+    made = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), key.alias("seed"), "text")
+    made = made.mapInArrow(run, "doc_id long, quality int, feats array<double>, counts array<long>")
+    return [(np.array(r.feats, dtype=float).reshape(-1, N_FEATURES), np.array(r.counts, dtype=np.int64), r.quality) for r in made.orderBy("doc_id").collect()]
 
 
 def repeat_words(ids: np.ndarray) -> int:
