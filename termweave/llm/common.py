@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,21 +30,43 @@ def n_words(column: str | Column) -> Column:
     return F.regexp_count(text_of(column), F.lit(WORD)).cast("long")
 
 
+@cache
+def _own_dir() -> str:
+    """A folder of this process, for a Spark of one machine."""
+    folder = tempfile.mkdtemp(prefix="termweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """The folder that driver and executors share. Where none is named, a Spark of one
+    machine gets a folder of its own, and a cluster an error."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return _own_dir()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: lineage ends there and
-    survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/termweave/{name}-{uuid.uuid4().hex}"
+    survives lost executors. What ``unstage`` has not deleted goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/termweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    drop_at_end(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
 
 
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def unstage(*frames: DataFrame | None) -> None:
     """Delete staged tables that no later step reads."""
     for df in frames:
@@ -48,21 +76,81 @@ def unstage(*frames: DataFrame | None) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key is dealt out to several tasks from this share of all rows on, and from so many rows.
+HOT_SHARE, HOT_ROWS = 20_000, 1000
+
+
 def attach(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "left") -> DataFrame:
     """Join ``right`` (one row per ``key``; ``weight`` = rows of ``left`` with that key)
-    to ``left`` so that no hot key lands in one task.
+    to ``left`` so that no key's rows meet in one task.
 
-    A key is hot if it has more than 1/500 of the ``total`` rows of ``left``. At most
-    500 keys can be hot, which bounds the side that is broadcast; the other keys are
-    joined by a shuffle.
+    A key of more than a HOT_SHARE-th of the ``total`` rows of ``left`` is salted: its rows
+    are dealt to as many parts as it has such shares, and its row of ``right`` is copied to
+    each. So there are at most 2 * HOT_SHARE copies; which keys are salted is broadcast as
+    two numbers each, at most HOT_SHARE of them. ``left`` must be a staged table or a narrow step from one:
+    the salt is a row's place there, which a repeated task finds again.
     """
-    hot_at = max(1000, total // 500)
+    part = max(HOT_ROWS, total // HOT_SHARE)
     names = [c for c in right.columns if c not in (key, weight)]
-    hot = right.where(F.col(weight) > hot_at).select(key, *[F.col(c).alias(f"__hot_{c}") for c in names], F.lit(True).alias("__hot"))
-    cold = right.where(F.col(weight) <= hot_at).select(F.col(key).alias("__k"), *[F.col(c).alias(f"__cold_{c}") for c in names], F.lit(True).alias("__cold"))
-    marked = left.join(F.broadcast(hot), key, "left")
-    # a hot row gets a random-free salt instead of its key: it finds no partner and spreads out
-    probe = F.when(F.col("__hot").isNull(), F.col(key))
-    both = marked.withColumn("__probe", probe).join(cold, F.col("__probe") == F.col("__k"), "left")
-    out = both.select(*left.columns, *[F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in names], (F.col("__hot").isNotNull() | F.col("__cold").isNotNull()).alias("__found"))
-    return (out.where("__found") if how == "inner" else out).drop("__found")
+    copies = right.where(F.col(weight) > part).groupBy(F.xxhash64(key).alias("__h")).agg(F.max(F.ceil(F.col(weight) / part)).cast("int").alias("__copies"))
+    copies = F.broadcast(copies)
+    n = F.coalesce("__copies", F.lit(1))
+    dealt = right.withColumn("__h", F.xxhash64(key)).join(copies, "__h", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), n - 1)))
+    dealt = dealt.select(F.col(key).alias("__k"), F.col("__salt").alias("__s"), *[F.col(c).alias(f"__r_{c}") for c in names])
+    marked = left.withColumns({"__row": F.monotonically_increasing_id(), "__h": F.xxhash64(key)}).join(copies, "__h", "left")
+    marked = marked.withColumn("__salt", F.pmod(F.xxhash64("__row"), n).cast("int"))
+    both = marked.join(dealt, (F.col(key) == F.col("__k")) & (F.col("__salt") == F.col("__s")), how)
+    return both.select(*left.columns, *[F.col(f"__r_{c}").alias(c) for c in names])
+
+
+def attach_counted(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``attach`` where the rows of ``left`` by key are still to be counted."""
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("__w"))
+    weighed = stage(right.join(counts, key), "attach")
+    total = weighed.agg(F.sum("__w")).first()[0] or 0
+    return attach(left, weighed, key, "__w", total, how)
+
+
+#: Numbers that ``running`` adds up at once.
+RUN_BLOCK = 256
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once, also where lambdas use it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def running(numbers: Column, block: int = RUN_BLOCK) -> Column:
+    """array<int>: what comes before each of ``numbers`` in sum. An array that grows in a
+    fold is copied at each step, so the fold goes over blocks, and over each block."""
+
+    def sums(values: Column, start: Column) -> Column:
+        none = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, none, lambda a, v: F.struct((a["at"] + v).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+
+    def summed(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, v: a + v))
+        return let(sums(totals, F.lit(0)), lambda starts: F.flatten(F.zip_with(blocks, starts, sums)))
+
+    def cut(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda k: F.slice(v, k * block + 1, F.lit(block)))
+        return F.when(F.size(v) > 0, let(blocks, summed)).otherwise(F.array().cast("array<int>"))
+
+    return let(numbers.cast("array<int>"), cut)
+
+
+def ranged(df: DataFrame, order: list[Column], values: dict[str, Column], name: str) -> DataFrame:
+    """``df``, staged, with a column for each of ``values``: its sum over all rows before, in
+    the given order (``values`` are whole numbers or doubles). Rows are dealt by ranges of
+    the order; each task adds its own, and only a sum for each task is put in order alone."""
+    dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    dealt = stage(dealt.select("*", *[v.alias(f"__v_{k}") for k, v in values.items()]), f"{name}-ranges")
+    totals = dealt.groupBy("__part").agg(*[F.sum(f"__v_{k}").alias(f"__t_{k}") for k in values])
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # a row per task
+    starts = totals.select("__part", *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__s_{k}") for k in values])
+    own = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    placed = dealt.join(F.broadcast(starts), "__part")
+    sums = {k: F.col(f"__s_{k}") + F.coalesce(F.sum(f"__v_{k}").over(own), F.lit(0)) for k in values}
+    out = stage(placed.select(*df.columns, *[v.alias(k) for k, v in sums.items()]), name)
+    unstage(dealt)
+    return out

@@ -1,30 +1,38 @@
 """MinHash near-dedup with DartMinHash (operator 2).
 
 A text is the multiset of its shingles of five words; similarity is the weighted Jaccard
-index of two multisets. DartMinHash throws hashed darts into the regions of the weighted
-elements: an element of weight w owns the strip [0, w] of a plane whose other axis is a
-rank, darts fall on it as a Poisson process drawn from hashes of the element, and each dart
-belongs to one of ``K`` coordinates. The dart of least rank of a coordinate is its minimum,
-and two sets have the same one with the chance of their weighted Jaccard index. Only darts
-below a rank of about K (ln K + 4) / (total weight) are thrown, so the work is linear in the
-text and short in K; texts that leave a coordinate empty get a higher bound.
+index of two multisets. DartMinHash throws hashed darts at the plane of weights and ranks.
+The plane of an element is parted into dyadic regions: weights [0, 1), [1, 2), [2, 4), ... by
+strips of ranks, each region of the area ``AREA``, with a Poisson number of darts that depends
+on the hash of element and region alone. An element of weight w has the darts whose weight is
+below w, so two texts share those below their lesser weight. Each dart belongs to one of ``K``
+coordinates; the dart of least rank of a coordinate is its minimum, and two sets have the
+same one with the chance of their weighted Jaccard index. Only regions below a rank of about
+K (ln K + 4) / (total weight) are looked at, so the work is the number of different shingles and
+of darts, whatever the weights; texts that leave a coordinate empty get a higher bound.
 
 Coordinates are banded (``BANDS`` of ``ROWS``); texts that share a band meet in a bucket.
 
 1. Equal texts are one node; only different texts are compared.
-2. Hub round: each node is compared with the least node of each of its buckets.
+2. Hub rounds: each node is compared with the least node of each of its buckets; as long as
+   a bucket holds over ``BLOCK`` nodes that no hub has claimed, it gets another hub from
+   among them, ``ROUNDS`` at most.
 3. Buckets that still hold nodes of several components are searched in blocks: the nodes
-   outside the component of the bucket's hub, ``BLOCK`` at a time, against all nodes of the
-   bucket, ``WIDE`` at a time, so that no task holds a bucket and a large group of near copies
-   costs its size times its stragglers. A task compares signatures, then shingles, takes a
-   pair only in the first band that it shares, skips nodes that it has connected already
-   and gives only the links that connect two components; pairs are not emitted.
+   outside the component of the bucket's first hub, ``BLOCK`` at a time, against all nodes of
+   the bucket, ``WIDE`` at a time (fewer if texts are long: a block has about
+   ``BLOCK_BYTES``), so that no task holds a bucket and a large group of near copies
+   costs its size times its stragglers. A task compares a node with all others of the
+   block at once, takes a pair only in the first band that it shares, skips nodes that it
+   has connected already and gives only the links that connect two components; pairs are
+   not emitted. A bucket of n nodes that are all unlike each other costs
+   n * n / (BLOCK * WIDE) blocks.
 4. Every link comes from a comparison of the shingle multisets themselves, as sets of 32-bit
-   numbers, which moves a similarity by the share words / 2**32 at most.
+   numbers, which moves a similarity by the share words / 2**32 at most. No pair that
+   shares a band is left out on an estimate.
 
 Links of ``THRESHOLD`` or more make classes, their connected components; a class is named
 by its least doc_id. A pair of similarity 0.8 shares no band with chance (1 - 0.8**5)**20,
-under 0.0004; that, and the signature bound (4 deviations), is all that can lose a link.
+under 0.0004; that is all that can lose a link.
 
 Defined results: words are runs of anything but ASCII white space; a text of one to four
 words is one shingle; texts without words are alike only if equal; null counts as empty;
@@ -35,6 +43,7 @@ by ``keep_one``, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.common import attach, stage, table, text_of, unstage
+from termweave.llm.common import attach, attach_counted, stage, table, text_of, unstage
 from termweave.llm.words import mix, word_hashes
 
 SHINGLE = 5
@@ -50,11 +59,11 @@ THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
 K = BANDS * ROWS
 DARTS = K * (np.log(K) + 4)
-#: Signatures keep 8 bits of a coordinate; estimates under this are not checked.
-LEAST_ESTIMATE = 0.64
-BLOCK, WIDE = 192, 384
+#: Darts that are expected in a region.
+AREA = 1.0
+BLOCK, WIDE, BLOCK_BYTES, ROUNDS = 192, 384, 8_000_000, 4
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-BATCH_CELLS = 100_000
+BATCH_DARTS = 400_000
 BROADCAST_ROWS = 500_000
 
 
@@ -69,55 +78,77 @@ def shingles(text: str) -> np.ndarray:
     return key
 
 
-def shingle_cells_of(text: str) -> np.ndarray:
-    """Unit cells of the weighted elements: one number for each copy of a shingle, so that
-    the weighted Jaccard index of shingles is the plain one of cells."""
-    key = np.sort(shingles(text))
-    if not len(key):
-        return key
-    again = key[1:] == key[:-1]
-    if not again.any():
-        return mix(key)
-    first = np.concatenate([[True], ~again])
+def weighted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different shingles and their weights, the numbers of their copies."""
+    return np.unique(key, return_counts=True)
+
+
+def cells_of(text: str) -> np.ndarray:
+    """Unit cells of the shingles for exact comparison: one sorted 32-bit number for each
+    copy of a shingle, so that the weighted Jaccard index is the plain one of cells."""
+    key, n = weighted(shingles(text))
+    copy = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    cells = mix(np.repeat(key, n) + copy.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return np.sort((cells >> np.uint64(32)).astype(np.uint32))
+
+
+def unit(h: np.ndarray) -> np.ndarray:
+    """Hashes as numbers of [0, 1)."""
+    return (h >> np.uint64(11)).astype(float) * 2.0**-53
+
+
+POISSON = np.cumsum([math.exp(-AREA) * AREA**k / math.factorial(k) for k in range(24)])
+
+
+def thrown(key: np.ndarray, weight: np.ndarray, limit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place of the element, rank, dart) of the darts below each element's weight and rank
+    limit, by levels of weight."""
+    level, low = 0, 0.0
     at = np.arange(len(key))
-    copy = at - np.maximum.accumulate(np.where(first, at, 0))
-    return mix(key + copy.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def dart_minima(cells: list[np.ndarray], bound: float = DARTS) -> np.ndarray:
-    """(texts, K) hashes of the darts of least rank; each text has a cell at least."""
-    sizes = np.array([len(c) for c in cells])
-    u, owner = np.concatenate(cells), np.repeat(np.arange(len(cells)), sizes)
-    limit = (bound / sizes)[owner]
-    best, ids = np.full(len(cells) * K, np.inf), np.zeros(len(cells) * K, dtype=np.uint64)
-    got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    base, thrown = np.zeros(len(u)), 0
-    width = 1
-    while len(u):
-        # the next darts of each cell: ranks grow by exponential gaps
-        h = mix(u[:, None] + np.arange(thrown + 1, thrown + 1 + width, dtype=np.uint64) * GOLDEN)
-        rank = base[:, None] - np.cumsum(np.log(((h >> np.uint64(11)).astype(float) + 1) * 2.0**-53), axis=1)
-        low = rank <= limit[:, None]
-        row, _ = np.nonzero(low)
-        dart = h[low]
-        got.append((owner[row] * K + (mix(dart ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(K)).astype(np.int64), rank[low], dart))
-        on = low[:, -1]
-        u, owner, limit, base = u[on], owner[on], limit[on], rank[on, -1]
-        thrown, width = thrown + width, 8
-    at, rank, dart = (np.concatenate([g[k] for g in got]) for k in range(3))
+    while len(at):
+        width = max(low, 1.0)
+        strip = AREA / width
+        n = np.ceil(limit[at] / strip).astype(np.int64)
+        own = np.repeat(at, n)
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        region = mix(key[own] + np.uint64(level * 0x8CB92BA72F3D8DD7 % (1 << 64)) + (step.astype(np.uint64) + np.uint64(1)) * GOLDEN)
+        darts = np.searchsorted(POISSON, unit(region), side="right")
+        own, step, region = (np.repeat(x, darts) for x in (own, step, region))
+        number = np.arange(darts.sum()) - np.repeat(np.cumsum(darts) - darts, darts)
+        dart = mix(region + (number.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4963EE407))
+        rank = (step + unit(dart)) * strip
+        keep = rank <= limit[own]
+        if level:
+            keep &= low + width * unit(mix(dart ^ np.uint64(0x9FB21C651E98DF25))) < weight[own]
+        yield own[keep], rank[keep], dart[keep]
+        level, low = level + 1, low + width
+        at = at[weight[at] > low]
+
+
+def dart_minima(texts: list[tuple[np.ndarray, np.ndarray]], bound: float = DARTS) -> np.ndarray:
+    """(texts, K) hashes of the darts of least rank; a text is (shingles, weights), of one
+    shingle at least."""
+    key, weight = (np.concatenate([t[j] for t in texts]) for j in (0, 1))
+    owner = np.repeat(np.arange(len(texts)), [len(t[0]) for t in texts])
+    limit = (bound / np.array([t[1].sum() for t in texts]))[owner]
+    best, ids = np.full(len(texts) * K, np.inf), np.zeros(len(texts) * K, dtype=np.uint64)
+    got = list(thrown(key, weight, limit))
+    own, rank, dart = (np.concatenate([g[k] for g in got]) for k in range(3))
+    at = owner[own] * K + (mix(dart ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(K)).astype(np.int64)
     np.minimum.at(best, at, rank)
     win = rank == best[at]
     ids[at[win]] = dart[win]
-    out = ids.reshape(len(cells), K)
-    short = np.flatnonzero(np.isinf(best).reshape(len(cells), K).any(axis=1))
+    out = ids.reshape(len(texts), K)
+    short = np.flatnonzero(np.isinf(best).reshape(len(texts), K).any(axis=1))
     if len(short):
-        out[short] = dart_minima([cells[i] for i in short], 4 * bound)
+        out[short] = dart_minima([texts[i] for i in short], 4 * bound)
     return out
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard index of two sorted arrays of distinct cells."""
-    if not len(a) or not len(b):
+    """Jaccard index of two sorted arrays of distinct cells; 0 if their sizes alone keep it
+    under the threshold."""
+    if min(len(a), len(b)) < THRESHOLD * max(len(a), len(b), 1):
         return 0.0
     every = np.sort(np.concatenate([a, b]), kind="stable")
     both = int((every[1:] == every[:-1]).sum())
@@ -129,17 +160,16 @@ def node_of(text: str | Column) -> Column:
     return F.substring(F.unhex(F.sha2(text_of(text), 256)), 1, 16)
 
 
-SIGNED = "doc_id long, node binary, sig binary, bands array<long>"
+SIGNED = "doc_id long, node binary, bands array<long>"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, sig, bands) of each row; bands are empty if the text has no word."""
+    """(doc_id, node, bands) of each row; bands are empty if the text has no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            sigs, bands = [b""] * n, [[]] * n
-            held: list[tuple[int, np.ndarray]] = []
+            bands: list = [[]] * batch.num_rows
+            held: list[tuple[int, tuple[np.ndarray, np.ndarray]]] = []
             size = 0
 
             def flush() -> None:
@@ -147,54 +177,27 @@ def signatures(docs: DataFrame) -> DataFrame:
                 keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * GOLDEN, (len(held), 1))
                 for r in range(ROWS):
                     keys = mix(keys * GOLDEN + darts[:, r::ROWS])
-                low = (darts & np.uint64(255)).astype(np.uint8)
                 for k, (i, _) in enumerate(held):
-                    sigs[i], bands[i] = low[k].tobytes(), keys[k].view(np.int64)
+                    bands[i] = keys[k].view(np.int64)
 
             for i, text in enumerate(batch.column(2)):
-                c = shingle_cells_of(text.as_py())
-                if len(c):
-                    held.append((i, c))
-                    size += len(c)
-                if held and (size > BATCH_CELLS or i == n - 1):
+                key = shingles(text.as_py())
+                if len(key):
+                    held.append((i, weighted(key)))
+                    size += len(key) + DARTS
+                if size > BATCH_DARTS:
                     flush()
                     held, size = [], 0
             if held:
                 flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_of("text").alias("node"), text_of("text").alias("text")).mapInArrow(run, SIGNED)
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated similarity from signatures (..., K) of bytes."""
-    same = (a == b).sum(axis=-1) / K
-    return (same - 1 / 256) / (1 - 1 / 256)
-
-
-def _sig_matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, K)
-
-
-def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures allow the threshold."""
-    left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
-    right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
-    once = stage(pairs.join(left, "a"), "near-left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                good = estimate(_sig_matrix(batch.column(2)), _sig_matrix(batch.column(3))) >= LEAST_ESTIMATE
-                yield batch.select([0, 1]).filter(pa.array(good))
-
-    out = stage(once.join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary"), "near-likely")
-    unstage(once)
-    return out
-
-
 def check(pairs: DataFrame, cells: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose exact similarity is THRESHOLD or more."""
+    """The pairs (a, b) whose exact similarity is THRESHOLD or more. Many pairs may share
+    their ``a`` (a hub), so its cells are attached last, salted."""
     once = stage(pairs.join(cells.select(F.col("node").alias("b"), F.col("cells").alias("cb")), "b"), "near-cells")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +206,7 @@ def check(pairs: DataFrame, cells: DataFrame) -> DataFrame:
             good = [similarity(p, q) >= THRESHOLD for p, q in zip(x, y)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    both = once.join(cells.select(F.col("node").alias("a"), F.col("cells").alias("ca")), "a").select("a", "b", "ca", "cb")
+    both = attach_counted(once, cells.select(F.col("node").alias("a"), F.col("cells").alias("ca")), "a", "inner").select("a", "b", "ca", "cb")
     out = stage(both.mapInArrow(run, "a binary, b binary"), "near-links")
     unstage(once)
     return out
@@ -224,7 +227,7 @@ def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]
 
 def block_links(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
     """Links between different components in one block of (key, p, q, all, node, comp, outside,
-    sig, bands, cells) rows: those with ``all`` = 0 against those with ``all`` = 1."""
+    bands, cells) rows: those with ``all`` = 0 against those with ``all`` = 1."""
     key = rows[0][0]
     mine, every = [r for r in rows if not r[3]], [r for r in rows if r[3]]
     if not mine or not every:
@@ -236,53 +239,62 @@ def block_links(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
             parent[x] = x = parent.get(up, up)
         return x
 
-    sig, bands = (np.array([np.frombuffer(r[7], dtype=np.uint8) for r in every]), np.array([r[8] for r in every]))
-    cells = [np.frombuffer(r[9], dtype=np.uint32) for r in every]
-    sizes, outside = np.array([len(c) for c in cells]), np.array([r[6] for r in every])
+    cells = [np.frombuffer(r[8], dtype=np.uint32) for r in every]
+    sizes, outside, bands = np.array([len(c) for c in cells]), [r[6] for r in every], np.array([r[7] for r in every])
+    table = np.concatenate(cells)
+    order = np.argsort(table, kind="stable")
+    table, owner = table[order], np.repeat(np.arange(len(every)), sizes)[order]
     nodes, comps = [r[4] for r in every], [r[5] for r in every]
-    for _, _, _, _, node, comp, _, own_sig, own_bands, own_cells in mine:
-        e = estimate(np.frombuffer(own_sig, dtype=np.uint8), sig)
+    for _, _, _, _, node, comp, _, own_bands, own_cells in mine:
         own = np.frombuffer(own_cells, dtype=np.uint32)
-        close = (e >= LEAST_ESTIMATE) & (np.minimum(sizes, len(own)) >= THRESHOLD * np.maximum(sizes, len(own)))
-        at = np.flatnonzero(close)
+        left = np.searchsorted(table, own)
+        n = np.searchsorted(table, own, side="right") - left
+        hits = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[hits], minlength=len(every))
+        near = both / (sizes + len(own) - both)
+        at = np.flatnonzero(near >= THRESHOLD)
         if not len(at):
             continue
-        shared = bands[at] == np.array(own_bands)
-        first = bands[at, shared.argmax(axis=1)] == key
-        for j in at[first][np.argsort(-e[at[first]], kind="stable")].tolist():
+        first = bands[at, (bands[at] == np.array(own_bands)).argmax(axis=1)] == key
+        for j in at[first][np.argsort(-near[at[first]], kind="stable")].tolist():
             # two nodes outside meet twice; the smaller one asks
             if outside[j] and nodes[j] <= node or find(comps[j]) == find(comp):
                 continue
-            if similarity(own, cells[j]) >= THRESHOLD:
-                parent[find(comp)] = find(comps[j])
-                yield (node, nodes[j]) if node < nodes[j] else (nodes[j], node)
+            parent[find(comp)] = find(comps[j])
+            yield (node, nodes[j]) if node < nodes[j] else (nodes[j], node)
 
 
 def search_buckets(members: DataFrame, comps: DataFrame, nodes: DataFrame, cells: DataFrame) -> DataFrame:
     """Links (a, b) that connect components within buckets. ``members`` is (key, node, hub),
     ``comps`` (node, comp) of linked nodes."""
+    spark = members.sparkSession
     named = stage(members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "near-named")
     # buckets of one component have nothing to add
     main = F.max(F.when(F.col("node") == F.col("hub"), F.col("comp"))).alias("main")
     open_ = stage(named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), main).where("low <> high").select("key", "main"), "near-open")
-    live = stage(named.join(open_, "key").select("key", "node", "comp", (F.col("comp") != F.col("main")).alias("outside")), "near-live")
-    counts = stage(live.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("outside").cast("int")).alias("r")), "near-counts")
+    live = attach_counted(named, open_, "key", "inner").select("key", "node", "comp", (F.col("comp") != F.col("main")).alias("outside"))
+    live = stage(live.join(cells.select("node", F.octet_length("cells").cast("long").alias("bytes")), "node"), "near-live")
+    away = F.col("outside").cast("int")
+    counts = live.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(away).alias("r"), F.sum("bytes").alias("nb"), F.sum(away * F.col("bytes")).alias("rb"))
+    counts = stage(counts.select("key", *[F.greatest(F.ceil(F.col(a) / most), F.ceil(F.col(b) / BLOCK_BYTES)).cast("int").alias(x) for x, a, b, most in (("ps", "r", "rb", BLOCK), ("qs", "n", "nb", WIDE))]), "near-counts")
     unstage(named, open_)
-    sized = stage(live.join(counts, "key"), "near-sized")
-    ps, qs = F.ceil(F.col("r") / BLOCK).cast("int"), F.ceil(F.col("n") / WIDE).cast("int")
-    p, q = F.pmod(F.xxhash64("node", F.lit(7)), ps).cast("int"), F.pmod(F.xxhash64("node", F.lit(11)), qs).cast("int")
-    mine = sized.where("outside").select("key", p.alias("p"), F.explode(F.sequence(F.lit(0), qs - 1)).alias("q"), F.lit(0).alias("all"), "node", "comp", "outside")
-    every = sized.select("key", F.explode(F.sequence(F.lit(0), ps - 1)).alias("p"), q.alias("q"), F.lit(1).alias("all"), "node", "comp", "outside")
+    sized = stage(attach_counted(live, counts, "key", "inner"), "near-sized")
+    p, q = F.pmod(F.xxhash64("node", F.lit(7)), "ps").cast("int"), F.pmod(F.xxhash64("node", F.lit(11)), "qs").cast("int")
+    mine = sized.where("outside").select("key", p.alias("p"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), F.lit(0).alias("all"), "node", "comp", "outside")
+    every = sized.select("key", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), q.alias("q"), F.lit(1).alias("all"), "node", "comp", "outside")
     rows = stage(mine.unionByName(every), "near-rows")
-    data = stage(nodes.select("node", "sig", "bands").join(cells, "node"), "near-data")
-    full = rows.join(data, "node").select("key", "p", "q", "all", "node", "comp", "outside", "sig", "bands", "cells")
+    data = stage(nodes.select("node", "bands").join(cells, "node"), "near-data")
+    full = rows.join(data, "node").select("key", "p", "q", "all", "node", "comp", "outside", "bands", "cells")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in runs(batches, 3):
             if found := list(block_links(block)):
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.binary()) for c in (0, 1)], ["a", "b"])
 
-    dealt = full.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    # a task for each few blocks, so that none has many of them by chance
+    blocks = counts.agg(F.sum(F.col("ps").cast("long") * F.col("qs"))).first()[0] or 0
+    tasks = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks))
+    dealt = full.repartition(tasks, "key", "p", "q").sortWithinPartitions("key", "p", "q")
     out = stage(dealt.mapInArrow(run, "a binary, b binary"), "near-links")
     unstage(live, counts, sized, rows, data)
     return out
@@ -292,8 +304,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, comp) of the nodes of (a, b) links; comp is the least node of a component.
 
     Every node points at its least neighbour or itself, links are contracted along the
-    pointers, until none is left. All tables are written between steps and joined by
-    shuffle, with skewed sides split by Spark.
+    pointers, until none is left. All tables are written between steps; the nodes of many
+    links are salted.
     """
     edges = stage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "cc-edges")
     both = edges.select("a").union(edges.select(F.col("b").alias("a"))).distinct()
@@ -301,11 +313,11 @@ def components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         ends = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         point = stage(ends.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("to")), "cc-point")
-        jump = stage(point.join(point.select(F.col("u").alias("to"), F.col("to").alias("next")), "to").select("u", F.col("next").alias("to")), "cc-jump")
-        moved = stage(edges.join(jump.select(F.col("u").alias("a"), F.col("to").alias("x")), "a").select("x", "b"), "cc-moved")
-        nxt = moved.join(jump.select(F.col("u").alias("b"), F.col("to").alias("y")), "b").where("x <> y")
+        jump = stage(attach_counted(point, point.select(F.col("u").alias("to"), F.col("to").alias("next")), "to").select("u", F.col("next").alias("to")), "cc-jump")
+        moved = stage(attach_counted(edges, jump.select(F.col("u").alias("a"), F.col("to").alias("x")), "a").select("x", "b"), "cc-moved")
+        nxt = attach_counted(moved, jump.select(F.col("u").alias("b"), F.col("to").alias("y")), "b").where("x <> y")
         nxt = stage(nxt.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
-        named = stage(labels.join(jump.select(F.col("u").alias("comp"), "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "cc-labels")
+        named = stage(attach_counted(labels, jump.select(F.col("u").alias("comp"), "to"), "comp").select("node", F.coalesce("to", "comp").alias("comp")), "cc-labels")
         unstage(edges, labels, point, jump, moved)
         edges, labels = nxt, named
     unstage(edges)
@@ -316,7 +328,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, node, comp, class_id) of each row of ``docs``; ``comp`` tells classes apart
     that have no doc_id."""
     signed = stage(signatures(docs), "near-signed")
-    nodes = stage(signed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.min("sig").alias("sig"), F.min("bands").alias("bands")), "near-nodes")
+    nodes = stage(signed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.min("bands").alias("bands")), "near-nodes")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     shared = stage(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1"), "near-buckets")
     total = shared.agg(F.sum("n")).first()[0] or 0
@@ -327,25 +339,48 @@ def classes(docs: DataFrame) -> DataFrame:
     names = stage(linked.groupBy("comp").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("w")), "near-names")
     named = stage(attach(linked, names, "comp", "w", linked.count()).select("node", "n", "comp", "class_id"), "near-classes")
     out = attach(signed.select("doc_id", "node"), named, "node", "n", signed.count())
-    unstage(buckets, shared, members, links, comps)
+    unstage(nodes, shared, members, links, comps, linked, names)
     return out
 
 
 def _link(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Exact links (a, b), enough to connect the classes, and their components."""
-    hubs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    tested = likely(hubs, nodes)
+    wide = stage(members.select("node").distinct().join(nodes.select("node", "least"), "node"), "near-wide")
     # the cells of all nodes that a check may need, made once
-    wide = members.where("n > 2").select("node").union(tested.select(F.col("a").alias("node"))).union(tested.select(F.col("b").alias("node"))).distinct()
-    wide = stage(wide.join(nodes.select("node", "least"), "node"), "near-wide")
-    cells = stage(shingle_cells(docs, wide), "near-cells")
-    by_hub = check(tested, cells)
-    comps = components(by_hub)
-    more = search_buckets(members.where("n > 2").select("key", "node", "hub"), comps, nodes, cells)
-    links = stage(by_hub.union(more), "near-links")
+    cells = stage(shingle_cells(docs, wide), "near-shingles")
+    links = check(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), cells)
+    comps = components(links)
+    big = stage(members.where("n > 2").select("key", "node", "hub"), "near-big")
+    links, comps = hub_rounds(big, links, comps, cells)
+    more = search_buckets(big, comps, nodes, cells)
     if not more.isEmpty():
-        comps = components(links)
-    unstage(tested, wide, cells, by_hub, more)
+        every = stage(links.union(more), "near-every")
+        unstage(links, comps)
+        links, comps = every, components(every)
+    unstage(wide, cells, big, more)
+    return links, comps
+
+
+def hub_rounds(big: DataFrame, links: DataFrame, comps: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """More links and components, by further hubs of buckets of which many nodes belong to
+    no hub so far."""
+    open_ = big
+    for _ in range(ROUNDS):
+        comp = stage(open_.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "near-round")
+        of_hub = comp.where("node = hub").select("key", F.col("comp").alias("main"))
+        left = stage(attach_counted(comp, of_hub, "key", "inner").where("comp <> main").select("key", "node"), "near-left")
+        many = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where(F.col("n") > BLOCK)
+        many = stage(many, "near-many")
+        unstage(comp, *([open_] if open_ is not big else []))
+        if many.isEmpty():
+            unstage(left, many)
+            return links, comps
+        open_ = stage(attach(left, many, "key", "n", left.count(), "inner"), "near-open")
+        found = check(open_.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), cells)
+        every = stage(links.union(found), "near-every")
+        unstage(links, comps, left, many, found)
+        links, comps = every, components(every)
+    unstage(open_)
     return links, comps
 
 
@@ -358,8 +393,7 @@ def shingle_cells(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [np.sort((shingle_cells_of(t.as_py()) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["node", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([cells_of(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["node", "cells"])
 
     made = picked.mapInArrow(run, "node binary, cells binary")
     # rows repeated as a whole (same doc_id and text) give the same cells
@@ -379,6 +413,22 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return single.unionByName(several)
 
 
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT t, row_number() OVER (ORDER BY t) AS node, min(doc_id) AS least FROM d GROUP BY t),
+w AS (SELECT node, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM n),
+s AS (SELECT node, unnest(list_transform(range(1, greatest(len(w) - 3, least(len(w), 1) + 1)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM w),
+c AS (SELECT node, g, row_number() OVER (PARTITION BY node, g) AS k FROM s),
+z AS (SELECT node, count(*) AS n FROM c GROUP BY node),
+p AS (SELECT a.node AS x, b.node AS y, count(*) AS m FROM c a JOIN c b ON a.g = b.g AND a.k = b.k AND a.node < b.node GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN z u ON u.node = x JOIN z v ON v.node = y WHERE 5 * m >= 4 * (u.n + v.n - m)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(node, other) AS (SELECT node, node FROM n UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.other),
+k AS (SELECT r.node, min(n.least) AS class_id FROM r JOIN n ON n.node = r.other GROUP BY r.node)
+SELECT d.doc_id, k.class_id FROM d JOIN n USING (t) JOIN k ON k.node = n.node
+"""
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return classes(docs).select("doc_id", "class_id")

@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_rules": line_labels.op10_quality_rules,
 }
 ORACLES = {
+    "op2_near_dedup": near_dedup.OP2_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op1_token_counts": token_counts.OP1_SQL,
     "op4_warc": warc.OP4_SQL,

@@ -81,14 +81,45 @@ def test_near_blocks(spark, monkeypatch):
     assert sorted(((r.doc_id, r.class_id) for r in near_dedup.classes(frame).collect()), key=str) == classes_by_force(rows)
 
 
+def test_near_rounds(spark, monkeypatch):
+    """Buckets of several groups, with more hubs, give the same classes."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 4000)
+    base = prose(60, 1).split()
+    rows = [(100 * g + i, changed(" ".join(base[: 60 - 7 * g]) + " " + prose(7 * g, 50 + g), i % 3, 7 * i + g)) for g in range(4) for i in range(14)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(((r.doc_id, r.class_id) for r in near_dedup.classes(frame).collect()), key=str) == classes_by_force(rows)
+
+
+def test_long_texts(spark):
+    long = prose(300_000, 9)
+    rows = [(1, long), (2, long + " more"), (3, "a " * 200_000), (4, "a " * 190_000), (5, "a " * 100_000), (6, long[: len(long) // 2])]
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 6)]
+
+
 def test_darts_estimate_weighted_jaccard():
+    def of(text):
+        return near_dedup.weighted(near_dedup.shingles(text))
+
     a, b = prose(400, 1), changed(prose(400, 1), 25, 2)
-    x, y = near_dedup.shingle_cells_of(a), near_dedup.shingle_cells_of(b)
+    x, y = of(a), of(b)
     m = near_dedup.dart_minima([x, y, x])
     assert (m[0] == m[2]).all()
-    assert abs((m[0] == m[1]).mean() - near_dedup.similarity(x, y)) < 0.15
+    assert abs((m[0] == m[1]).mean() - near_dedup.similarity(near_dedup.cells_of(a), near_dedup.cells_of(b))) < 0.15
     # a batch does not change a text's darts, nor does a higher bound
     assert (near_dedup.dart_minima([x]) == m[0]).all() and (near_dedup.dart_minima([x], 4 * near_dedup.DARTS) == m[0]).all()
+    # weights far apart, over many draws: the share of equal minima is the weighted index
+    rng = np.random.default_rng(3)
+    want, same = [], []
+    for _ in range(60):
+        key = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+        v, w = rng.integers(1, 200, 12), rng.integers(1, 200, 12)
+        want.append(np.minimum(v, w).sum() / np.maximum(v, w).sum())
+        m = near_dedup.dart_minima([(key, v), (key, w)])
+        same.append((m[0] == m[1]).mean())
+    assert abs(np.mean(want) - np.mean(same)) < 0.02
+    assert np.corrcoef(want, same)[0, 1] > 0.7
 
 
 def test_components(spark):
