@@ -260,23 +260,78 @@ def test_mix_in_shards(spark, monkeypatch):
     assert carried.columns == ["doc_id", "text", "source", "size", "source_size", "target", "taken"] and carried.count() == 600
 
 
+COUNTS = "source string, lang string, tokenizer string, n_tokens long, old_tokens long"
+
+
 def test_rollup(spark, tmp_path):
     store = token_counts.Rollup(spark, f"file://{tmp_path}/rollup")
-    schema = "source string, lang string, tokenizer string, n_tokens long, old_tokens long"
-    a = spark.createDataFrame([("s", "en", "t", 5, 0), ("s", "en", "t", 5, 0), (None, None, "t", None, 0)], schema)
+    a = spark.createDataFrame([("s", "en", "t", 5, 0), ("s", "en", "t", 5, 0), (None, None, "t", None, 0)], COUNTS)
     assert store.totals().count() == 0
     assert store.commit("1", token_counts.inserts(a)) and not store.commit("1", token_counts.inserts(a))
     with pytest.raises(ValueError):
         store.commit("1", token_counts.inserts(a.limit(1)))
-    assert store.commit("2", token_counts.revisions(spark.createDataFrame([("s", "en", "t", 9, 5)], schema)))
-    store.compact()
-    assert not store.commit("2", token_counts.inserts(a)) and store.commit("3", token_counts.deletes(a.limit(1)))
-    assert store.commit("4", token_counts.inserts(a.limit(0)))
+    assert store.commit("2", token_counts.revisions(spark.createDataFrame([("s", "en", "t", 9, 5)], COUNTS)))
     store.compact()
+    # replays after compaction: the same content is known, other content is an error
+    assert not store.commit("1", token_counts.inserts(a))
+    with pytest.raises(ValueError):
+        store.commit("2", token_counts.inserts(a))
+    assert store.commit("3", token_counts.deletes(a.limit(1))) and store.commit("4", token_counts.inserts(a.limit(0)))
+    for _ in range(3):
+        store.compact()
     assert store.batches() == ["1", "2", "3", "4"]
     totals = {r.source: (r.n_docs, r.n_tokens) for r in store.totals().collect()}
-    # one of the rows of ``a`` was deleted after the revision
     assert sum(n for n, _ in totals.values()) == 2 and sum(n for _, n in totals.values()) in (9, 14)
+    assert not store.commit("3", token_counts.deletes(a.limit(1)))
+
+
+def test_commit_during_compaction(spark, tmp_path):
+    """A batch that is committed while a snapshot is made counts once."""
+    store = token_counts.Rollup(spark, f"file://{tmp_path}/rollup")
+    one = token_counts.inserts(spark.createDataFrame([("s", "en", "t", 4, 0)], COUNTS))
+    two = token_counts.inserts(spark.createDataFrame([("s", "en", "t", 100, 0)], COUNTS))
+    store.commit("1", one)
+    listing = store.batches
+    for moment in range(3):
+        calls = iter(range(9))
+
+        def racing():
+            if moment == 0 and next(calls) == 0:
+                store.commit("2", two)
+            found = listing()
+            if moment == 1 and next(calls) == 0:
+                store.commit("3", two)
+            return found
+
+        store.batches = racing
+        if moment == 2:
+            summed = store._sum
+
+            def late(names):
+                out = summed(names)
+                store.commit("4", two)
+                return out
+
+            store._sum = late
+            store.compact()
+            store._sum = summed
+        else:
+            store.compact()
+        store.batches = listing
+        assert [(r.n_docs, r.n_tokens) for r in store.totals().collect()] == [(2 + moment, 104 + 100 * moment)]
+
+
+def test_claims_are_exclusive(spark, tmp_path):
+    """Writers that race for one id: one wins, and one delta counts."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = token_counts.Rollup(spark, f"file://{tmp_path}/rollup")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: store._claim("claims/x", {"data": f"data/{k}", "mark": []}), range(40)))
+    assert sum(won) == 1 and store._read("claims/x")["data"] == f"data/{won.index(True)}"
+    two = token_counts.inserts(spark.createDataFrame([("s", "en", "t", 7, 0)], COUNTS))
+    with ThreadPoolExecutor(4) as pool:
+        assert sum(pool.map(lambda _: store.commit("y", two), range(4))) == 1
 
 
 def test_bpe_counts(spark, tmp_path):
