@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from termweave.llm import decontaminate, line_labels, mixing, near_dedup, pii, quality, token_counts, warc
 
@@ -356,6 +357,48 @@ def test_broken_archives(spark):
         warc.dechunk(b"5\r\nabc\r\n0\r\n\r\n")
 
 
+def rows_of(spark, text, folder, compressed):
+    import gzip
+
+    folder.mkdir()
+    data = text if isinstance(text, bytes) else text.encode()
+    (folder / ("a.warc.gz" if compressed else "a.warc")).write_bytes(gzip.compress(data[: len(data) // 2]) + gzip.compress(data[len(data) // 2 :]) if compressed else data)
+    return warc.read_segments(spark, f"file://{folder}", compressed).collect()
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_reading_archives(spark, tmp_path, compressed):
+    """Records of other writers, with payloads that look like records or are no text."""
+    blocks = [b"", b"\r\n", b"WARC/1.1\r\nWARC-Type: response\r\n\r\nWARC/1.0 WARC/1.", bytes(range(256)) * 50, b"x\r\n\r\n"]
+    made = [b"WARC/1.0\r\nWARC-Record-ID: <urn:%d:http://a/WARC/1.1/b>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(b), b) for i, b in enumerate(blocks)]
+    got = rows_of(spark, b"".join(made), tmp_path / "whole", compressed)
+    assert [bytes(r.block) for r in sorted(got, key=lambda r: r.origin)] == blocks
+    for k, bad in enumerate((b"".join(made)[:-9], b"junk" + made[0], made[0][:-4] + b"junk\r\n\r\n" + made[1])):
+        with pytest.raises(Exception, match="cut short|begin with a record|between records"):
+            rows_of(spark, bad, tmp_path / f"bad{k}", compressed)
+
+
+def test_long_record_is_reassembled_in_linear_time(spark, tmp_path):
+    """A record of 128 MB in 8,192 segments."""
+    n, size = 8192, 16384
+    made = spark.range(n).select(F.lit("o").alias("origin"), (n - F.col("id")).cast("int").alias("number"), F.when(F.col("id") == 0, n * size).cast("long").alias("total"), F.lit("response").alias("type"), F.create_map(F.lit("warc-segment-number"), F.lit("1")).alias("fields"), F.expr(f"cast(repeat(char(65 + id % 26), {size}) as binary)").alias("block"))
+    got = warc.reassemble(made).select("error", F.octet_length("block").alias("n"), F.sha2("block", 256).alias("h")).collect()
+    import hashlib
+
+    whole = b"".join(bytes([65 + (n - number) % 26]) * size for number in range(1, n + 1))
+    assert [(r.error, r.n, r.h) for r in got] == [(None, n * size, hashlib.sha256(whole).hexdigest())]
+
+
+def test_revisits_are_checked(spark):
+    def row(name, page, kind, refers, stated, digest, error=None):
+        return (name, page, kind, refers, 3, stated, 3 if digest else None, digest, error)
+
+    rows = [row("r1", 1, "response", None, "d", "d"), row("r2", 2, "revisit", "r1", "d", None), row("r3", 3, "revisit", "r1", "other", None), row("r4", 4, "revisit", "none", "d", None), row("r5", 5, "response", None, "d", "e")]
+    got = {r.page_id: (r.refers_to_page, r.payload_digest, r.error) for r in warc.resolved(spark.createDataFrame(rows, warc.PAYLOADS)).collect()}
+    assert got[1] == (None, "d", None) and got[2] == (1, "d", None)
+    assert got[3][2] == got[5][2] == "digest differs from the stated one" and got[4][2] == "no record for a revisit"
+
+
 def test_redaction(spark):
     frame = spark.createDataFrame([(1, "to a@b.co or 4111 1111 1111 1111."), (2, None), (3, "none")], "doc_id long, text string")
     out = pii.pii_spans(frame).select(pii.redact(pii.text_of("text"), pii.F.col("spans")).alias("t"))
