@@ -232,15 +232,36 @@ def test_viterbi_is_the_best_path():
 
 
 def test_apportion(spark):
+    """All groups, of weights of all sizes, against giving seat by seat."""
     rng = random.Random(3)
-    for seats in (0, 1, 7, 100):
-        weights = [rng.choice([0, 1, 5, 33, 1000]) * rng.random() for _ in range(9)]
-        frame = spark.createDataFrame([("g", i, w, seats) for i, w in enumerate(weights)], "g string, e long, w double, s long")
-        got = {r.e: r.quota for r in mixing.apportion(frame, ["g"], "e", "w", "s").collect()}
-        want = Counter()
-        for _ in range(seats):
-            want[max(range(9), key=lambda i: (weights[i] / (2 * want[i] + 1), -i))] += 1
-        assert got == {i: want[i] for i in range(9)}
+    rows = [(g, i, rng.choice([0, 1, 5, 33, 1000]) * rng.random(), seats) for g, seats in (("a", 0), ("b", 1), ("c", 7), ("d", 100)) for i in range(9)]
+    rows += [("e", i, 1.0, 50) for i in range(120)]
+    frame = spark.createDataFrame(rows, "g string, e long, w double, s long")
+    got = {(r.g, r.e): r.quota for r in mixing.apportion(frame, "g", "e", "w", "s").collect()}
+    want = Counter()
+    for g in "abcde":
+        own = [r for r in rows if r[0] == g]
+        for _ in range(own[0][3]):
+            want[max(own, key=lambda r: (r[2] / (2 * want[r[:2]] + 1), -r[1]))[:2]] += 1
+    assert got == {r[:2]: want[r[:2]] for r in rows}
+    alone = {r.e: r.quota for r in mixing.apportion(frame.where("g = 'd'"), None, "e", "w", "s").collect()}
+    assert alone == {e: n for (g, e), n in got.items() if g == "d"}
+
+
+def test_mix_of_many_sources_and_empty_texts(spark, monkeypatch):
+    """Thousands of sources, and one of empty texts: its rows are dealt to shards too."""
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 100)
+    rows = [(i, prose(10 + i % 7, i), f"host{i % 1500}") for i in range(3000)] + [(10_000 + i, "", "empty") for i in range(2000)] + [(None, "", None)] * 3 + [(None, prose(30, 1), None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(frame).collect()
+    assert len(got) == len(rows) and all(r.taken == 0 for r in got if not r.size)
+    by = defaultdict(list)
+    for r in got:
+        by[r.target, r.source_size].append(r)
+        assert 0 <= r.taken <= 3 * r.size and r.target <= 3 * r.source_size
+    assert math.isclose(sum(r.taken for r in got), sum(r.size for r in got), rel_tol=0.02)
+    carried = mixing.mix(frame, carry=True).where("doc_id IS NULL").collect()
+    assert len(carried) == 4 and {r.text for r in carried} == {"", prose(30, 1)}
 
 
 def test_mix_in_shards(spark, monkeypatch):
