@@ -2,18 +2,17 @@
 
 Lines are hashed, and a rolling hash over the hashes of ``WINDOW`` = 2 lines chooses chunk
 boundaries, so they depend on content alone and fall into step again after an insertion. A
-line of ``LONG`` characters or more is bounded on both sides and makes a chunk by itself; it
-stands for a paragraph whose line breaks were joined. A chunk counts if it has two lines
-with words, or is such a long line. Chunks that are found more than once in the corpus are
+line of ``LONG`` characters or more is a paragraph whose line breaks were joined: it is
+wrapped again, into a line for each sentence, and these lines are bounded on both sides and
+make one chunk. A chunk counts if it has two lines with words. Chunks that are found more than once in the corpus are
 removed but for the first (by doc_id, null last, then place in the text), if their bytes are equal.
 
 Plan: (1) counts of chunk hashes, without texts; (2) chunks whose hash is repeated, with
 texts, grouped by hash and text, which compares the bytes, and summed before the shuffle;
-(3) these chunks joined to their group, with hot groups broadcast (at most 500) and the rest
-shuffled; (4) the numbers of removed chunks joined to their documents. The set of repeated
+(3) these chunks joined to their group by shuffle, hot groups salted; (4) the numbers of removed chunks joined to their documents. The set of repeated
 hashes is broadcast in (2) if it has at most ``BROADCAST_ROWS`` rows, joined by shuffle if not.
 
-Chunks miss short lines between long ones and repeats that hold no whole chunk. ``dedup_runs``,
+Chunks miss short lines between long ones, long lines of one sentence and repeats that hold no whole chunk. ``dedup_runs``,
 which the pipeline takes, has no boundaries: every two successive lines with words are a unit
 (with the lines without words between them), and so is every long line. A line goes if a unit
 that it is in was found before, so each repeated run of two lines goes whole, an exact copy of
@@ -35,19 +34,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.common import WORD, attach, stage, table
+from termweave.llm.common import WORD, attach, let, stage, table
 
 LONG = 120
-#: One boundary in so many short lines, on average.
-SPACING = 4
+#: Where a long line is wrapped.
+SENTENCE_END = r"[.!?]\x20+[^\x20]"
 BROADCAST_ROWS = 1_000_000
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)`` with the value worked out once, also where lambdas use it."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def chunks(text: Column) -> Column:
     """array<struct<k,lines,counts,text>> of the chunks of a text, in order."""
 
@@ -67,8 +61,8 @@ def chunks(text: Column) -> Column:
 
     def piece(lines: Column, begin: Column, end: Column, k: Column) -> Column:
         own = F.slice(lines, begin + 1, end - begin)
-        full = F.size(F.filter(own, lambda x: x.rlike(WORD)))
-        counts = (full >= 2) | ((end - begin == 1) & (F.length(F.get(lines, begin)) >= LONG) & (full == 1))
+        full = F.aggregate(own, F.lit(0), lambda n, x: n + F.when(~x.rlike(WORD), 0).when(F.length(x) >= LONG, F.regexp_count(x, F.lit(SENTENCE_END)) + 1).otherwise(1))
+        counts = full >= 2
         return F.struct(k.cast("int").alias("k"), (end - begin).alias("lines"), counts.alias("counts"), F.array_join(own, "\n").alias("text"))
 
     return let(F.split(text, "\n", -1), flags)
@@ -107,44 +101,54 @@ def later(docs: DataFrame, parts: Callable[[Column], Column], *extra: str) -> Da
     rows = keyed(docs.where("text IS NOT NULL").select("doc_id", "text"))
     rows = rows.select("__d", "__t", F.explode(F.filter(parts(F.col("text")), lambda c: c["counts"])).alias("c"))
     rows = rows.select("__d", "__t", *[F.col(f"c.{x}").alias(x) for x in ("k", *extra)], F.col("c.text").alias("chunk")).withColumn("h", F.xxhash64("chunk"))
-    twice = stage(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1").select("h"), "line-hashes")
-    few = twice.count() <= BROADCAST_ROWS
-    found = stage(rows.join(F.broadcast(twice) if few else twice, "h", "left_semi"), "line-chunks")
+    twice = stage(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1"), "line-hashes")
+    one = twice.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows")).first()
+    few = one["n"] <= BROADCAST_ROWS
+    repeats = rows.join(F.broadcast(twice.select("h")), "h", "left_semi") if few else attach(rows, twice, "h", "n_rows", one["rows"], "inner")
+    found = stage(repeats, "line-chunks")
     first = F.min(F.struct("__d", "__t", "k")).alias("first")
     groups = stage(found.groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n_rows"), first).where("n_rows > 1").withColumnRenamed("chunk", "same"), "line-groups")
     both = attach(found, groups, "h", "n_rows", found.count(), "inner").where("chunk = same")
     return both.where(F.struct("__d", "__t", "k") != F.col("first")).select("__d", "__t", "k", *extra)
 
 
+def by_document(lost: DataFrame) -> DataFrame:
+    return lost.groupBy(F.col("__d").alias("__d2"), F.col("__t").alias("__t2")).agg(F.collect_set("k").alias("__ks"))
+
+
 def repeated(docs: DataFrame) -> DataFrame:
-    """(__d, __t, ks): numbers of the chunks that each document loses."""
-    return later(docs, chunks).groupBy("__d", "__t").agg(F.collect_set("k").alias("ks"))
+    """(__d2, __t2, __ks): numbers of the chunks that each document loses."""
+    return by_document(later(docs, chunks))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(__d, __t, ks): numbers of the lines with words that each document loses."""
+    """(__d2, __t2, __ks): numbers of the lines with words that each document loses."""
     lost = later(docs, units, "n").select("__d", "__t", F.explode(F.sequence("k", F.col("k") + F.col("n") - 1)).alias("k"))
-    return lost.groupBy("__d", "__t").agg(F.collect_set("k").alias("ks"))
+    return by_document(lost)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with texts freed of repeated chunks, and ``__lines`` and ``__removed``, the
     lines of each text before and those that it lost."""
-    lost = repeated(docs).select(F.col("__d").alias("__d2"), F.col("__t").alias("__t2"), "ks")
+    lost = repeated(docs)
     rows = keyed(docs)
     both = rows.join(lost, (rows["__d"] == lost["__d2"]) & (rows["__t"] == lost["__t2"]), "left")
-    parts = F.when(F.col("ks").isNotNull(), let(F.struct(chunks(F.col("text")).alias("all"), F.col("ks").alias("ks")), lambda s: F.filter(s["all"], lambda c: ~F.array_contains(s["ks"], c["k"]))))
-    both = both.withColumn("__parts", parts)
+
+    def rest(all_: Column, gone: Column) -> Column:
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), gone), lambda k: F.get(all_, k))
+
+    some = F.col("__ks").isNotNull()
+    both = both.withColumn("__parts", F.when(some, let(F.struct(chunks(F.col("text")).alias("all"), F.col("__ks").alias("gone")), lambda s: rest(s["all"], s["gone"]))))
     lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long")
     kept = F.aggregate("__parts", F.lit(0).cast("long"), lambda a, c: a + c["lines"])
-    both = both.withColumns({"__lines": lines, "__removed": F.when(F.col("ks").isNotNull(), lines - kept).otherwise(F.lit(0)).cast("long")})
-    text = F.when(F.col("ks").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__parts", lambda c: c["text"]), "\n"))
+    both = both.withColumns({"__lines": lines, "__removed": F.when(some, lines - kept).otherwise(F.lit(0)).cast("long")})
+    text = F.when(some, F.array_join(F.transform("__parts", lambda c: c["text"]), "\n")).otherwise(F.col("text"))
     return both.withColumn("text", text).select(*docs.columns, "__lines", "__removed")
 
 
 def dedup_runs(docs: DataFrame) -> DataFrame:
     """``docs`` with texts freed of all lines of repeated runs."""
-    lost = repeated_lines(docs).select(F.col("__d").alias("__d2"), F.col("__t").alias("__t2"), "ks")
+    lost = repeated_lines(docs)
     rows = keyed(docs)
     both = rows.join(lost, (rows["__d"] == lost["__d2"]) & (rows["__t"] == lost["__t2"]), "left")
 
@@ -155,9 +159,9 @@ def dedup_runs(docs: DataFrame) -> DataFrame:
 
         return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(at) - 1), ks), own), "\n")
 
-    split = F.struct(F.split(F.col("text"), "\n", -1).alias("lines"), F.col("ks").alias("ks"))
+    split = F.struct(F.split(F.col("text"), "\n", -1).alias("lines"), F.col("__ks").alias("ks"))
     text = let(split, lambda s: let(word_lines(s["lines"]), lambda at: kept(s["lines"], at, s["ks"])))
-    return both.withColumn("text", F.when(F.col("ks").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
+    return both.withColumn("text", F.when(F.col("__ks").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,10 +180,10 @@ WITH l AS (
   SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM f
 ), c AS (
   SELECT doc_id, k, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS chunk,
-    sum(CASE WHEN regexp_matches(line, '[^\x20\x09-\x0D]') THEN 1 ELSE 0 END) AS full_lines, max(length(line)) AS longest
+    sum(CASE WHEN NOT regexp_matches(line, '[^\x20\x09-\x0D]') THEN 0 WHEN length(line) >= {LONG} THEN len(regexp_extract_all(line, '{SENTENCE_END}')) + 1 ELSE 1 END) AS full_lines
   FROM g GROUP BY doc_id, k
 ), r AS (
-  SELECT *, full_lines >= 2 OR lines = 1 AND longest >= {LONG} AND full_lines = 1 AS counts FROM c
+  SELECT *, full_lines >= 2 AS counts FROM c
 ), o AS (
   SELECT *, counts AND row_number() OVER (PARTITION BY chunk, counts ORDER BY doc_id NULLS LAST, k) > 1 AS gone FROM r
 )

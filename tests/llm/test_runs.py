@@ -67,3 +67,39 @@ def test_exact_copies_leave_one_document(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
     left = corpus_pipeline.keep_one_of_near_copies(spark, corpus_pipeline.dedup_lines(spark, frame, ""), "")
     assert sorted(r.doc_id for r in left.collect() if r.text) == [0, 1, 2, 3, 4, 6, 7, 9]
+
+
+SENTENCES = "The first sentence of a paragraph stands here. The second one follows it at once! And a third one makes the line long enough?"
+
+
+def test_clashing_names_and_hot_chunks(spark):
+    """A passage in all of 3,000 documents, joined by shuffle, and columns with the names of
+    own ones."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    few, line_dedup.BROADCAST_ROWS = line_dedup.BROADCAST_ROWS, 0
+    try:
+        docs = [(i, f"own line {i}\n{SENTENCES}\nother line {i}", i, "k", "h", 1) for i in range(3000)]
+        frame = spark.createDataFrame(docs, "doc_id long, text string, ks long, k string, h string, n_rows int").repartition(4)
+        for made in (line_dedup.dedup_lines(frame), line_dedup.dedup_runs(frame)):
+            assert made.columns[:6] == frame.columns
+            rows = sorted(made.collect())
+            assert rows[0].text == docs[0][1] and [r.ks for r in rows] == list(range(3000))
+            assert all(r.text == f"own line {r.doc_id}\nother line {r.doc_id}" for r in rows[1:])
+    finally:
+        line_dedup.BROADCAST_ROWS = few
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_chunks_have_several_lines(spark):
+    """A long line of several sentences is a chunk of several lines, one of one sentence is
+    not; sentences of short lines are not told apart."""
+    one = "word " * 30 + "end."
+    texts = [SENTENCES, one, "Short one. Short two.", "a b\n\nc d"]
+    frame = spark.createDataFrame([(2 * i + k, t) for i, t in enumerate(texts) for k in range(2)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()}
+    assert [got[2 * i] for i in range(4)] == texts
+    assert got[1] == "" and got[3] == one and got[5] == "Short one. Short two."
