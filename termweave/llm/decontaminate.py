@@ -16,9 +16,16 @@ A document holds an item if one consistent alignment has a run of ``RUN`` hits (
 ``WINDOW + RUN - 1`` words), or hits at least ``COVER`` of the item's windows. That is asked
 of the template hits (of the windows that can hit), of the plain hits, and of both together.
 
-Items are taken in blocks of at most ``BLOCK_WORDS`` words; documents pass once per block,
-and only a block is ever on the driver or in a worker. So a benchmark of any size works and
-nothing is shuffled.
+Items are taken in blocks of at most ``BLOCK_WORDS`` words. Documents pass once per block;
+only documents that hold an item of the block leave a row, the block's index is deleted when
+these rows are written, and so only one block is ever on the driver and in a worker. The rows
+are joined to the documents at the end, by id and digest of the text. A benchmark of one
+block, as most are, needs no join: the items are added as the documents pass, and nothing is
+shuffled. A document's hits are expanded at most ``MOST_HITS`` at a time (by items), so
+a benchmark of many items from one template costs time, not memory.
+
+Numbers, units and given names are known in English, German, French and Spanish; in any
+language a capitalised word inside a sentence is a name.
 
 Defined results: null texts are empty; an item of less than ``WINDOW`` words is one window
 of all its words; of one of less than ``LEAST_WORDS`` only the plain words count, and one
@@ -34,25 +41,46 @@ from __future__ import annotations
 import re
 import string
 import unicodedata
+import uuid
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.common import WORD, table
+from termweave.llm.common import WORD, stage, table, unstage
 from termweave.llm.words import BLANK, hashes, spans
 
 WINDOW, RUN, COVER = 8, 6, 0.5
 LEAST_WORDS = 5
 BLOCK_WORDS = 500_000
 
-# Words that count as numbers, units and given names.
-NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice"
-UNIT_WORDS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons lb lbs oz ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents pound pounds percent degree degrees celsius fahrenheit mph kmh volt volts watt watts joule joules"
-GIVEN_NAMES = "alice anna bob carol carlos daniel david elena emma eva frank george hans helen henry jack james jane john jose julia karl laura lisa lucas maria mark martin mary michael nina olga oscar paul peter robert rosa sam sara sarah sofia susan thomas tom victor"
-NUMBERS, UNITS, NAMES = (frozenset(x.split()) for x in (NUMBER_WORDS, UNIT_WORDS, GIVEN_NAMES))
+#: Hits that are held at once.
+MOST_HITS = 2_000_000
+
+# Words that count as numbers, units and given names, by language.
+NUMBER_WORDS = {
+    "en": "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice",
+    "de": "null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend million millionen milliarde milliarden",
+    "fr": "zéro deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent cents mille million millions milliard milliards",
+    "es": "cero dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince dieciséis veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil millón millones",
+}
+UNIT_WORDS = {
+    "en": "mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons lb lbs oz ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents pound pounds percent degree degrees celsius fahrenheit mph kmh volt volts watt watts joule joules",
+    "de": "meter kilometer zentimeter gramm kilogramm kilo tonne tonnen sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad pfund",
+    "fr": "mètre mètres kilomètre kilomètres centimètre centimètres gramme grammes kilogramme kilogrammes tonne tonnes seconde secondes heure heures jour jours semaine semaines mois an ans année années degré degrés livre livres pourcent",
+    "es": "metro metros kilómetro kilómetros centímetro centímetros gramo gramos kilogramo kilogramos tonelada toneladas litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años grado grados libra libras",
+}
+GIVEN_NAMES = {
+    "en": "alice anna bob carol carlos daniel david elena emma eva frank george hans helen henry jack james jane john jose julia karl laura lisa lucas maria mark martin mary michael nina olga oscar paul peter robert rosa sam sara sarah sofia susan thomas tom victor",
+    "de": "andreas birgit claudia dieter fritz heinz jürgen klaus lukas monika sabine stefan ursula wolfgang",
+    "fr": "antoine camille chloé claire françois henri jean louis luc marie nicolas pierre sophie thierry",
+    "es": "alejandro ana antonio carmen diego fernando isabel javier josé juan luis manuel miguel pablo pedro",
+}
+NUMBERS, UNITS, NAMES = (frozenset(w for x in words.values() for w in x.split()) for words in (NUMBER_WORDS, UNIT_WORDS, GIVEN_NAMES))
 NUMBER = re.compile(r"[+-]?\d[\d.,]*(?:st|nd|rd|th)?\Z")
 QUANTITY = re.compile(r"[+-]?\d[\d.,]*([a-z]+)\Z")
 #: Signs beyond ASCII: punctuation, symbols, formats, spaces. Those that stand for an ASCII
@@ -91,7 +119,6 @@ def plain_signs(text: str) -> str:
     return re.sub(rf"(?<!{NO_BLANK}){NO_BLANK}*[{others}]{NO_BLANK}*", _bare, text) if others else text
 
 
-
 def _marked(signs: str) -> np.ndarray:
     out = np.zeros(256, dtype=bool)
     out[list(signs.encode())] = True
@@ -219,17 +246,34 @@ def table_of(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Table:
     return key[order], own[order], at[order]
 
 
-def probe(table: Table, own: np.ndarray, good: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Item, place in the item and diagonal of each hit of a document's windows."""
-    keys, owner, at = table
+def located(table: Table, own: np.ndarray, good: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of a document that hit, where their rows of the table begin, and how many
+    they are."""
+    keys = table[0]
     if not len(own) or not len(keys):
         return (np.zeros(0, dtype=np.int64),) * 3
     left = np.searchsorted(keys, own)
     same = keys[np.minimum(left, len(keys) - 1)] == own
     hit = np.flatnonzero(same if good is None else same & good)
-    n = np.searchsorted(keys, own[hit], side="right") - left[hit]
-    row = np.repeat(left[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return owner[row], at[row], np.repeat(hit, n) - at[row]
+    return hit, left[hit], np.searchsorted(keys, own[hit], side="right") - left[hit]
+
+
+def probe(table: Table, where: tuple[np.ndarray, np.ndarray, np.ndarray], part: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Item, place in the item and diagonal of each hit of one part of the items."""
+    _, owner, at = table
+    out = []
+    hit, left, n = where
+    # as many hits at a time as are allowed in memory; a single window has no more than a block has
+    cuts = np.flatnonzero(np.diff(np.cumsum(n) // MOST_HITS, prepend=0)) if len(n) else []
+    for a, b in zip([0, *cuts], [*cuts, len(n)]):
+        m = n[a:b]
+        row = np.repeat(left[a:b] - np.cumsum(m) + m, m) + np.arange(m.sum())
+        doc = np.repeat(hit[a:b], m)
+        if parts > 1:
+            keep = owner[row] % parts == part
+            row, doc = row[keep], doc[keep]
+        out.append((owner[row], at[row], doc - at[row]))
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
 
 
 class Index:
@@ -264,24 +308,31 @@ class Index:
         """(item_id, hits) of the items that a document holds."""
         codes, slots, words, plain = templates(text)
         out = []
-        for width, (masked, literal) in self.tables.items():
-            found = [probe(masked, *windows(codes, slots, width)), probe(literal, windows(plain, slots, width)[0])]
-            item, item_at, line = (np.concatenate([f[j] for f in found]) for j in range(3))
-            if not len(item):
-                continue
-            exact = np.repeat([False, True], [len(f[0]) for f in found])
-            order = np.lexsort((item_at, line, item))
-            item, item_at, line, exact = item[order], item_at[order], line[order], exact[order]
-            ends = np.flatnonzero(np.diff(item) | np.diff(line)) + 1
-            best: dict[int, int] = {}
-            for a, b in zip([0, *ends], [*ends, len(item)]):
-                k, at = int(item[a]), item_at[a:b]
-                n = self._hits(k, at[~exact[a:b]], at[exact[a:b]], words, int(line[a]), width)
-                if n > best.get(k, 0):
-                    best[k] = n
-            out += [(self.ids[k], n) for k, n in best.items()]
+        for width, tables in self.tables.items():
+            where = [located(tables[0], *windows(codes, slots, width)), located(tables[1], windows(plain, slots, width)[0])]
+            total = sum(int(n.sum()) for *_, n in where)
+            parts = 1 + total // MOST_HITS
+            for part in range(parts if total else 0):
+                out += self._aligned([probe(t, w, part, parts) for t, w in zip(tables, where)], words, width)
         return out
 
+    def _aligned(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], words: WordsOf, width: int) -> list[tuple[int | None, int]]:
+        """The items of which an alignment holds, from the hits of templates and plain words."""
+        item, item_at, line = (np.concatenate([f[j] for f in found]) for j in range(3))
+        if not len(item):
+            return []
+        exact = np.repeat([False, True], [len(f[0]) for f in found])
+        order = np.lexsort((item_at, line, item))
+        item, item_at, line, exact = item[order], item_at[order], line[order], exact[order]
+        ends = np.flatnonzero(np.diff(item) | np.diff(line)) + 1
+        best: dict[int, int] = {}
+        for a, b in zip([0, *ends], [*ends, len(item)]):
+            k, at = int(item[a]), item_at[a:b]
+            n = self._hits(k, at[~exact[a:b]], at[exact[a:b]], words, int(line[a]), width)
+            if n > best.get(k, 0):
+                best[k] = n
+        return [(self.ids[k], n) for k, n in best.items()]
+
     def _hits(self, k: int, masked: np.ndarray, plain: np.ndarray, words: WordsOf, line: int, width: int) -> int:
         """Hits of an alignment that holds, 0 if none does: of templates, of plain words
         (which are consistent), of both."""
@@ -336,28 +387,53 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
 
 
 ITEMS = "array<struct<item_id:bigint,hits:bigint>>"
+ITEM_ROWS = pa.list_(pa.struct([("item_id", pa.int64()), ("hits", pa.int64())]))
+
+
+def in_order(found: list[tuple[int | None, int]]) -> list[dict]:
+    return [{"item_id": i, "hits": n} for i, n in sorted(found, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))]
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` with a column ``__items``: the items that the text holds and
     their hits, by item_id (null first)."""
-    item_type = pa.list_(pa.struct([("item_id", pa.int64()), ("hits", pa.int64())]))
-    out = docs.withColumn("__items", F.array().cast(ITEMS))
-    for block in blocks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(Index(block))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = held.value
-            for batch in batches:
-                names = batch.schema.names
-                at = names.index("text")
-                found = []
-                for text, before in zip(batch.column(at), batch.column(len(names) - 1)):
-                    new = [{"item_id": i, "hits": n} for i, n in index.find(text.as_py() or "")]
-                    found.append(sorted([*before.as_py(), *new], key=lambda x: (x["item_id"] is not None, x["item_id"] or 0, x["hits"])))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, item_type)], names)
-
-        out = out.mapInArrow(run, out.schema)
+    held = blocks(benchmark)
+    first, second = next(held, None), next(held, None)
+    none = F.array().cast(ITEMS)
+    if first is None:
+        return docs.withColumn("__items", none)
+    if second is None:
+        return with_items(docs, docs.sparkSession.sparkContext.broadcast(Index(first)))
+    keyed = docs.withColumns({"__d": F.col("doc_id").cast("long"), "__t": F.sha2(F.coalesce("text", F.lit("")), 256)})
+    rows = keyed.select("__d", "__t", "text")
+    found = [hits_of(rows, b) for b in chain([first, second], held)]
+    every = reduce(DataFrame.unionByName, found).groupBy(F.col("__d").alias("__d2"), F.col("__t").alias("__t2"))
+    # rows of one id and text have the same items; one of them counts
+    listed = every.agg(F.collect_set(F.struct("block", "items")).alias("s"))
+    order = F.array_sort(F.flatten(F.transform("s", lambda x: x["items"])))
+    listed = stage(listed.select("__d2", "__t2", order.alias("__items")), "leak-items")
+    unstage(*found)
+    both = keyed.join(listed, F.col("__d").eqNullSafe(F.col("__d2")) & (F.col("__t") == F.col("__t2")), "left")
+    return both.select(*docs.columns, F.coalesce("__items", none).alias("__items"))
+
+
+def with_items(docs: DataFrame, held) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = held.value
+        for batch in batches:
+            names = batch.schema.names
+            found = [in_order(index.find(t.as_py() or "")) for t in batch.column(names.index("text"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, ITEM_ROWS)], [*names, "__items"])
+
+    return docs.mapInArrow(run, docs.withColumn("__items", F.array().cast(ITEMS)).schema)
+
+
+def hits_of(rows: DataFrame, block: list[tuple[int | None, str]]) -> DataFrame:
+    """Staged (__d, __t, block, items) of the rows that hold an item of a block."""
+    held = rows.sparkSession.sparkContext.broadcast(Index(block))
+    found = with_items(rows, held).where(F.size("__items") > 0)
+    out = stage(found.select("__d", "__t", F.lit(uuid.uuid4().hex).alias("block"), F.col("__items").alias("items")), "leak-hits")
+    held.destroy()
     return out
 
 
