@@ -9,10 +9,11 @@ a tied transition weight, by gradient ascent on the conditional likelihood. Line
 training come from document labels: every line of a document of quality 1 counts as
 content, every line of one of quality 0 as boilerplate, except short lines, which are
 unknown and summed out (a hidden label, as clean lines occur in bad documents and boiler
-lines in good ones). Training takes at most ``TRAIN_DOCS`` labelled documents, those of
-least crc32, and of each at most ``TRAIN_LINES`` successive lines with words, from a place
-that the crc32 chooses: a documented bound on a sample, for training alone. Features are
-those of whole lines of the whole text, worked out on the executors as in scoring.
+lines in good ones). Training takes a bounded sample of the labelled documents: in order of
+their crc32, at most ``TRAIN_DOCS``, as long as their lines are ``TRAIN_LINES`` in sum at most
+(a document that would lead beyond is passed over). It takes whole documents, with the features that
+scoring has, worked out on the executors. Chains of lines are trained in links of ``LINK``
+lines, each for itself (piecewise training), of which every line is part.
 Without usable labels a fixed start model is taken.
 
 Defined results: a null text is an empty one; an empty text has no words, so it fails the
@@ -30,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.common import table
+from termweave.llm.common import stage, table, unstage
 from termweave.llm.words import mix, word_hashes
 
 TRAIN_DOCS = 2000
-TRAIN_LINES = 40
+TRAIN_LINES = 200_000
+LINK = 64
 KEEP_SHARE = 0.5
 MIN_WORDS = 10
 SYMBOLS = "#*$%&|<>"
@@ -106,9 +108,9 @@ def viterbi(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return np.array(out[::-1])
 
 
-def _forward_backward(emit: np.ndarray, real: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Batched over chains: log-partition, label marginals, expected transitions.
-    ``emit`` is (chains, steps, 2); ``real`` marks the steps that exist."""
+def _forward_backward(emit: np.ndarray, real: np.ndarray, trans: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Batched over chains: log-partition, label marginals, expected transitions (summed
+    with the chains' weights). ``emit`` is (chains, steps, 2); ``real`` marks the steps that exist."""
     n, steps, _ = emit.shape
     alpha, beta = np.zeros_like(emit), np.zeros_like(emit)
     alpha[:, 0] = emit[:, 0]
@@ -125,7 +127,7 @@ def _forward_backward(emit: np.ndarray, real: np.ndarray, trans: np.ndarray) ->
     for i in range(2):
         for j in range(2):
             p = alpha[:, :-1, i] + trans[i, j] + emit[:, 1:, j] + beta[:, 1:, j] - log_z[:, None]
-            pairs[i, j] = np.exp(np.where(real[:, 1:], p, -np.inf)).sum()
+            pairs[i, j] = (np.exp(np.where(real[:, 1:], p, -np.inf)) * weight[:, None]).sum()
     return log_z, single, pairs
 
 
@@ -137,42 +139,62 @@ START[0][0, 1] = 1.0
 START[0][4:7, 0] = 3.0
 
 
+def likelihood(links: list[tuple[np.ndarray, ...]], w: np.ndarray, trans: np.ndarray, l2: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The penalised conditional log-likelihood of the held labels, weighted by chain, and
+    its gradients by features and by the tied transition weight."""
+    value, gw, gt = 0.0, np.zeros_like(w), 0.0
+    for x, real, bar, total in links:
+        emit = np.einsum("ntf,fk->ntk", x, w) * real[..., None]
+        z_free, free, pairs_free = _forward_backward(emit, real, trans, total)
+        z_held, held, pairs_held = _forward_backward(emit + bar, real, trans, total)
+        value += (total * (z_held - z_free)).sum()
+        gw += np.einsum("ntf,ntk->fk", x, (held - free) * total[:, None, None])
+        gt += ((pairs_held - pairs_free) * STICK).sum()
+    stick = trans[0, 0]
+    return value - l2 / 2 * ((w**2).sum() + stick**2), gw - l2 * w, gt - l2 * stick
+
+
+def links_of(docs: list[tuple[np.ndarray, np.ndarray, int]]) -> list[tuple[np.ndarray, ...]]:
+    """Links of the chains (features, word counts, quality), by length: features, which steps are real, bars
+    against labels that are ruled out, and the weight of a link. Both qualities weigh the
+    same, and within one all documents do."""
+    share = np.array([sum(1 for *_, q in docs if q == k) for k in (0, 1)], dtype=float)
+    cut: dict[int, list[tuple[np.ndarray, np.ndarray, int, float]]] = {}
+    for f, c, q in docs:
+        each = 0.5 / share[int(q)] / len(f)
+        for at in range(0, len(f), LINK):
+            part = f[at : at + LINK]
+            # padded to a power of two
+            cut.setdefault(1 << (len(part) - 1).bit_length(), []).append((part, c[at : at + LINK], int(q), each))
+    out = []
+    for steps, group in sorted(cut.items()):
+        x, real, bar = np.zeros((len(group), steps, N_FEATURES)), np.zeros((len(group), steps), dtype=bool), np.zeros((len(group), steps, 2))
+        for k, (f, c, q, _) in enumerate(group):
+            x[k, : len(f)], real[k, : len(f)] = f, True
+            bar[k, : len(f), 1 - q] = np.where(c >= KNOWN_WORDS, -30.0, 0.0)
+        out.append((x, real, bar, np.array([e for *_, e in group])))
+    return out
+
+
 def train(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 80, rate: float = 0.5, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights (features, 2) and transitions (2, 2) from (features, word counts, quality)
     rows, by gradient ascent with momentum; deterministic."""
     chains = [row for row in docs if len(row[0])]
     if not any(q for *_, q in chains) or all(q for *_, q in chains):
         return START
-    # both qualities weigh the same
-    share = np.array([sum(1 for *_, q in chains if q == k) for k in (0, 1)], dtype=float)
-    steps = max(len(f) for f, *_ in chains)
-    x, real = np.zeros((len(chains), steps, N_FEATURES)), np.zeros((len(chains), steps), dtype=bool)
-    bar = np.zeros((len(chains), steps, 2))
-    each = np.zeros(len(chains))
-    for k, (f, c, q) in enumerate(chains):
-        x[k, : len(f)], real[k, : len(f)] = f, True
-        bar[k, : len(f), 1 - int(q)] = np.where(c >= KNOWN_WORDS, -30.0, 0.0)
-        each[k] = 0.5 * len(chains) / share[int(q)]
-    w, trans = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
-    vw, vt = np.zeros_like(w), np.zeros_like(trans)
-    scale = each / real.sum(1)
-    total = scale[:, None] * real
-
+    links = links_of(chains)
+    w, stick = np.zeros((N_FEATURES, 2)), 0.0
+    vw, vt = np.zeros_like(w), 0.0
     for _ in range(rounds):
-        emit = np.einsum("ntf,fk->ntk", x, w) * real[..., None]
-        _, free, pairs_free = _forward_backward(emit, real, trans)
-        _, held, pairs_held = _forward_backward(emit + bar, real, trans)
-        gw = np.einsum("ntf,ntk->fk", x, (held - free) * total[..., None]) / len(chains) - l2 * w
-        diff = pairs_held - pairs_free
-        gt = STICK * (diff * STICK).sum() / real.sum() - l2 * trans
+        _, gw, gt = likelihood(links, w, stick * STICK, l2)
         vw, vt = 0.9 * vw + gw, 0.9 * vt + gt
-        w, trans = w + rate * vw, np.clip(trans + rate * vt, -MOST_STICK, MOST_STICK)
-    return np.round(w, 6), np.round(trans, 6)
+        w, stick = w + rate * vw, float(np.clip(stick + rate * vt, -MOST_STICK, MOST_STICK))
+    return np.round(w, 6), np.round(stick * STICK, 6)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """The bounded sample: labelled rows whose crc32 mod 5 is not 0, those of least crc32,
-    as features and word counts of lines."""
+    """The bounded sample of labelled rows whose crc32 mod 5 is not 0, as features and word
+    counts of all their lines."""
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     key = F.crc32(F.col("doc_id").cast("string"))
     picked = known.where(key % 5 != 0).orderBy(key, "doc_id").limit(TRAIN_DOCS)
@@ -180,18 +202,21 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            feats, counts = [], []
-            for text, seed in zip(batch.column(3), batch.column(2).to_pylist()):
-                f, c, _ = text_lines(text.as_py())
-                at = seed % max(1, len(c) - TRAIN_LINES + 1)
-                feats.append(f[at : at + TRAIN_LINES].ravel())
-                counts.append(c[at : at + TRAIN_LINES])
-            columns = [pa.array(feats, pa.list_(pa.float64())), pa.array(counts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "quality", "feats", "counts"])
+            made = [text_lines(text.as_py())[:2] for text in batch.column(3)]
+            columns = [pa.array([f.ravel() for f, _ in made], pa.list_(pa.float64())), pa.array([c for _, c in made], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(3)], *columns], ["doc_id", "quality", "seed", "feats", "counts"])
 
     made = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), key.alias("seed"), "text")
-    made = made.mapInArrow(run, "doc_id long, quality int, feats array<double>, counts array<long>")
-    return [(np.array(r.feats, dtype=float).reshape(-1, N_FEATURES), np.array(r.counts, dtype=np.int64), r.quality) for r in made.orderBy("doc_id").collect()]
+    made = stage(made.mapInArrow(run, "doc_id long, quality int, seed long, feats array<double>, counts array<long>"), "rules-lines")
+    taken, lines = [], 0
+    for r in made.select("doc_id", F.size("counts").alias("n")).orderBy("seed", "doc_id").collect():  # TRAIN_DOCS rows at most
+        if lines + r.n <= TRAIN_LINES:
+            taken.append(r.doc_id)
+            lines += r.n
+    some = made.join(F.broadcast(made.sparkSession.createDataFrame([(d,) for d in taken], "doc_id long")), "doc_id", "left_semi")
+    out = [(np.array(r.feats, dtype=float).reshape(-1, N_FEATURES), np.array(r.counts, dtype=np.int64), r.quality) for r in some.orderBy("doc_id").collect()]
+    unstage(made)
+    return out
 
 
 def repeat_words(ids: np.ndarray) -> int:
@@ -234,7 +259,7 @@ def quality_rules(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], share:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [measure(t, weights, trans, share) for t in batch.column(1).to_pylist()]
+            rows = [measure(t.as_py(), weights, trans, share) for t in batch.column(1)]
             columns = [pa.array([r[k] for r in rows], type=t) for k, (_, t) in enumerate(ARROW)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *[n for n, _ in ARROW]])
 
