@@ -3,12 +3,14 @@
 Document statistics are standardised and mapped to random Fourier features, which
 approximate a Gaussian kernel. Ridge scores come from normal equations: each partition sums
 its part of the Gram matrix, Spark adds the parts (as integers of 2**-24, so that any order
-gives the same sum) and the driver solves a system of fixed size. An isotonic regression on
-rows that the ridge has not seen turns scores into chances of label 1; it is fitted on at
-most ``BINS`` bins, each a count and a sum.
+gives the same sum) and the driver solves systems of fixed size. An isotonic regression on
+scores of rows that their ridge has not seen turns scores into chances of label 1; it is
+fitted on at most ``BINS`` bins, each a count and a sum.
 
-Labels are learned only from rows whose crc32(doc_id as text) mod 5 is not 0: remainders 1
-to 3 fit the ridge, 4 the calibration. Only the text enters a score.
+Labels are learned only from rows whose crc32(doc_id as text) mod 5 is not 0. The remainders
+1 to 4 are folds: the rows of each are scored by the ridge of the other three, all these
+scores fit the calibration, and the ridge of all four scores documents. That is so for any
+number of rows; the four Gram matrices are summed in one pass. Only the text enters a score.
 
 Defined results: a null text is an empty one; empty texts have statistics too and are scored;
 of repeated labels of one doc_id the least quality counts, null ones and other values are
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.common import stage, table
+from termweave.llm.common import stage, table, unstage
 from termweave.llm.words import FACTOR, word_hashes
 
 N_STATS = 12
@@ -132,29 +134,48 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=float).reshape(-1, N_STATS)
 
 
-def gram(rows: DataFrame, mean: np.ndarray, std: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The normal equations of (x, y) rows, summed by partition, then by Spark."""
+FOLDS = (1, 2, 3, 4)
+
+
+def grams(rows: DataFrame, mean: np.ndarray, std: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The normal equations of (x, y, fold) rows by fold, summed by partition, then by Spark."""
     size = N_FEATURES + 1
     upper = np.triu_indices(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, size + 1))
+        total = np.zeros((len(FOLDS), size, size + 1))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            phi = fourier((_matrix(batch.column(0)) - mean) / std)
-            total[:, :size] += phi.T @ phi
-            total[:, size] += phi.T @ np.asarray(batch.column(1), dtype=float)
-        flat = np.rint(np.concatenate([total[:, :size][upper], total[:, size]]) * SCALE).astype(np.int64)
+            phi, y, fold = fourier((_matrix(batch.column(0)) - mean) / std), np.asarray(batch.column(1), dtype=float), np.asarray(batch.column(2))
+            for k, f in enumerate(FOLDS):
+                own = phi[fold == f]
+                total[k, :, :size] += own.T @ own
+                total[k, :, size] += own.T @ y[fold == f]
+        flat = np.rint(np.concatenate([np.concatenate([t[:, :size][upper], t[:, size]]) for t in total]) * SCALE).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["k", "v"])
 
-    sums = rows.select("x", "y").mapInArrow(run, "k long, v long").groupBy("k").agg(F.sum(F.col("v").cast("decimal(38,0)")).cast("double").alias("v"))
-    flat = np.zeros(len(upper[0]) + size)
-    for r in sums.collect():
+    sums = rows.select("x", "y", "fold").mapInArrow(run, "k long, v long").groupBy("k").agg(F.sum(F.col("v").cast("decimal(38,0)")).cast("double").alias("v"))
+    n = len(upper[0]) + size
+    flat = np.zeros(n * len(FOLDS))
+    for r in sums.collect():  # of fixed size
         flat[r.k] = r.v / SCALE
-    out = np.zeros((size, size))
-    out[upper] = flat[: len(upper[0])]
-    return out + np.triu(out, 1).T, flat[len(upper[0]) :]
+    out = {}
+    for f, own in zip(FOLDS, flat.reshape(len(FOLDS), n)):
+        g = np.zeros((size, size))
+        g[upper] = own[: len(upper[0])]
+        out[f] = g + np.triu(g, 1).T, own[len(upper[0]) :]
+    return out
+
+
+def ridge(parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weights from the normal equations of some folds."""
+    g, r = sum(p[0] for p in parts), sum(p[1] for p in parts)
+    return np.linalg.solve(g + RIDGE * max(1.0, g[-1, -1]) / N_FEATURES * np.eye(len(g)), r)
+
+
+def bin_of(score: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((score + 0.5) * BINS / 2), 0, BINS - 1).astype(np.int64)
 
 
 def fit(statistics_of: DataFrame, labels: DataFrame) -> Model:
@@ -163,28 +184,27 @@ def fit(statistics_of: DataFrame, labels: DataFrame) -> Model:
     rows = statistics_of.join(known, "doc_id").withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0")
     rows = stage(rows.select("x", F.col("y").cast("double").alias("y"), "fold"), "quality-train")
     cells = [f(F.get("x", F.lit(k))).alias(f"{n}{k}") for k in range(N_STATS) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
-    by = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones"), F.sum((F.col("fold") == 4).cast("int")).alias("held"), *cells).first()
+    by = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones"), *cells).first()
     n, ones = by["n"], by["ones"] or 0.0
     if not 0 < ones < n:
         share = np.array([(ones + 1) / (n + 2)])
         return Model(np.zeros(N_STATS), np.ones(N_STATS), np.zeros(N_FEATURES + 1), np.zeros(1), share)
     mean = np.round([by[f"m{k}"] for k in range(N_STATS)], 6)
     std = np.maximum(1e-3, np.round([by[f"s{k}"] for k in range(N_STATS)], 6))
-    small = n < 50  # too few rows to split
-    g, r = gram(rows if small else rows.where("fold <> 4"), mean, std)
-    weights = np.linalg.solve(g + RIDGE * max(1.0, g[-1, -1]) / N_FEATURES * np.eye(len(g)), r)
+    parts = grams(rows, mean, std)
+    others = np.array([ridge([parts[f] for f in FOLDS if f != own]) for own in FOLDS])
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = fourier((_matrix(batch.column(0)) - mean) / std) @ weights
-            bins = np.clip(np.floor((score + 0.5) * BINS / 2), 0, BINS - 1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(bins), batch.column(1)], ["bin", "y"])
+            score = (fourier((_matrix(batch.column(0)) - mean) / std) * others[np.asarray(batch.column(2)) - FOLDS[0]]).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(bin_of(score)), batch.column(1)], ["bin", "y"])
 
-    held = rows if small or not by["held"] else rows.where("fold = 4")
-    bins = sorted(held.select("x", "y").mapInArrow(raw, "bin long, y double").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s")).collect())
+    binned = rows.select("x", "y", "fold").mapInArrow(raw, "bin long, y double").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
+    bins = sorted(binned.collect())  # BINS rows at most
     at = np.array([(b.bin + 0.5) * 2 / BINS - 0.5 for b in bins])
     knots, values = isotonic(at, np.array([float(b.n) for b in bins]), np.array([b.s for b in bins]))
-    return Model(mean, std, weights, knots, values)
+    unstage(rows)
+    return Model(mean, std, ridge(list(parts.values())), knots, values)
 
 
 def scored(statistics_of: DataFrame, model: Model) -> DataFrame:

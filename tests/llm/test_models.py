@@ -193,6 +193,47 @@ def test_quality(spark):
     assert {r.score for r in quality.scored(x, quality.fit(x, labels.where("quality = 1"))).collect()} != set()
 
 
+def test_quality_by_force(spark):
+    """The fitted model against ridge and calibration worked out at once from all rows."""
+    docs, labels = labelled(spark)
+    noisy = labels.withColumn("quality", F.when(F.col("doc_id") % 7 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    for most in (600, 30):
+        x = quality.features(docs).where(F.col("doc_id") < most)
+        model = quality.fit(x, noisy)
+        y = {r.doc_id: r.quality for r in noisy.collect()}
+        rows = sorted((r.doc_id, r.x) for r in x.collect())
+        fold = {i: __import__("zlib").crc32(str(i).encode()) % 5 for i, _ in rows}
+        train = [(i, v) for i, v in rows if fold[i]]
+        stats = np.array([v for _, v in train])
+        mean, std = np.round(stats.mean(axis=0), 6), np.maximum(1e-3, np.round(stats.std(axis=0), 6))
+        assert np.allclose(model.mean, mean, atol=2e-6) and np.allclose(model.std, std, atol=2e-6)
+        phi, target, own = quality.fourier((stats - model.mean) / model.std), np.array([y[i] for i, _ in train], dtype=float), np.array([fold[i] for i, _ in train])
+
+        def weights(keep):
+            a, b = phi[keep], target[keep]
+            return np.linalg.solve(a.T @ a + quality.RIDGE * max(1.0, keep.sum()) / quality.N_FEATURES * np.eye(a.shape[1]), a.T @ b)
+
+        assert np.allclose(phi @ model.weights, phi @ weights(own > 0), atol=1e-3)
+        raw = np.zeros(len(train))
+        for f in (1, 2, 3, 4):
+            raw[own == f] = phi[own == f] @ weights(own != f)
+        # isotonic regression by its formula: the greatest mean from below of least means to above
+        bins = quality.bin_of(raw)
+        places = sorted(set(bins.tolist()))
+        sums = {b: (target[bins == b].sum(), (bins == b).sum()) for b in places}
+        ones, count = (np.concatenate([[0], np.cumsum([sums[b][k] for b in places])]) for k in (0, 1))
+        fitted = []
+        for k in range(len(places)):
+            means = (ones[None, k + 1 :] - ones[: k + 1, None]) / (count[None, k + 1 :] - count[: k + 1, None])
+            fitted.append(means.min(axis=1).max())
+        n = np.array([float(sums[b][1]) for b in places])
+        _, values = quality.isotonic(np.array([(b + 0.5) * 2 / quality.BINS - 0.5 for b in places]), n, np.array([sums[b][0] for b in places]))
+        # equal neighbours of the formula are one block
+        assert np.allclose(values, [v for v, _ in __import__("itertools").groupby(np.round(fitted, 9))], atol=1e-6)
+        got = model.score(stats)
+        assert abs(got - target).mean() < 0.35 and len(model.values) == len(values)
+
+
 def test_isotonic():
     knots, values = quality.isotonic(np.array([0.0, 1.0, 2.0, 3.0]), np.array([1.0, 1.0, 1.0, 1.0]), np.array([0.0, 1.0, 0.0, 1.0]))
     assert values.tolist() == [0.0, 0.5, 1.0] and knots.tolist() == [0.0, 1.5, 3.0]
