@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from termweave.operators import diff, etl, validate
 from termweave.operators.extract import ModelExtractor, RuleExtractor
 from termweave.operators.link import Knowledge, LinkConfig
-from termweave.plans.linking import link_batch
+from termweave.plans.linking import link_files
 from termweave.plans.smoke import smoke_report
 from termweave.sources import files, sinks
 
@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
     link.add_argument("--extractor", choices=["rules", "model"], default="rules")
     link.add_argument("--model", default=None, help="module:factory of a model with load() and generate(prompts)")
     link.add_argument("--limit", type=int, default=None)
-    link.add_argument("--safe", action="store_true", help="write empty results if a run fails")
+    link.add_argument("--safe", action="store_true", help="write an empty result for a text that fails, and go on")
     for q in (link, sub.add_parser("smoke"), sub.add_parser("export-graph")):
         q.add_argument("--icd-path", required=True)
         q.add_argument("--rxnorm-path")
@@ -38,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
         q.add_argument("--dense-cache", default=os.environ.get("DENSE_CACHE_PATH"))
         q.add_argument("--expansions", default=None, help="kept replies of the query expander")
     sub.choices["export-graph"].add_argument("--output-dir", required=True)
-    sub.choices["export-graph"].add_argument("--sample-code", nargs="*", default=[])
+    sub.choices["export-graph"].add_argument("--sample-code", nargs="*", default=SAMPLE_CODES)
     check = sub.add_parser("validate")
     check.add_argument("--input-dir", default="input")
     check.add_argument("--output-dir", default="output")
@@ -49,7 +49,7 @@ def parser() -> argparse.ArgumentParser:
     two.add_argument("--after", required=True)
     two.add_argument("--report", required=True)
     two.add_argument("--limit", type=int, default=None)
-    two.add_argument("--max-items", type=int, default=80)
+    two.add_argument("--max-items", type=int, default=200)
     for name in ("convert-xml", "convert-rrf", "merge-aliases"):
         q = sub.add_parser(name)
         q.add_argument("--input", required=True)
@@ -105,14 +105,9 @@ def main(argv: list[str] | None = None) -> int:
         knowledge = knowledge_of(spark, args)
         if args.extractor == "model":
             knowledge.model = extractor.model
-        bodies = link_batch(documents, knowledge, extractor)
-        try:
-            n = sinks.write_submissions(bodies, args.output_dir)
-        except Exception as bad:
-            if not args.safe:
-                raise
-            print(f"failed: {bad}; writing empty results", file=sys.stderr)
-            n = sinks.write_submissions(documents.select("doc_id", F.lit("[]").alias("body")), args.output_dir)
+        n, failed = link_files(documents, knowledge, extractor, args.output_dir, args.safe)
+        for name, reason in failed:
+            print(f"{name}.txt failed: {reason}; wrote []", file=sys.stderr)
         print(f"{n} files")
     elif args.what == "smoke":
         for r in smoke_report(knowledge_of(spark, args), LinkConfig()).collect():

@@ -85,8 +85,8 @@ def term_tokens(text: str | Column) -> Column:
 
 
 # Tokens of diagnosis names that say little, and tokens of body sites.
-GENERIC_TOKENS = "bao benh cap chung da dai day gan hoi man mo ruot te tu ung viem".split()
-SITE_TOKENS = "bao buong dai duong gan giap kich mat nghien ruot ruou thich trung tuyen".split()
+GENERIC_TOKENS = ["bao", "benh", "cap", "chung", "da", "dai", "day", "gan", "hoi", "man", "mo", "ruot", "te", "tu", "ung", "viem"]
+SITE_TOKENS = ["bao", "buong", "dai", "duong", "gan", "giap", "kich", "mat", "nghien", "ruot", "ruou", "thich", "trung", "tuyen"]
 
 
 def meaningful_tokens(text: str | Column) -> Column:

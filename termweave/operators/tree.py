@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from termweave.functions.scores import tree_distance, wu_palmer
+from termweave.sources.scratch import stage, unstage
 
 ROOT = "ROOT"
 #: Levels of a code system; a deeper tree is refused rather than cut.
@@ -16,20 +18,19 @@ MOST_LEVELS = 60
 
 
 def tree_paths(nodes: DataFrame, root: str = ROOT) -> DataFrame:
-    """(code, path, depth) of the nodes that the root reaches; ``path`` runs from the root."""
-    edges = nodes.select("code", "parent_code")
-    return nodes.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(code, path) MAX RECURSION LEVEL {MOST_LEVELS} AS (
-          SELECT code, array(code) FROM {{edges}} WHERE code = {{root}}
-          UNION ALL
-          SELECT e.code, array_append(w.path, e.code) FROM walk w JOIN {{edges}} e ON e.parent_code = w.code WHERE NOT array_contains(w.path, e.code)
-        )
-        SELECT code, path, size(path) - 1 AS depth FROM walk
-        """,
-        edges=edges,
-        root=root,
-    )
+    """(code, path, depth) of the nodes that the root reaches; ``path`` runs from the root.
+    Levels are joined and written one after another, so their size has no bound."""
+    edges = stage(nodes.select(F.col("code").alias("below"), F.col("parent_code").alias("above")), "tree-edges")
+    level = stage(edges.where(F.col("below") == root).select(F.col("below").alias("code"), F.array("below").alias("path")), "tree-level")
+    levels = []
+    while not level.isEmpty():
+        if len(levels) > MOST_LEVELS:
+            raise ValueError(f"a tree of more than {MOST_LEVELS} levels")
+        levels.append(level)
+        deeper = level.join(edges, F.col("above") == F.col("code")).where(~F.array_contains("path", F.col("below")))
+        level = stage(deeper.select(F.col("below").alias("code"), F.array_append("path", F.col("below")).alias("path")), "tree-level")
+    unstage(edges)
+    return reduce(DataFrame.unionByName, levels or [level]).withColumn("depth", F.size("path") - 1)
 
 
 def tree_check(nodes: DataFrame, root: str = ROOT) -> DataFrame:

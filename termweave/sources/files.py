@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from termweave.functions.text import natural_order, split_list, squeeze, strip
+from termweave.sources.scratch import stage
 
 BYTE_ORDER_MARK = "﻿"
 
@@ -238,42 +241,50 @@ def linked_children(payload: Column, model: Column) -> Column:
 def embedded_diseases(payload: Column) -> Column:
     """array<struct<source_id,code,name>> of the diseases that a reply's page shows."""
     page = _html(payload)
-    head = r'(?s)href="disease/([^"#?]+)"\s+name="([^"]+)".*?field" hidden>name</div>.*?<div class="id" hidden>\1</div>.{0,600}'
-    whole = F.regexp_extract_all(page, F.lit(head), F.lit(0))
+    # The page's marks of a disease, and of its shown name in what follows.
+    head = r'(?s)href="disease/([^"#?]+)"\s+name="([^"]+)".*?field" hidden>name</div>.*?<div class="id" hidden>\1</div>'
+    name = r'(?s)^href="disease/([^"#?]+)".*?<div class="content d-inline-block" >([^<]+)</div><span class="icons">\s*<div class="content-raw" hidden>\1:'
+    # the name may stand behind the next disease's beginning: it is looked at, not taken
+    near = head + r"(?=(.{0,600}))"
+    heads = F.arrays_zip(*[F.regexp_extract_all(page, F.lit(near), F.lit(k)).alias(n) for k, n in ((0, "all"), (1, "id"), (2, "code"), (3, "after"))])
 
     def one(m: Column) -> Column:
-        source = strip(_unescape(F.regexp_extract(m, r'href="disease/([^"#?]+)"', 1)))
-        code = strip(_unescape(F.regexp_extract(m, r'name="([^"]+)"', 1)))
-        shown = F.regexp_extract(m, r'(?s)href="disease/([^"#?]+)".*?<div class="content d-inline-block" >([^<]+)</div><span class="icons">\s*<div class="content-raw" hidden>\1:', 2)
+        source, code = (strip(_unescape(m[x])) for x in ("id", "code"))
+        shown = F.regexp_extract(F.concat(m["all"], m["after"]), name, 2)
         return F.struct(source.alias("source_id"), code.alias("code"), F.when(shown != "", squeeze(_unescape(shown))).otherwise(code).alias("name"))
 
-    return F.transform(whole, one)
+    return F.transform(heads, one)
+
+
+#: Levels of a crawl; a deeper one is refused rather than cut.
+MOST_LEVELS = 60
 
 
 def crawl_tree(replies: DataFrame, root: str = "ROOT") -> DataFrame:
     """Rows (code, name, parent_code, level, aliases, source_id, model, is_leaf) of a crawl,
-    from kept replies (model, id, payload) instead of a network. Levels are followed by a
-    recursive query; a code counts once, at its least level, then parent and name."""
+    from kept replies (model, id, payload) instead of a network. A page is followed once, at
+    its least level (then parent), so pages may link in circles; levels are joined and written
+    one after another. A code counts once, at its least level, then parent and name."""
     spark = replies.sparkSession
     known = replies.select("model", "id", "payload")
     tops = known.where(F.col("model") == "root").select(F.explode(payload_items(F.col("payload"))).alias("i")).select(item_row(F.col("i"), F.lit(root), F.lit(1)).alias("r")).select("r.*")
     nodes = known.where(F.col("model") != "root").select("model", "id", F.from_json(F.to_json(F.try_variant_get(F.try_parse_json("payload"), "$.data", "variant")), PAYLOAD_ITEM).alias("item"), linked_children(F.col("payload"), F.col("model")).alias("children"), embedded_diseases(F.col("payload")).alias("diseases"))
-    links = nodes.select(F.col("id").alias("parent"), F.explode("children").alias("c")).select("parent", "c.model", "c.id")
-    reached = spark.sql(
-        """
-        WITH RECURSIVE walk(model, id, parent, level) MAX RECURSION LEVEL 60 AS (
-          SELECT 'chapter' AS model, code AS id, {root} AS parent, 1 AS level FROM {tops} WHERE is_leaf <> 'true' AND code <> ''
-          UNION ALL
-          SELECT l.model, l.id, w.id, w.level + 1 FROM walk w JOIN {links} l ON l.parent = w.id WHERE w.level < 50
-        ) SELECT DISTINCT model, id, parent, level FROM walk
-        """,
-        tops=tops, links=links, root=root,
-    )
+    nodes = stage(nodes, "crawl-nodes")
+    links = stage(nodes.select(F.col("model").alias("from_model"), F.col("id").alias("parent"), F.explode("children").alias("c")).select("from_model", "parent", "c.model", "c.id").distinct(), "crawl-links")
+    level = stage(tops.where("is_leaf <> 'true' AND code <> ''").select(F.lit("chapter").alias("model"), F.col("code").alias("id"), F.lit(root).alias("parent"), F.lit(1).alias("level")).distinct(), "crawl-level")
+    levels = []
+    while not level.isEmpty():
+        if len(levels) == MOST_LEVELS:
+            raise ValueError(f"pages of more than {MOST_LEVELS} levels")
+        levels.append(level)
+        seen = reduce(DataFrame.unionByName, levels).select("model", "id").distinct()
+        above = level.select(F.col("model").alias("from_model"), F.col("id").alias("parent"), "level")
+        found = links.join(above, ["from_model", "parent"]).groupBy("model", "id").agg(F.min("parent").alias("parent"), (F.min("level") + 1).alias("level"))
+        level = stage(found.join(seen, ["model", "id"], "left_anti").select("model", "id", "parent", "level"), "crawl-level")
+    reached = reduce(DataFrame.unionByName, levels or [level])
     below = reached.where("level > 1").join(nodes.select("model", "id", "item"), ["model", "id"]).where("item IS NOT NULL").select(item_row(F.col("item"), F.col("parent"), F.col("level")).alias("r")).select("r.*")
     shown = reached.join(nodes.select("model", "id", F.explode("diseases").alias("d")), ["model", "id"])
     shown = shown.select("d.code", "d.name", F.col("id").alias("parent_code"), (F.col("level") + 1).cast("string").alias("level"), F.lit("").alias("aliases"), "d.source_id", F.lit("disease").alias("model"), F.lit("true").alias("is_leaf"))
-    from pyspark.sql.window import Window as W
-
     every = tops.unionByName(below).unionByName(shown).where("code <> ''")
     w = W.partitionBy("code").orderBy(F.col("level").cast("int"), "parent_code", "name")
     first = spark.createDataFrame([(root, "ICD-10", "", "0", "", root, "root", "false")], every.schema)

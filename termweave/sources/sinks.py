@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,24 +36,25 @@ def pretty(body: str) -> str:
 
 
 def write_submissions(bodies: DataFrame, folder: str) -> int:
-    """Write ``{doc_id}.json`` files through the file system of ``folder``; the number of
-    files. Executors format; each file is one small object, so the driver streams them."""
-    spark = bodies.sparkSession
+    """Write ``{doc_id}.json`` files into ``folder``; the number of files. Executors write
+    the files, on a path that all of them see, through Arrow's file systems; a file is
+    written beside its place and then moved there, so a task that is run again changes nothing."""
+    from pyarrow import fs as arrow
+
+    place = folder if "://" in folder else os.path.abspath(folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, at = arrow.FileSystem.from_uri(place)
+        store.create_dir(at, recursive=True)
         for batch in batches:
-            yield batch.assign(body=batch["body"].map(pretty))
+            for name, body in zip(batch["doc_id"], batch["body"]):
+                temp, final = f"{at}/.{name}.{uuid.uuid4().hex}", f"{at}/{name}.json"
+                with store.open_output_stream(temp) as out:
+                    out.write((pretty(body) + "\n").encode())
+                store.move(temp, final)
+            yield pd.DataFrame({"n": [len(batch)]})
 
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(path(folder))
-    n = 0
-    for r in bodies.select("doc_id", "body").mapInPandas(run, "doc_id string, body string").toLocalIterator():
-        out = fs.create(path(f"{folder}/{r.doc_id}.json"), True)
-        out.write(bytearray((r.body + "\n").encode()))
-        out.close()
-        n += 1
-    return n
+    return bodies.select("doc_id", "body").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def write_table(table: DataFrame, path: str) -> None:
@@ -90,7 +93,7 @@ def export_graph(nodes: DataFrame, folder: str, samples: list[str] = []) -> dict
     """nodes, edges, graphml, summary and top levels of a tree under ``folder``; the summary."""
     from termweave.operators.tree import ROOT, tree_check, tree_paths
 
-    paths = tree_paths(nodes).cache()
+    paths = tree_paths(nodes)
     table, edges = graph_tables(nodes, paths)
     write_table(table, f"{folder}/nodes")
     write_table(edges, f"{folder}/edges")

@@ -377,6 +377,13 @@ def test_crawl(spark):
     rows = {r.code: r for r in files.crawl_tree(spark.createDataFrame(replies, "model string, id string, payload string")).collect()}
     assert {k: (r.parent_code, r.level, r.name) for k, r in rows.items()} == {"ROOT": ("", "0", "ICD-10"), "I": ("ROOT", "1", "Chương"), "A00-A09": ("I", "2", "Mục"), "A00": ("A00-A09", "3", "Bệnh tả"), "A00.0": ("A00", "4", "Tả & x")}
     assert rows["A00"].aliases == "(A00) Bệnh tả" and page("")
+    # neighbours within the looked-at signs, one without a shown name, pages that link in a circle
+    one = lambda i, shown: f'href="disease/d{i}" name="A00.{i}" field" hidden>name</div><div class="id" hidden>d{i}</div>' + (f'<div class="content d-inline-block" >{shown}</div><span class="icons"> <div class="content-raw" hidden>d{i}:' if shown else "")
+    html = '<a href="type/A01"><a href="type/A00">' + "".join(one(i, "" if i == 3 else f"Tên  {i}") for i in range(1, 6))
+    more = [*replies[:3], ("type", "A00", node("A00", "type", "(A00) Bệnh tả", html)), ("type", "A01", node("A01", "type", "(A01) x", '<a href="type/A00">' + one(9, "y")))]
+    rows = {r.code: (r.parent_code, r.level, r.name) for r in files.crawl_tree(spark.createDataFrame(more, "model string, id string, payload string")).collect()}
+    assert {k: v for k, v in rows.items() if k.startswith("A00.")} == {**{f"A00.{i}": ("A00", "4", "A00.3" if i == 3 else f"Tên {i}") for i in range(1, 6)}, "A00.9": ("A01", "5", "y")}
+    assert rows["A01"] == ("A00", "4", "x")
 
 
 def test_files(spark, tmp_path, knowledge):
