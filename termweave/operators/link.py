@@ -11,6 +11,7 @@ from termweave.operators import search
 from termweave.operators.expand import expand, weighted_queries
 from termweave.operators.tree import PruneConfig, prune, search_documents, tree_paths
 from termweave.schema import DIAGNOSIS, DRUG
+from termweave.sources.scratch import stage
 
 
 @dataclass(frozen=True)
@@ -30,7 +31,8 @@ class LinkConfig:
 class Knowledge:
     """``nodes`` (code, name, parent_code, level, aliases), ``concepts`` (rxcui, name, tty,
     synonyms), and optionally embeddings of the nodes with a function that adds
-    ``embedding`` to (query_id, text)."""
+    ``embedding`` to (query_id, text). ``cache`` (key, expansion) has earlier replies of the
+    query expander, ``model`` answers others, which are appended to the table ``keep``."""
 
     nodes: DataFrame
     concepts: DataFrame
@@ -38,24 +40,29 @@ class Knowledge:
     encode: object | None = None
     cache: DataFrame | None = None
     model: object | None = None
+    keep: str | None = None
 
     def __post_init__(self) -> None:
         # read by several branches of a plan
-        self.documents = search_documents(self.nodes).cache()
-        self.paths = tree_paths(self.nodes).cache()
+        self.documents = stage(search_documents(self.nodes), "link-documents")
+        self.paths = stage(tree_paths(self.nodes), "link-paths")
+        self.index = search.Bm25Index.build(self.documents)
 
 
 def link_diagnoses(mentions: DataFrame, knowledge: Knowledge, config: LinkConfig = LinkConfig()) -> DataFrame:
     """(query_id, candidates, best) of mentions (query_id, text) that have candidates."""
-    # a row for each distinct mention, read by five branches: kept, so that their plans are
+    # a row for each distinct mention, read by five branches: written, so that their plans are
     # short and the model is asked once
-    expanded = expand(mentions, knowledge.cache, knowledge.model, config.strict_rules).persist()
+    expanded = stage(expand(mentions, knowledge.cache, knowledge.model, config.strict_rules, knowledge.keep), "link-expanded")
     asked = weighted_queries(expanded).withColumn("v_id", F.concat_ws("#", "query_id", "q_ord"))
     variants = asked.select(F.col("v_id").alias("query_id"), F.col("q_text").alias("text"))
-    found = search.sparse_search(variants, knowledge.documents, config.top_k, config.bm25)
+    found = stage(search.sparse_search(variants, knowledge.documents, config.top_k, config.bm25, index=knowledge.index), "link-found")
     if knowledge.vectors is not None and knowledge.encode is not None:
         dense = search.vector_search(knowledge.encode(variants), knowledge.vectors, config.top_k)
         found = search.ensemble(found, dense.join(knowledge.documents.select("id", "text"), "id").select(*found.columns))
+    else:
+        # the same search stands in for the missing vectors
+        found = search.ensemble(found, found.withColumn("source", F.lit("dense")))
     weights = asked.select("v_id", F.col("query_id").alias("__q"), "q_ord", "q_weight")
     of_mention = found.join(weights, F.col("query_id") == F.col("v_id")).drop("query_id").withColumnRenamed("__q", "query_id")
     merged = search.merge_variants(of_mention)
@@ -63,7 +70,8 @@ def link_diagnoses(mentions: DataFrame, knowledge: Knowledge, config: LinkConfig
     both = merged.join(sure, "query_id")
     guarded = both.where("__sure").drop("__sure").unionByName(search.token_guard(both.where("NOT __sure").drop("__sure"), expanded.select("query_id", "text")))
     anchored = search.must_have(guarded, expanded.select("query_id", "expansion.must_have"))
-    kept = search.dynamic_threshold(anchored, config.margin, config.least_score, config.most_candidates).persist()
+    kept = search.dynamic_threshold(anchored, config.margin, config.least_score, config.most_candidates)
+    kept = stage(kept, "link-kept")
     best = kept.groupBy("query_id").agg(F.max("best").alias("best"), F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("c"))
     if config.prune is None:
         return best.select("query_id", F.transform("c", lambda x: x["id"]).alias("candidates"), "best")
@@ -85,7 +93,8 @@ def link_entities(entities: DataFrame, knowledge: Knowledge, config: LinkConfig
     """``entities`` with ``candidates`` filled: each distinct (type, text) is linked once.
     Drugs (and diagnoses, if their gate is above 0) whose best score is under the gate are
     dropped; other types have no candidates."""
-    coded = entities.where(F.col("type").isin(DIAGNOSIS, DRUG)).select("type", "text").distinct().persist()
+    coded = entities.where(F.col("type").isin(DIAGNOSIS, DRUG)).select("type", "text").distinct()
+    coded = stage(coded, "link-mentions")
     mentions = coded.withColumn("query_id", F.col("text"))
     linked = link_diagnoses(mentions.where(F.col("type") == DIAGNOSIS).select("query_id", "text"), knowledge, config).withColumn("__type", F.lit(DIAGNOSIS))
     drugs = link_drugs(mentions.where(F.col("type") == DRUG).select("query_id", "text"), knowledge.concepts, config).withColumn("__type", F.lit(DRUG))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from termweave.functions.text import meaningful_tokens, normalize_text, search_tokens, strip_diacritics, term_tokens
+from termweave.sources.scratch import stage
 
 # Constants of BM25 and scores of exact and substring matches.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -37,31 +38,32 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 
 @dataclass
 class Bm25Index:
-    """Tokens of documents (token, id, size), one row for each occurrence, and statistics of
-    all tokens (token, idf, mean_size). Only what a query asks for is grouped and shuffled."""
+    """Postings (token, id, n, size) of documents, written once, and statistics of all tokens
+    (token, idf, mean_size), which are worked out from them."""
 
-    tokens: DataFrame
+    postings: DataFrame
     idf: DataFrame
 
     @classmethod
     def build(cls, documents: DataFrame) -> Bm25Index:
         searchable = F.concat_ws(" ", "text", F.coalesce("aliases", F.array().cast("array<string>")))
         listed = documents.select("id", search_tokens(searchable).alias("t"))
-        tokens = listed.select("id", F.size("t").alias("size"), F.explode("t").alias("token"))
-        # documents without a token count in the mean size too
-        totals = listed.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("t")).alias("mean_size"))
-        df = listed.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        # a document without a token counts in the mean size too and has a row of the null token
+        tokens = listed.select("id", F.size("t").alias("size"), F.explode_outer("t").alias("token"))
+        postings = stage(tokens.groupBy("token", "id").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")), "bm25-postings")
+        by_id = postings.groupBy("id").agg(F.first("size").alias("size"))
+        totals = by_id.agg(F.count(F.lit(1)).alias("docs"), F.avg("size").alias("mean_size"))
+        df = stage(postings.where("token IS NOT NULL").groupBy("token").agg(F.count(F.lit(1)).alias("df")), "bm25-df")
         raw = df.join(F.broadcast(totals)).withColumn("raw", F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
+        raw = stage(raw, "bm25-raw")
         mean = raw.agg(F.avg("raw").alias("mean_idf"))
         idf = raw.join(F.broadcast(mean)).select("token", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"), "mean_size")
-        return cls(tokens, idf)
+        return cls(postings, idf)
 
     def scores(self, queries: DataFrame) -> DataFrame:
         """(query_id, id, score): sums over query tokens, repeated ones as often."""
         asked = queries.select("query_id", F.explode(search_tokens("text")).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
-        wanted = self.tokens.join(asked.select("token").distinct(), "token", "left_semi")
-        postings = wanted.groupBy("token", "id").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
-        hit = asked.join(self.idf, "token").join(postings, "token")
+        hit = asked.join(self.idf, "token").join(self.postings, "token")
         part = F.col("times") * F.col("idf") * F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
         return hit.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
@@ -77,42 +79,56 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.concat(*[of(n) for n in range(1, GRAM + 1)]))
 
 
-def first_gram(text: Column) -> Column:
-    return F.substring(text, 1, GRAM)
-
-
 def lexical_scores(queries: DataFrame, terms: DataFrame, breaks: bool = True) -> DataFrame:
     """(query_id, id, score): the best over a document's terms of 1 for an equal normal form,
     0.85 for one inside the other, and the Jaccard index of tokens.
 
     ``terms`` is (id, term). ``breaks`` splits tokens at '/' and '-' too. Pairs come from
-    equal tokens and from letter groups: the longer string has each first group of a
-    shorter one that it holds, so no match is missed and nothing is compared with all. Each
-    distinct query and term is compared once. Empty queries find nothing, empty terms are
-    not found.
+    equal tokens, as numbers alone, and from letter groups: the longer string has the rarest
+    group of a shorter one that it holds, so no match is missed and nothing is compared with
+    all. Each distinct query and term is compared once. Empty queries find nothing, empty
+    terms are not found.
     """
     tokens = search_tokens if breaks else term_tokens
     q = queries.select("query_id", normalize_text("text").alias("q"), tokens("text").alias("qt")).where(F.size("qt") > 0)
     t = terms.select("id", normalize_text("term").alias("t"), tokens("term").alias("tt")).where("t <> ''")
     qs, ts = q.select("q", F.array_distinct("qt").alias("qt")).distinct(), t.select("t", F.array_distinct("tt").alias("tt")).distinct()
-    by_token = qs.select("q", "qt", F.explode("qt").alias("k")).join(ts.select("t", "tt", F.explode("tt").alias("k")), "k")
-    q_inside = qs.select("q", "qt", first_gram(F.col("q")).alias("k")).join(ts.select("t", "tt", F.explode(grams(F.col("t"))).alias("k")), "k").where(F.contains("t", F.col("q")))
-    t_inside = ts.select("t", "tt", first_gram(F.col("t")).alias("k")).join(qs.select("q", "qt", F.explode(grams(F.col("q"))).alias("k")), "k").where(F.contains("q", F.col("t")))
-    pairs = by_token.drop("k").unionByName(q_inside.drop("k")).unionByName(t_inside.drop("k")).distinct()
-    overlap = F.size(F.array_intersect("qt", "tt")) / F.size(F.array_union("qt", "tt"))
-    inside = F.contains("t", F.col("q")) | F.contains("q", F.col("t"))
-    score = F.greatest(overlap, F.when(F.col("q") == F.col("t"), EXACT).when(inside, SUBSTRING).otherwise(0.0))
-    scored = pairs.select("q", "t", score.alias("score")).where("score > 0")
-    named = scored.join(q.select("query_id", "q"), "q").join(t.select("id", "t").distinct(), "t")
+    qs, ts = (stage(x.withColumn(n, F.xxhash64(v)), f"lexical-{v}") for x, n, v in ((qs, "qi", "q"), (ts, "ti", "t")))
+    # pairs as numbers of strings; common tokens count from the pairs, without the strings
+    asked, held = qs.select("qi", F.explode("qt").alias("k")), ts.select("ti", F.explode("tt").alias("k"))
+    shared = held.join(asked, "k").groupBy("qi", "ti").agg(F.count(F.lit(1)).alias("both"))
+    sizes = shared.join(qs.select("qi", F.size("qt").alias("nq")), "qi").join(ts.select("ti", F.size("tt").alias("nt")), "ti")
+    overlap = sizes.select("qi", "ti", (F.col("both") / (F.col("nq") + F.col("nt") - F.col("both"))).alias("score"))
+    # the longer string has each group of letters of the other, and so the rarest of them
+    inside = held_inside(qs.select("qi", "q"), ts.select("ti", "t")).unionByName(held_inside(ts.select(F.col("ti").alias("qi"), F.col("t").alias("q")), qs.select(F.col("qi").alias("ti"), F.col("q").alias("t"))).select(F.col("ti").alias("qi"), F.col("qi").alias("ti"), "same"))
+    held_score = F.when(F.col("same"), EXACT).otherwise(SUBSTRING)
+    scored = overlap.unionByName(inside.select("qi", "ti", held_score.alias("score"))).groupBy("qi", "ti").agg(F.max("score").alias("score"))
+    named = scored.join(qs.select("qi", "q"), "qi").join(ts.select("ti", "t"), "ti").join(q.select("query_id", "q"), "q").join(t.select("id", "t").distinct(), "t")
     return named.groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
 
-def sparse_search(queries: DataFrame, documents: DataFrame, k: int = 5, bm25: bool = True, source: str = "sparse") -> DataFrame:
+def held_inside(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(qi, ti, same) of the strings q of ``short`` (qi, q) that strings t of ``long`` (ti, t)
+    hold. A string is looked for under the one of its letter groups that fewest of the long
+    strings have; a string of fewer signs than GRAM under itself."""
+    groups = stage(long.select("ti", F.explode(grams(F.col("t"))).alias("k")), "lexical-groups")
+    common = groups.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.length("q") >= GRAM, F.filter(grams(F.col("q")), lambda g: F.length(g) == GRAM)).otherwise(F.array("q"))
+    # one without a partner has a group that no long string has
+    rarest = short.select("qi", F.explode(own).alias("k")).join(common, "k", "left").groupBy("qi").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k")).alias("r"))
+    keys = rarest.where("r.n > 0").select("qi", F.col("r.k").alias("k"))
+    pairs = keys.join(groups, "k").select("qi", "ti")
+    both = pairs.join(short, "qi").join(long, "ti").where(F.contains("t", F.col("q")))
+    return both.select("qi", "ti", (F.col("q") == F.col("t")).alias("same"))
+
+
+def sparse_search(queries: DataFrame, documents: DataFrame, k: int = 5, bm25: bool = True, source: str = "sparse", index: Bm25Index | None = None) -> DataFrame:
     """The best ``k`` documents of each query: the greater of the BM25 score over the query's
-    best one and the lexical score; without ``bm25`` the lexical score alone."""
+    best one and the lexical score; without ``bm25`` the lexical score alone. An ``index`` of
+    the documents can be used again."""
     lexical = lexical_scores(queries, terms_of(documents))
     if bm25:
-        raw = Bm25Index.build(documents).scores(queries)
+        raw = (index or Bm25Index.build(documents)).scores(queries)
         best = F.max("score").over(W.partitionBy("query_id"))
         scaled = raw.withColumn("best", best).select("query_id", "id", F.when(F.col("best") > 0, F.col("score") / F.col("best")).otherwise(0.0).alias("score"))
         lexical = lexical.unionByName(scaled).groupBy("query_id", "id").agg(F.max("score").alias("score"))
@@ -141,57 +157,67 @@ def with_norms(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("norm", norm(F.col("embedding")))
 
 
-#: Vectors of one block of queries, sent to all workers.
-QUERY_BLOCK = 4096
+#: Queries of one block, and vectors of one block if there are several blocks of queries.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 20_000
+
+
+def best_of(names: np.ndarray, asked: np.ndarray, batch: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(query_id, id, score): the best ``k`` of some vectors of each query."""
+    lengths = np.linalg.norm(asked, axis=1)
+    names, asked = names[lengths > 0], asked[lengths > 0] / lengths[lengths > 0, None]
+    if not len(batch) or not len(names):
+        return pd.DataFrame({"query_id": [], "id": [], "score": []})
+    m = np.array(batch["embedding"].tolist(), dtype=float)
+    n = np.linalg.norm(m, axis=1)
+    score = asked @ (m / np.where(n == 0, 1e-9, n)[:, None]).T
+    own = batch["id"].to_numpy()
+    order = np.argsort(own, kind="stable")  # ties by id
+    own, score = own[order], score[:, order]
+    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    picked = np.take_along_axis(score, best, axis=1)
+    found = pd.DataFrame({"query_id": np.repeat(names, best.shape[1]), "id": own[best.ravel()], "score": picked.ravel()})
+    return found[found["score"] > 0]
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 5, source: str = "dense") -> DataFrame:
     """The best ``k`` vectors (id, embedding) of each query (query_id, embedding) by cosine
     similarity above 0, ties by id.
 
-    Queries are sent in blocks of QUERY_BLOCK rows; every partition of the vectors gives its
-    own best ``k`` of a block by one matrix product, and a window takes the best of those.
-    Zero queries find nothing.
+    One block of queries is sent to all workers; every batch of vectors gives its own best
+    ``k`` by one matrix product, and a window takes the best of those. Of more queries, blocks
+    of queries meet blocks of vectors in one plan: a row is copied to as many tasks as the
+    other side has blocks. Zero queries find nothing.
     """
-    spark = queries.sparkSession
     schema = "query_id string, id string, score double"
-    out = spark.createDataFrame([], schema)
-    rows = queries.select(F.col("query_id").cast("string"), "embedding")
-    ids: list[str] = []
-    block: list[list[float]] = []
-
-    def search(ids: list[str], block: list[list[float]]) -> DataFrame:
-        asked = np.array(block, dtype=float)
-        lengths = np.linalg.norm(asked, axis=1)
-        names, asked = np.array(ids, dtype=object)[lengths > 0], asked[lengths > 0] / lengths[lengths > 0, None]
-        held = spark.sparkContext.broadcast((names, asked))
+    rows = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
+    held = vectors.select(F.col("id").cast("string").alias("id"), "embedding")
+    few = rows.limit(QUERY_BLOCK + 1).collect()  # a block at most
+    if len(few) <= QUERY_BLOCK:
+        names, asked = np.array([r.query_id for r in few], dtype=object), np.array([r.embedding for r in few], dtype=float).reshape(len(few), -1)
+        sent = queries.sparkSession.sparkContext.broadcast((names, asked))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, asked = held.value
+            names, asked = sent.value
             for batch in batches:
-                if not len(batch) or not len(names):
-                    continue
-                m = np.array(batch["embedding"].tolist(), dtype=float)
-                n = np.linalg.norm(m, axis=1)
-                score = asked @ (m / np.where(n == 0, 1e-9, n)[:, None]).T
-                own = batch["id"].to_numpy()
-                order = np.argsort(own, kind="stable")  # ties by id
-                own, score = own[order], score[:, order]
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                picked = np.take_along_axis(score, best, axis=1)
-                found = pd.DataFrame({"query_id": np.repeat(names, best.shape[1]), "id": own[best.ravel()], "score": picked.ravel()})
-                yield found[found["score"] > 0]
-
-        return vectors.select(F.col("id").cast("string").alias("id"), "embedding").mapInPandas(run, schema)
-
-    for r in rows.toLocalIterator():
-        ids.append(r.query_id)
-        block.append(r.embedding)
-        if len(ids) == QUERY_BLOCK:
-            out = out.unionByName(search(ids, block))
-            ids, block = [], []
-    if ids:
-        out = out.unionByName(search(ids, block))
+                yield best_of(names, asked, batch, k)
+
+        out = held.mapInPandas(run, schema)
+    else:
+        n_q, n_v = (max(1, -(-frame.count() // size)) for frame, size in ((rows, QUERY_BLOCK), (held, VECTOR_BLOCK)))
+
+        def block(key: str, n: int, seed: int):
+            return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(n)).cast("int")
+
+        def every(n: int):
+            return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+        left = rows.select("query_id", "embedding", block("query_id", n_q, 1).alias("q")).withColumn("v", every(n_v))
+        right = held.select("id", "embedding", block("id", n_v, 2).alias("v")).withColumn("q", every(n_q))
+
+        def both(asked: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
+            return best_of(asked["query_id"].to_numpy(), np.array(asked["embedding"].tolist(), dtype=float).reshape(len(asked), -1), batch, k)
+
+        out = left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInPandas(both, schema)
     return top_k(out, k).withColumn("source", F.lit(source))
 
 

@@ -7,6 +7,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/termweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     drop_at_end(spark, path)
+    if _scopes:
+        _scopes[-1].append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
@@ -49,6 +53,21 @@ def drop_at_end(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables staged inside are deleted at its end, where their results are written."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def unstage(*frames: DataFrame | None) -> None:
     """Delete staged tables that no later step reads."""
     for df in frames:

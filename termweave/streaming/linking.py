@@ -10,6 +10,7 @@ from termweave.operators.extract import Extractor
 from termweave.operators.link import Knowledge
 from termweave.plans.linking import BatchConfig, link_batch
 from termweave.sources.files import unix_lines
+from termweave.sources.scratch import scope
 
 
 def arriving_documents(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -23,7 +24,8 @@ def link_stream(documents: DataFrame, knowledge: Knowledge, out: str, checkpoint
     after a failure overwrites its own folder, so each is there once."""
 
     def write(batch: DataFrame, number: int) -> None:
-        link_batch(batch, knowledge, extractor, config).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with scope():
+            link_batch(batch, knowledge, extractor, config).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (query.trigger(availableNow=True) if once else query).start()
