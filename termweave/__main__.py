@@ -16,6 +16,11 @@ from termweave.operators.link import Knowledge, LinkConfig
 from termweave.plans.linking import link_files
 from termweave.plans.smoke import smoke_report
 from termweave.sources import files, sinks
+from termweave.sources.scratch import stage
+
+
+# Codes whose paths a graph's summary shows.
+SAMPLE_CODES = ["M30.3", "A08.4", "D55.0", "N20.0"]
 
 
 def parser() -> argparse.ArgumentParser:
@@ -27,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     link.add_argument("--extractor", choices=["rules", "model"], default="rules")
     link.add_argument("--model", default=None, help="module:factory of a model with load() and generate(prompts)")
     link.add_argument("--limit", type=int, default=None)
+    link.add_argument("--debug-dir", default=None, help="folder for prompts and answers of chunks without an entity")
     link.add_argument("--safe", action="store_true", help="write an empty result for a text that fails, and go on")
     for q in (link, sub.add_parser("smoke"), sub.add_parser("export-graph")):
         q.add_argument("--icd-path", required=True)
@@ -47,7 +53,7 @@ def parser() -> argparse.ArgumentParser:
     two = sub.add_parser("diff")
     two.add_argument("--before", required=True)
     two.add_argument("--after", required=True)
-    two.add_argument("--report", required=True)
+    two.add_argument("--report", default="data/processed/output_comparison.md")
     two.add_argument("--limit", type=int, default=None)
     two.add_argument("--max-items", type=int, default=200)
     for name in ("convert-xml", "convert-rrf", "merge-aliases"):
@@ -101,10 +107,10 @@ def main(argv: list[str] | None = None) -> int:
         if documents.isEmpty():
             print(f"no .txt files in {args.input_dir}", file=sys.stderr)
             return 1
-        extractor = ModelExtractor(load(args.model)()) if args.extractor == "model" else RuleExtractor()
+        extractor = ModelExtractor(load(args.model)(), debug_dir=args.debug_dir) if args.extractor == "model" else RuleExtractor()
         knowledge = knowledge_of(spark, args)
         if args.extractor == "model":
-            knowledge.model = extractor.model
+            knowledge.model, knowledge.keep = extractor.model, args.expansions
         n, failed = link_files(documents, knowledge, extractor, args.output_dir, args.safe)
         for name, reason in failed:
             print(f"{name}.txt failed: {reason}; wrote []", file=sys.stderr)
@@ -117,7 +123,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.what == "validate":
         documents = files.read_documents(spark, args.input_dir, args.limit)
         bodies = files.read_submissions(spark, args.output_dir).select(F.regexp_replace("file", r"\.json$", "").alias("doc_id"), "body")
-        issues = validate.validate(documents, bodies).cache()
+        issues = stage(validate.validate(documents, bodies), "issues")
         print(validate.summary(documents, issues).first().asDict())
         for r in issues.orderBy("file", "entity_index").limit(args.max_issues).collect():
             print(r.file, r.entity_index, r.code, r.message)
@@ -125,6 +131,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.what == "diff":
         before, after = (files.saved_entities(files.read_submissions(spark, d, args.limit)) for d in (args.before, args.after))
         text = diff.report(before, after, (args.before, args.after), args.max_items)
+        os.makedirs(os.path.dirname(os.path.abspath(args.report)), exist_ok=True)
         with open(args.report, "w", encoding="utf-8") as out:
             out.write(text)
     elif args.what == "convert-rrf":

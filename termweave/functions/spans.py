@@ -15,42 +15,53 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+#: Numbers that ``running`` adds up at once.
+RUN_BLOCK = 256
+
+
+def running(numbers: Column, block: int = RUN_BLOCK) -> Column:
+    """array<int>: what comes before each of ``numbers`` in sum. An array that grows in a
+    fold is copied at each step, so the fold goes over blocks, and over each block."""
+
+    def sums(values: Column, start: Column) -> Column:
+        none = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, none, lambda a, v: F.struct((a["at"] + v).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+
+    def summed(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, v: a + v))
+        return let(sums(totals, F.lit(0)), lambda starts: F.flatten(F.zip_with(blocks, starts, sums)))
+
+    def cut(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda k: F.slice(v, k * block + 1, F.lit(block)))
+        return F.when(F.size(v) > 0, let(blocks, summed)).otherwise(F.array().cast("array<int>"))
+
+    return let(numbers.cast("array<int>"), cut)
+
+
 def slice_text(text: Column, start: Column, end: Column) -> Column:
     return F.substr(text, start + 1, end - start)
 
 
 def exact_matches(text: Column, mention: Column) -> Column:
-    """All places of ``mention``, overlapping ones too; none for an empty mention."""
-    room = F.length(text) - F.length(mention)
-    fits = (F.length(mention) > 0) & (room >= 0)
+    """All places of ``mention``, overlapping ones too; none for an empty mention. The text
+    is cut before each place, and lengths are summed, so the work is linear in the text."""
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(mention, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
 
-    def places(t: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), room), lambda i: F.substr(t, i + 1, F.length(mention)) == mention)
-        return F.transform(at, lambda i: F.struct(i.cast("int").alias("start"), (i + F.length(mention)).cast("int").alias("end")))
+    def places(pieces: Column) -> Column:
+        def spans(begins: Column) -> Column:
+            # the first piece is cut off by nothing
+            at = F.when(F.startswith(text, mention), begins).otherwise(F.slice(begins, F.lit(2), F.size(begins)))
+            return F.transform(at, lambda i: F.struct(i.alias("start"), (i + F.length(mention)).cast("int").alias("end")))
 
-    # most mentions are absent: a plain search comes first
-    return F.when(fits & F.contains(text, mention), let(text, places)).otherwise(F.array().cast(f"array<{SPAN}>"))
+        return let(running(F.transform(pieces, F.length)), spans)
 
-
-def overlaps_itself(pattern: str) -> bool:
-    return any(pattern.startswith(pattern[k:]) for k in range(1, len(pattern)))
+    # most mentions are absent: a plain search comes first
+    return F.when((F.length(mention) > 0) & F.contains(text, mention), let(F.split(text, quoted, -1), places)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def literal_matches(text: Column, pattern: str) -> Column:
-    """All places of a fixed pattern; linear in the text if the pattern can't overlap itself."""
-    if overlaps_itself(pattern):
-        return exact_matches(text, F.lit(pattern))
-    n = len(pattern)
-    gaps = F.transform(F.split(text, "\\Q" + pattern + "\\E", -1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
-
-    def step(a: Column, gap: Column) -> Column:
-        at = a["at"] + gap
-        return F.struct((at + n).alias("at"), F.array_append(a["found"], F.struct(at.alias("start"), (at + n).alias("end"))).alias("found"))
-
-    # the last piece is followed by no match
-    pieces = F.slice(gaps, F.lit(1), F.size(gaps) - 1)
-    return F.aggregate(pieces, start, step, lambda a: a["found"])
+    """All places of a fixed pattern."""
+    return exact_matches(text, F.lit(pattern))
 
 
 def choose_match(matches: Column, predicted: Column, ambiguity: int = 0) -> Column:

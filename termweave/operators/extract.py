@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from termweave.functions.spans import let, literal_matches
 from termweave.functions.text import casefold, contains_any
 from termweave.operators import chunk as chunking
-from termweave.operators.model_json import FAILED, parse_answers
+from termweave.operators.model_json import FAILED, debug_rows, parse_answers
 from termweave.operators.postprocess import clean, dedupe_richest, repair
+from termweave.sources.scratch import stage
+from termweave.sources.sinks import write_texts
 from termweave.schema import ASSERTIONS, DIAGNOSIS, DRUG, ENTITY, FAMILY, HISTORICAL, NEGATED, SYMPTOM, TYPES
 
 # Patterns of the rule extractor in order, and words that set an assertion.
@@ -106,11 +108,13 @@ class Model(Protocol):
 @dataclass(frozen=True)
 class ModelExtractor:
     """A model behind Arrow batches. A failing batch is tried chunk by chunk; a failing
-    chunk gives a null answer and null entities."""
+    chunk gives a null answer and null entities. Chunks without an entity are written to
+    ``debug_dir``, if there is one, with prompt and answer."""
 
     model: Model
     template: str = PROMPT
     batch_size: int = 16
+    debug_dir: str | None = None
 
     def answers(self, chunks: DataFrame) -> DataFrame:
         model, size = self.model, self.batch_size
@@ -133,6 +137,9 @@ class ModelExtractor:
 
     def extract(self, chunks: DataFrame) -> DataFrame:
         parsed = parse_answers(self.answers(chunks))
+        if self.debug_dir:
+            parsed = stage(parsed, "answers")
+            write_texts(debug_rows(parsed), self.debug_dir)
         failed = F.col("generated").isNull() | (F.col("outcome") == FAILED)
         return parsed.withColumn("entities", F.when(~failed, F.col("entities"))).drop("prompt", "generated", "outcome")
 

@@ -98,9 +98,13 @@ def parse_answers(raw: DataFrame) -> DataFrame:
     return raw.withColumn("__p", parse_answer(F.col("generated"))).select(*raw.columns, "__p.outcome", "__p.entities")
 
 
-def debug_rows(parsed: DataFrame, prompt: Column) -> DataFrame:
-    """Chunks that gave no entity or failed, with prompt and answer, for inspection."""
-    return parsed.where((F.col("outcome") == FAILED) | (F.size("entities") == 0)).withColumn("prompt", prompt)
+def debug_rows(parsed: DataFrame) -> DataFrame:
+    """(name, body) of files on chunks that gave no entity or failed: chunk, prompt, answer."""
+    rows = parsed.where((F.col("outcome") == FAILED) | (F.size("entities") == 0))
+    shown = F.when(F.coalesce("generated", F.lit("")) == "", F.lit("<empty>")).otherwise(F.col("generated"))
+    name = F.concat(F.regexp_replace("doc_id", "[/\\\\]", "_"), F.lit("_chunk_"), F.concat_ws("_", "chunk_index", "start", "end"), F.lit(".txt"))
+    body = F.concat(F.lit("=== CHUNK ===\n"), "text", F.lit("\n\n=== PROMPT ===\n"), "prompt", F.lit("\n\n=== RAW GENERATED TEXT ===\n"), shown, F.lit("\n"))
+    return rows.select(name.alias("name"), body.alias("body"))
 
 
 __all__ = ["ASSERTIONS", "TYPES", "debug_rows", "entity_of", "parse_answer", "parse_answers"]

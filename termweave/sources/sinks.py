@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,9 +36,14 @@ def pretty(body: str) -> str:
 
 
 def write_submissions(bodies: DataFrame, folder: str) -> int:
-    """Write ``{doc_id}.json`` files into ``folder``; the number of files. Executors write
-    the files, on a path that all of them see, through Arrow's file systems; a file is
-    written beside its place and then moved there, so a task that is run again changes nothing."""
+    """Write ``{doc_id}.json`` files into ``folder``; the number of files."""
+    return write_texts(bodies.select(F.concat("doc_id", F.lit(".json")).alias("name"), "body"), folder, lambda body: pretty(body) + "\n")
+
+
+def write_texts(files: DataFrame, folder: str, form: Callable[[str], str] = str) -> int:
+    """Write files (name, body) into ``folder``; their number. Executors write them, on a path
+    that all of them see, through Arrow's file systems; a file is written beside its place
+    and then moved there, so a task that is run again changes nothing."""
     from pyarrow import fs as arrow
 
     place = folder if "://" in folder else os.path.abspath(folder)
@@ -47,14 +52,14 @@ def write_submissions(bodies: DataFrame, folder: str) -> int:
         store, at = arrow.FileSystem.from_uri(place)
         store.create_dir(at, recursive=True)
         for batch in batches:
-            for name, body in zip(batch["doc_id"], batch["body"]):
-                temp, final = f"{at}/.{name}.{uuid.uuid4().hex}", f"{at}/{name}.json"
+            for name, body in zip(batch["name"], batch["body"]):
+                temp = f"{at}/.{name}.{uuid.uuid4().hex}"
                 with store.open_output_stream(temp) as out:
-                    out.write((pretty(body) + "\n").encode())
-                store.move(temp, final)
+                    out.write(form(body).encode())
+                store.move(temp, f"{at}/{name}")
             yield pd.DataFrame({"n": [len(batch)]})
 
-    return bodies.select("doc_id", "body").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return files.select("name", "body").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def write_table(table: DataFrame, path: str) -> None:

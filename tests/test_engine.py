@@ -53,6 +53,9 @@ def test_spans(spark):
     assert [m.start for m in one(spark, spans.exact_matches(F.lit("aaa"), F.lit("aa")))] == [0, 1]
     assert one(spark, spans.exact_matches(F.lit("a"), F.lit(""))) == []
     assert [m.start for m in one(spark, spans.literal_matches(F.lit("😀ho ho"), "ho"))] == [1, 4]
+    for t, m in (("aaaa", "aa"), ("x.y.\\E.y", ".y"), ("a\\Eb\\E", "\\E"), ("😀😀ho😀ho", "😀"), ("ab" * 3000, "ba"), ("abc", "abc"), ("abc", "d")):
+        assert [x.start for x in one(spark, spans.exact_matches(F.lit(t), F.lit(m)))] == [k for k in range(len(t)) if t.startswith(m, k)]
+    assert one(spark, spans.exact_matches(F.lit(None).cast("string"), F.lit("a"))) == []
     assert one(spark, spans.choose_match(spans.exact_matches(F.lit("ho        ho"), F.lit("ho")), F.lit(5))) is None
     assert one(spark, spans.correct_span(F.lit("Bệnh nhân ho."), F.lit("ho"), F.lit(0), F.lit(2))).start == 10
     assert one(spark, spans.to_global(F.lit(100), F.lit(113), F.lit(10), F.lit(12))).end == 112
@@ -256,6 +259,20 @@ def test_vectors(spark):
     assert [(r.id, round(r.score, 6)) for r in rows] == [("a", 1.0), ("e", 1.0), ("b", 0.707107)]
 
 
+def test_vector_blocks(spark, monkeypatch):
+    """Blocks of queries and vectors find what one block finds."""
+    import random
+
+    rng = random.Random(4)
+    vectors = spark.createDataFrame([(str(i), [rng.gauss(0, 1) for _ in range(4)]) for i in range(90)], "id string, embedding array<double>")
+    asked = vectors.where("id % 5 = 0").withColumnRenamed("id", "query_id")
+    rows = [sorted(map(tuple, search.vector_search(asked, vectors, 3).collect()))]
+    monkeypatch.setattr(search, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(search, "VECTOR_BLOCK", 40)
+    rows.append(sorted(map(tuple, search.vector_search(asked, vectors, 3).collect())))
+    assert [(r[0], r[1], round(r[2], 9)) for r in rows[0]] == [(r[0], r[1], round(r[2], 9)) for r in rows[1]] and len(rows[0]) > 50
+
+
 def test_results(spark):
     schema = "query_id string, id string, score double, text string, source string"
     rows = spark.createDataFrame([("q", "A", 0.95, "t", "s"), ("q", "B", 0.9, "t", "s"), ("q", "C", 0.87, "t", "s"), ("p", "A", 0.95, "t", "s"), ("p", "B", 0.7, "t", "s"), ("o", "A", 0.05, "t", "s"), ("n", "A", 1.0, "t", "s"), ("n", "B", 0.85, "t", "s")], schema)
@@ -270,7 +287,7 @@ def test_results(spark):
     assert search.must_have(rows.where("query_id in ('q', 'p')"), must).count() == 2
 
 
-def test_expansion(spark):
+def test_expansion(spark, tmp_path):
     assert len(RULES) == 68
     mentions = queries(spark, "Viêm mô tế bào", "cholesterol cao", "Bệnh lạ", "TĂNG HUYẾT ÁP", "pes planus")
     got = {r.query_id: r.expansion for r in expand(mentions).collect()}
@@ -288,8 +305,12 @@ def test_expansion(spark):
         def generate(self, prompts):
             return ['{"normalized_english": "odd disease", "synonyms": ["od"], "confidence": "medium"}' if "lạ" in p else "no" for p in prompts]
 
-    layered = {r.query_id: r.expansion for r in expand(queries(spark, "Bệnh lạ", "khác"), model=Model()).collect()}
+    keep = str(tmp_path / "replies")
+    layered = {r.query_id: r.expansion for r in expand(queries(spark, "Bệnh lạ", "khác"), model=Model(), keep=keep).collect()}
     assert layered["Bệnh lạ"].english == "odd disease" and layered["khác"].confidence == "low"
+    # a later run takes the reply from the table
+    again = {r.query_id: r.expansion for r in expand(queries(spark, "bệnh  LẠ"), files.kept_expansions(spark, keep)).collect()}
+    assert again["bệnh  LẠ"].english == "odd disease" and files.kept_expansions(spark, keep).count() == 1
 
 
 def test_linking(spark, knowledge):
@@ -404,6 +425,37 @@ def test_files(spark, tmp_path, knowledge):
     assert summary["is_arborescence"] and summary["nodes"] == len(NODES) and summary["sample_paths"]["E11"][-1] == "E11"
 
 
+class Poisoned:
+    """An extractor that fails on one word."""
+
+    def extract(self, chunks):
+        bad = F.raise_error(F.lit("poisoned text")).cast("string")
+        return extract.RuleExtractor().extract(chunks.withColumn("text", F.when(F.contains("text", F.lit("poison")), bad).otherwise(F.col("text"))))
+
+
+def test_safe_mode(spark, tmp_path, knowledge):
+    """A text that fails leaves the others their results."""
+    from termweave.plans.linking import link_files
+
+    docs = spark.createDataFrame([(str(i), "poison" if i == 3 else "không ho") for i in range(6)], "doc_id string, text string")
+    n, failed = link_files(docs, knowledge, Poisoned(), str(tmp_path / "out"), safe=True)
+    assert n == 6 and [i for i, _ in failed] == ["3"] and "poisoned" in failed[0][1]
+    found = {p.stem: json.loads(p.read_text()) for p in (tmp_path / "out").glob("*.json")}
+    assert found.pop("3") == [] and len(found) == 5 and all(len(f) == 1 for f in found.values())
+    with pytest.raises(Exception, match="poisoned"):
+        link_files(docs, knowledge, Poisoned(), str(tmp_path / "out"))
+
+
+def test_debug_files(spark, tmp_path):
+    """Prompt and answer of chunks without an entity are written for inspection."""
+    docs = spark.createDataFrame([("a", "Bệnh nhân ho."), ("b", "sốt")], "doc_id string, text string")
+    found = extract.extract_entities(docs, extract.ModelExtractor(stub(), debug_dir=str(tmp_path / "debug"))).collect()
+    assert [r.doc_id for r in found] == ["a"]
+    written = {p.name: p.read_text() for p in (tmp_path / "debug").iterdir()}
+    assert list(written) == ["b_chunk_0_0_3.txt"]
+    assert "sốt" in written["b_chunk_0_0_3.txt"] and "<empty>" in written["b_chunk_0_0_3.txt"]
+
+
 def test_stream(spark, tmp_path, knowledge):
     from termweave.streaming.linking import arriving_documents, link_stream
 
