@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Callable
-from functools import cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from termweave.functions.spans import let, running
+from termweave.sources.scratch import drop_at_end, shared_dir, stage, unstage
+
+__all__ = ["WORD", "attach", "attach_counted", "drop_at_end", "let", "n_words", "ranged", "running", "shared_dir", "stage", "table", "text_of", "unstage"]
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,52 +28,6 @@ def n_words(column: str | Column) -> Column:
     return F.regexp_count(text_of(column), F.lit(WORD)).cast("long")
 
 
-@cache
-def _own_dir() -> str:
-    """A folder of this process, for a Spark of one machine."""
-    folder = tempfile.mkdtemp(prefix="termweave-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return f"file://{folder}"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is named, a Spark of one
-    machine gets a folder of its own, and a cluster an error."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    return _own_dir()
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: lineage ends there and
-    survives lost executors. What ``unstage`` has not deleted goes when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/termweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    drop_at_end(spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_path = path
-    return out
-
-
-def drop_at_end(spark: SparkSession, path: str) -> None:
-    """Have a folder deleted when the application ends."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-
-
-def unstage(*frames: DataFrame | None) -> None:
-    """Delete staged tables that no later step reads."""
-    for df in frames:
-        if df is not None and getattr(df, "staged_path", None):
-            jvm = df.sparkSession._jvm
-            path = jvm.org.apache.hadoop.fs.Path(df.staged_path)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: A key is dealt out to several tasks from this share of all rows on, and from so many rows.
 HOT_SHARE, HOT_ROWS = 20_000, 1000
 
@@ -111,34 +63,6 @@ def attach_counted(left: DataFrame, right: DataFrame, key: str, how: str = "left
     return attach(left, weighed, key, "__w", total, how)
 
 
-#: Numbers that ``running`` adds up at once.
-RUN_BLOCK = 256
-
-
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)`` with the value worked out once, also where lambdas use it."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
-def running(numbers: Column, block: int = RUN_BLOCK) -> Column:
-    """array<int>: what comes before each of ``numbers`` in sum. An array that grows in a
-    fold is copied at each step, so the fold goes over blocks, and over each block."""
-
-    def sums(values: Column, start: Column) -> Column:
-        none = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(values, none, lambda a, v: F.struct((a["at"] + v).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
-
-    def summed(blocks: Column) -> Column:
-        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, v: a + v))
-        return let(sums(totals, F.lit(0)), lambda starts: F.flatten(F.zip_with(blocks, starts, sums)))
-
-    def cut(v: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda k: F.slice(v, k * block + 1, F.lit(block)))
-        return F.when(F.size(v) > 0, let(blocks, summed)).otherwise(F.array().cast("array<int>"))
-
-    return let(numbers.cast("array<int>"), cut)
-
-
 def ranged(df: DataFrame, order: list[Column], values: dict[str, Column], name: str) -> DataFrame:
     """``df``, staged, with a column for each of ``values``: its sum over all rows before, in
     the given order (``values`` are whole numbers or doubles). Rows are dealt by ranges of
