@@ -3,6 +3,9 @@ rows by another route."""
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,9 +14,11 @@ from pyspark.sql.window import Window as W
 
 from termweave.functions import scores, spans, text
 from termweave.operators import chunk, diff, etl, metrics, model_json, postprocess, search, tree, validate
+from termweave.operators.expand import RULES
 from termweave.operators.extract import RuleExtractor, extract_entities
 from termweave.schema import DIAGNOSIS, DRUG, SYMPTOM, TEST, TYPES
 from termweave.sources import files, sinks
+from termweave.sources.scratch import drop_at_end, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -581,7 +586,7 @@ def suspicious_rows(spark, sf_dir):
 
 def made_submissions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Submissions for conversation turns, each of one entity with one fault or none."""
-    c = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (F.col("conv_id") * 7 + F.col("turn")).alias("k")).where("length(text) > 3")
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" end.")).alias("text"), (F.col("conv_id") * 7 + F.col("turn")).alias("k"))
     first = F.to_json(F.struct(F.substr(F.col("text"), F.lit(1), F.lit(3)).alias("t")))
     first = F.regexp_replace(first, r"^\{\"t\":|\}$", "")
     kind = F.when(F.col("k") % 12 == 1, "OTHER").when(F.col("k") % 12 == 2, TEST).otherwise(SYMPTOM)
@@ -594,7 +599,7 @@ def made_submissions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     return c, c.select("doc_id", body.alias("body"))
 
 
-FAULTS = "v AS (SELECT conv_id || '-' || turn AS doc_id, (conv_id * 7 + turn) % 12 AS f FROM conversations WHERE length(text) > 3)"
+FAULTS = "v AS (SELECT conv_id || '-' || turn AS doc_id, (conv_id * 7 + turn) % 12 AS f FROM conversations)"
 FAULT_NAMES = "CASE f WHEN 1 THEN 'invalid_type' WHEN 2 THEN 'assertions_not_allowed' WHEN 3 THEN 'invalid_assertion' WHEN 4 THEN 'invalid_assertions' WHEN 5 THEN 'candidates_not_allowed' WHEN 6 THEN 'invalid_candidates' WHEN 7 THEN 'invalid_position' WHEN 8 THEN 'position_out_of_bounds' WHEN 9 THEN 'span_text_mismatch' WHEN 10 THEN 'extra_keys' WHEN 11 THEN 'invalid_json' END"
 
 
@@ -617,7 +622,7 @@ def submission_json(spark, sf_dir):
     return sinks.submissions(docs, line_entities(spark, sf_dir))
 
 
-@query("""WITH v AS (SELECT conv_id || '-' || turn || '.json' AS file, substr(text, 1, 3) AS text, (conv_id * 7 + turn) % 12 AS f FROM conversations WHERE length(text) > 3)
+@query("""WITH v AS (SELECT conv_id || '-' || turn || '.json' AS file, substr(coalesce(text, '') || ' end.', 1, 3) AS text, (conv_id * 7 + turn) % 12 AS f FROM conversations)
 SELECT file, text, CASE f WHEN 7 THEN -1 ELSE 0 END AS "start", CASE f WHEN 7 THEN -1 WHEN 8 THEN 999999 WHEN 9 THEN 2 ELSE 3 END AS "end", CASE f WHEN 5 THEN 'A' WHEN 6 THEN '1' ELSE '' END AS candidates FROM v WHERE f <> 11""")
 def saved_entities(spark, sf_dir):
     _, bodies = made_submissions(spark, sf_dir)
@@ -689,10 +694,240 @@ def flagship_link(spark, sf_dir):
     return rows.select("doc_id", "ord", "text", *place, "type", *[F.array_join(c, ",").alias(c) for c in ("assertions", "candidates")])
 
 
-@query()
+def sql_rules() -> str:
+    """The rule expander as one CASE over a text ``t`` and its bare form ``b``."""
+    from termweave.operators.expand import RULES
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def fits(rule) -> str:
+        if not rule.is_pattern:
+            return f"contains(b, {quoted(rule.find)})"
+        pattern = quoted("(?i)" + re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), rule.find))
+        return f"regexp_matches(t, {pattern}) OR regexp_matches(b, {pattern})"
+
+    return "CASE " + " ".join(f"WHEN {fits(r)} THEN {k}" for k, r in enumerate(RULES)) + " ELSE -1 END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '^{SQL_SPACE}+|{SQL_SPACE}+$', '', 'g')) AS t FROM documents), e AS (SELECT doc_id, t, replace(strip_accents({sql_fold('t')}), 'đ', 'd') AS b FROM d),
+r AS (SELECT doc_id, {sql_rules()} AS k FROM e), n AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{r.english}', '{r.site}', {len(r.synonyms)}, {len(r.must_have)})" for k, r in enumerate(RULES))}) AS v(k, english, site, synonyms, must_have))
+SELECT CAST(doc_id AS VARCHAR) AS query_id, coalesce(english, '') AS english, coalesce(site, '') AS site, coalesce(synonyms, 0)::BIGINT AS n_synonyms, coalesce(must_have, 0)::BIGINT AS n_must_have, CASE WHEN k < 0 THEN 'low' ELSE 'high' END AS confidence FROM r LEFT JOIN n USING (k)""")
 def expansion_rules(spark, sf_dir):
-    """Expansions of document lines as mentions."""
+    """Expansions of whole documents as mentions."""
     from termweave.operators.expand import expand
 
-    lines = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
-    return expand(lines).select("query_id", "expansion.english", "expansion.confidence")
+    mentions = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("query_id"), "text")
+    sizes = [F.size(f"expansion.{c}").cast("long").alias(f"n_{c}") for c in ("synonyms", "must_have")]
+    return expand(mentions).select("query_id", "expansion.english", "expansion.site", *sizes, "expansion.confidence")
+
+
+# -- tables read, written and made -----------------------------------------------------------
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/termweave/{name}-{uuid.uuid4().hex}"
+    drop_at_end(spark, path)
+    return path
+
+
+@query(f"WITH {GEO_SQL} SELECT code, parent AS parent_code, CASE code[1] WHEN 'C' THEN 3 WHEN 'N' THEN 2 WHEN 'R' THEN CASE WHEN code = 'ROOT' THEN 0 ELSE 1 END END AS level, CASE WHEN code[1] = 'C' THEN 'a \"x\", b|c' ELSE '' END AS aliases FROM g")
+def code_tables(spark, sf_dir):
+    """A code table written as CSV and read again."""
+    path = scratch_path(spark, "codes")
+    nodes = geography(spark, sf_dir)
+    listed = F.when(F.startswith("code", F.lit("C")), F.array(F.lit('a "x", b'), F.lit("c"))).otherwise(F.array().cast("array<string>"))
+    sinks.write_table(nodes.withColumn("aliases", listed), path)
+    return files.read_codes(spark, path).select("code", "parent_code", "level", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query("SELECT p_partkey::VARCHAR AS rxcui, p_name AS name, p_brand AS tty, p_type || '|' || p_brand AS synonyms FROM part")
+def concept_tables(spark, sf_dir):
+    """A drug table written as CSV and read again."""
+    path = scratch_path(spark, "concepts")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("rxcui"), F.concat(F.lit(" "), "p_name").alias("name"), F.col("p_brand").alias("tty"), F.array("p_type", F.lit(" "), "p_brand").alias("synonyms"))
+    sinks.write_table(rows, path)
+    return files.read_concepts(spark, path).select("rxcui", "name", "tty", F.array_join("synonyms", "|").alias("synonyms"))
+
+
+@query("SELECT 'n' || n_nationkey AS doc_id, 'line 1 of ' || n_name || chr(10) || 'line 2' || chr(10) AS text FROM nation")
+def text_files(spark, sf_dir):
+    """Text files written by executors and read as documents."""
+    path = scratch_path(spark, "texts")
+    n = table(spark, sf_dir, "nation")
+    sinks.write_texts(n.select(F.concat(F.lit("n"), "n_nationkey", F.lit(".txt")).alias("name"), F.concat(F.lit("line 1 of "), "n_name", F.lit("\r\nline 2\r")).alias("body")), path)
+    return files.read_documents(spark, path)
+
+
+@query(f"""SELECT 'n' || n_nationkey || '.json' AS file, 0 AS ord, n_name AS text, '{SYMPTOM}' AS type, 0 AS "start", length(n_name) AS "end" FROM nation WHERE n_nationkey % 5 <> 0""")
+def submission_files(spark, sf_dir):
+    """Submissions written one file each and read again; every fifth is empty."""
+    path = scratch_path(spark, "submissions")
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("doc_id"), F.col("n_name").alias("text"), F.col("n_nationkey").alias("k"))
+    none = F.array().cast("array<string>")
+    found = n.where("k % 5 <> 0").select("doc_id", F.lit(0).cast("long").alias("ord"), "text", F.array(F.lit(0), F.length("text")).alias("position"), F.lit(SYMPTOM).alias("type"), none.alias("assertions"), none.alias("candidates"))
+    sinks.write_submissions(sinks.submissions(n, found), path)
+    rows = files.saved_entities(files.read_submissions(spark, path))
+    return rows.select("file", F.col("ord").cast("long").alias("ord"), "text", "type", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query("""SELECT * FROM (SELECT 'ROOT' AS code, 'ICD-10-CM' AS name, '' AS parent_code, 0 AS level, '' AS aliases, count(*) AS n FROM region)
+UNION ALL SELECT 'CHAPTER_' || r_regionkey, r_name, 'ROOT', 1, '', 1 FROM region UNION ALL SELECT 'SECTION_' || n_nationkey, n_name, 'CHAPTER_' || n_regionkey, 2, '', 1 FROM nation
+UNION ALL SELECT 'C' || c_custkey, c_name, 'SECTION_' || c_nationkey, 3, 'seg ' || c_mktsegment, 1 FROM customer UNION ALL SELECT 'C' || c_custkey || '.0', c_name || ' & more', 'C' || c_custkey, 4, '', 1 FROM customer""")
+def xml_codes(spark, sf_dir):
+    """Classification XML, a document for each region."""
+    r, n, c = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    inner = F.concat(F.lit("<diag><name>C"), "c_custkey", F.lit(".0</name><desc>"), "c_name", F.lit(" &amp; more</desc></diag>"))
+    diag = F.concat(F.lit("<diag><name>C"), "c_custkey", F.lit("</name><desc> "), "c_name", F.lit("</desc><inclusionTerm><note>seg  <b>"), "c_mktsegment", F.lit("</b></note></inclusionTerm>"), inner, F.lit("</diag><diag><name>X</name></diag>"))
+    by_nation = c.groupBy("c_nationkey").agg(F.array_join(F.collect_list(diag), "").alias("d"))
+    sections = n.join(by_nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_regionkey").agg(F.array_join(F.collect_list(F.concat(F.lit('<section id="'), "n_nationkey", F.lit('"><desc>'), "n_name", F.lit("</desc>"), F.coalesce("d", F.lit("")), F.lit("</section>"))), "").alias("s"))
+    docs = r.join(sections, F.col("n_regionkey") == F.col("r_regionkey"), "left").select(F.concat(F.lit("<t><chapter><name>"), "r_regionkey", F.lit("</name><desc>"), "r_name", F.lit("</desc>"), F.coalesce("s", F.lit("")), F.lit("</chapter></t>")).alias("text"))
+    rows = files.xml_nodes(docs)
+    return rows.groupBy("code", "name", "parent_code", "level", F.array_join("aliases", "|").alias("aliases")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH p AS (SELECT replace(p_brand, '#', '') AS p_brand, p_partkey, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part), b AS (SELECT DISTINCT p_brand FROM p)
+SELECT 'ROOT' AS code, 'ICD-10' AS name, '' AS parent_code, '0' AS level, 'root' AS model, '' AS aliases
+UNION ALL SELECT 'I', 'Parts', 'ROOT', '1', 'chapter', '(I) Parts' UNION ALL SELECT 'S', 'Brands', 'I', '2', 'section', '(S) Brands'
+UNION ALL SELECT p_brand, 'Brand ' || p_brand, 'S', '3', 'type', '(' || p_brand || ') Brand ' || p_brand FROM b
+UNION ALL SELECT 'P' || p_partkey, CASE WHEN n % 3 = 0 THEN 'P' || p_partkey ELSE p_type || ' & co' END, p_brand, '4', 'disease', '' FROM p""")
+def crawl_rows(spark, sf_dir):
+    """Kept replies: a page of each brand shows its parts, every third without a name."""
+    p = table(spark, sf_dir, "part").withColumn("p_brand", F.replace("p_brand", F.lit("#"), F.lit("")))
+    key = F.concat(F.lit("p"), "p_partkey")
+    mark = F.concat(F.lit('href="disease/'), key, F.lit('" name="P'), "p_partkey", F.lit('" field" hidden>name</div><div class="id" hidden>'), key, F.lit("</div>"))
+    shown = F.concat(F.lit('<div class="content d-inline-block" >'), "p_type", F.lit(' &amp; co</div><span class="icons"> <div class="content-raw" hidden>'), key, F.lit(":"))
+    n = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey"))
+    parts = p.select("p_brand", "p_partkey", F.when(n % 3 == 0, mark).otherwise(F.concat(mark, shown)).alias("h"))
+    pages = parts.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "h"))), lambda x: x["h"]), "").alias("html"))
+
+    def reply(code: Column, model: str, name: Column, html: Column) -> Column:
+        data = F.struct(code.alias("id"), F.concat(F.lit("("), code, F.lit(") "), name).alias("name"), html.alias("html"))
+        return F.to_json(F.struct(F.lit("success").alias("status"), F.struct(code.alias("id"), F.lit(model).alias("model"), F.lit(False).alias("is_leaf"), data.alias("data")).alias("data")))
+
+    links = pages.agg(F.array_join(F.collect_list(F.concat(F.lit('<a href="type/'), "p_brand", F.lit('">'))), "").alias("html"))
+    top = '{"status": "success", "data": [{"id": "I", "model": "chapter", "is_leaf": false, "data": {"id": "I", "name": "(I) Parts"}}]}'
+    one = spark.range(1)
+    replies = one.select(F.lit("root").alias("model"), F.lit("ROOT").alias("id"), F.lit(top).alias("payload"))
+    replies = replies.union(one.select(F.lit("chapter"), F.lit("I"), reply(F.lit("I"), "chapter", F.lit("Parts"), F.lit('<a href="section/S">'))))
+    replies = replies.union(links.select(F.lit("section"), F.lit("S"), reply(F.lit("S"), "section", F.lit("Brands"), F.col("html"))))
+    replies = replies.union(pages.select(F.lit("type"), "p_brand", reply(F.col("p_brand"), "type", F.concat(F.lit("Brand "), "p_brand"), F.col("html"))))
+    return files.crawl_tree(replies).select("code", "name", "parent_code", "level", "model", "aliases")
+
+
+@query("""WITH a AS (SELECT p_brand AS code, p_name AS alias, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part WHERE p_size % 2 = 0)
+SELECT code, string_agg(alias, '|' ORDER BY n) AS aliases FROM a GROUP BY code""")
+def manual_aliases(spark, sf_dir):
+    """Rows of an alias table in their order; those without an alias are left out."""
+    rows = table(spark, sf_dir, "part").orderBy("p_partkey").select(F.col("p_brand").alias("code"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" "), "p_name")).otherwise(" ").alias("alias"))
+    got = files.alias_rows(rows)
+    return got.groupBy("code").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "alias"))), lambda x: x["alias"]), "|").alias("aliases"))
+
+
+@query("""SELECT p_partkey::VARCHAR AS code, unnest([p_name, p_type]) AS alias FROM part WHERE p_size % 2 = 0""")
+def crawled_names(spark, sf_dir):
+    """Names and aliases of crawled rows, without codes in brackets; chapters give none."""
+    p = table(spark, sf_dir, "part")
+    rows = p.select(F.col("p_partkey").cast("string").alias("code"), F.col("p_name").alias("name"), F.concat(F.lit("("), "p_partkey", F.lit(") "), "p_type", F.lit("|"), "p_partkey", F.lit("| "), "p_name").alias("aliases"), F.when(F.col("p_size") % 2 == 0, "disease").otherwise("chapter").alias("model"))
+    return files.crawled_aliases(rows).select("code", "alias")
+
+
+@query("""SELECT page_id, 'https://host/data/type?id=' || replace(replace(replace(url_encode(url), '%20', '+'), '~', '%7E'), '%2A', '*') || '&lang=dual' AS address, sha256(url) || '.json' AS file FROM pages""")
+def reply_names(spark, sf_dir):
+    """Addresses and file names of kept replies."""
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", files.payload_url("https://host", F.lit("type"), F.col("url")).alias("address"), files.cache_name(F.col("url")).alias("file"))
+
+
+def full_prompt() -> tuple[str, str]:
+    from termweave.operators.extract import PROMPT
+    from termweave.schema import ASSERTIONS
+
+    return tuple(x.format(types=", ".join(TYPES), assertions=", ".join(ASSERTIONS)) for x in PROMPT.split("{chunk}"))
+
+
+@query("SELECT doc_id, sha256('{}' || coalesce(text, '') || '{}') AS prompt FROM documents".format(*[x.replace("'", "''") for x in full_prompt()]))
+def prompts(spark, sf_dir):
+    from termweave.operators.extract import prompt_for
+
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(prompt_for(F.coalesce("text", F.lit(""))), 256).alias("prompt"))
+
+
+@query(f"WITH {GEO_SQL} SELECT 'C' || c_custkey AS id, 'C' || c_custkey || ' ' || c_name || ' seg ' || c_mktsegment AS text, c_name || '|seg ' || c_mktsegment AS aliases FROM customer UNION ALL SELECT 'N' || n_nationkey, 'N' || n_nationkey || ' ' || n_name, n_name FROM nation")
+def code_documents(spark, sf_dir):
+    """Searchable texts of a tree; regions are groupings, so they and the root have none."""
+    segments = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("code"), F.array(F.concat(F.lit("seg "), "c_mktsegment")).alias("a"))
+    nodes = geography(spark, sf_dir).join(segments, "code", "left").withColumn("aliases", F.coalesce("a", "aliases")).drop("a")
+    nodes = nodes.withColumn("code", F.when((F.col("level") == 1), F.concat(F.lit("SECTION_"), "code")).otherwise(F.col("code")))
+    return tree.search_documents(nodes).select("id", "text", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query(f"""WITH {GEO_SQL}, o AS (SELECT o_orderkey AS k, o_custkey AS a, o_custkey % (SELECT count(*) FROM customer) + 1 AS b FROM orders), x AS (SELECT o.*, h1.n AS n1, h1.r AS r1, h2.n AS n2, h2.r AS r2 FROM o LEFT JOIN h h1 ON h1.k = a LEFT JOIN h h2 ON h2.k = b)
+SELECT k AS ord, CASE WHEN k % 3 = 0 THEN 'C' || a || ',C' || b WHEN n1 = n2 AND a <> b THEN 'C' || a || ',C' || b ELSE 'C' || a END AS candidates FROM x""")
+def prune_entities(spark, sf_dir):
+    """Candidates of diagnoses pruned by distance, those of drugs left; two customers of one
+    nation are near enough."""
+    o, n = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").count()
+    codes = F.array(F.concat(F.lit("C"), "o_custkey"), F.concat(F.lit("C"), F.col("o_custkey") % n + 1))
+    rows = o.select(F.lit("d").alias("doc_id"), F.col("o_orderkey").alias("ord"), F.lit("x").alias("text"), F.when(F.col("o_orderkey") % 3 == 0, DRUG).otherwise(DIAGNOSIS).alias("type"), codes.alias("candidates"))
+    done = tree.prune_entities(rows, tree.tree_paths(geography(spark, sf_dir)))
+    # the order of two equal scores is by code
+    both = F.when(F.size("candidates") == 2, F.array_join(codes_in_order("candidates"), ",")).otherwise(F.array_join("candidates", ","))
+    return done.join(o.select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("C"), "o_custkey").alias("own")), "ord").select("ord", both.alias("candidates"))
+
+
+def codes_in_order(name: str) -> Column:
+    """The codes with the order's own customer first."""
+    return F.concat(F.filter(name, lambda c: c == F.col("own")), F.filter(name, lambda c: c != F.col("own")))
+
+
+@query("SELECT p_partkey, trim(p_name) AS first, 2::BIGINT AS n FROM part")
+def list_fields(spark, sf_dir):
+    """List fields: parted by '|', stripped, empty ones dropped."""
+    p = table(spark, sf_dir, "part").select("p_partkey", text.split_list(F.concat(F.lit(" | "), "p_name", F.lit(" ||"), "p_type", F.lit(" | "))).alias("l"))
+    return p.select("p_partkey", F.get("l", F.lit(0)).alias("first"), F.size("l").cast("long").alias("n"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey % 40 AS s, l_partkey % 40 + l_suppkey % 7 AS e FROM lineitem)
+SELECT l_orderkey, l_linenumber, count(*) AS n, max(CASE WHEN s < e AND e <= 30 THEN s + 100 ELSE -1 END) AS "start", max(CASE WHEN s < e AND e <= 30 THEN e + 100 ELSE -1 END) AS "end" FROM p GROUP BY ALL""")
+def span_globals(spark, sf_dir):
+    """Places in a chunk [100, 130) as places in its source."""
+    s = (F.col("l_partkey") % 40).cast("int")
+    got = spans.to_global(F.lit(100), F.lit(130), s, (s + F.col("l_suppkey") % 7).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", got.alias("g"))
+    at = [F.max(F.coalesce(f"g.{c}", F.lit(-1))).cast("long").alias(c) for c in ("start", "end")]
+    return rows.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), *at)
+
+
+@query("SELECT p_partkey::VARCHAR AS id, length(p_name || ' ' || p_brand)::DOUBLE AS embedding FROM part")
+def vector_tables(spark, sf_dir):
+    """Embeddings (lengths of texts) written, checked against model and texts, read again."""
+    path = scratch_path(spark, "vectors")
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("text"), F.array("p_brand").alias("aliases"))
+    sinks.write_vectors(docs, lambda texts: [[float(len(t))] for t in texts], path, "lengths")
+    assert files.kept_vectors(spark, path, "other", docs) is None
+    return files.kept_vectors(spark, path, "lengths", docs).select("id", F.get("embedding", F.lit(0)).cast("double").alias("embedding"))
+
+
+class FirstWord:
+    """A model that finds the first word of a chunk, if it begins with a capital."""
+
+    def load(self) -> None:
+        pass
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        out = []
+        for p in prompts:
+            word = p.split("CHUNK:\n")[1].split(" ")[0].split("\n")[0]
+            out.append(json.dumps({"entities": [{"text": word, "position": [0, len(word)], "type": SYMPTOM, "assertions": [], "candidates": []}]} if word[:1].isupper() else {"entities": []}))
+        return out
+
+
+@query(CHUNK_SQL + r"""SELECT doc_id, chunk_index::BIGINT AS chunk_index, regexp_extract(substr(text, s + 1, e - s), '^[^ \n]+') AS word FROM c WHERE chunk_index >= 0 AND upper(substr(text, s + 1, 1)) = substr(text, s + 1, 1) AND lower(substr(text, s + 1, 1)) <> substr(text, s + 1, 1)""")
+def model_entities(spark, sf_dir):
+    """A model behind the extractor, on all chunks of all documents."""
+    from termweave.operators.extract import ModelExtractor
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    found = ModelExtractor(FirstWord()).extract(chunk.chunks(docs, chunk.NOTES))
+    return found.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.explode("entities").alias("e")).select("doc_id", "chunk_index", F.col("e.text").alias("word"))
