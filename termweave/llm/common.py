@@ -38,31 +38,45 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str, total: int,
 
     A key of more than a HOT_SHARE-th of the ``total`` rows of ``left`` is salted: its rows
     are dealt to as many parts as it has such shares, and its row of ``right`` is copied to
-    each. So there are at most 2 * HOT_SHARE copies; which keys are salted is broadcast as
-    two numbers each, at most HOT_SHARE of them. ``left`` must be a staged table or a narrow step from one:
-    the salt is a row's place there, which a repeated task finds again.
+    each. So there are at most 2 * HOT_SHARE copies; which keys are salted goes to the driver
+    and back as two numbers each, HOT_SHARE of them at most. ``left`` must be a staged table
+    or a narrow step from one: the salt is a row's place there, which a repeated task finds again.
     """
-    part = max(HOT_ROWS, total // HOT_SHARE)
-    names = [c for c in right.columns if c not in (key, weight)]
-    copies = right.where(F.col(weight) > part).groupBy(F.xxhash64(key).alias("__h")).agg(F.max(F.ceil(F.col(weight) / part)).cast("int").alias("__copies"))
-    copies = F.broadcast(copies)
+    hot = right.where(F.col(weight) > _part(total)).select(F.xxhash64(key).alias("__h"), F.col(weight).alias("__w"))
+    return _salted(left, right.drop(weight), key, hot, total, how)
+
+
+def attach_counted(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``attach`` where the rows of ``left`` by key are still to be counted."""
+    total = left.count()
+    hot = left.groupBy(F.xxhash64(key).alias("__h")).agg(F.count(F.lit(1)).alias("__w")).where(F.col("__w") > _part(total))
+    return _salted(left, right, key, hot, total, how)
+
+
+def _part(total: int) -> int:
+    """Rows of one key that one task takes at most."""
+    return max(HOT_ROWS, total // HOT_SHARE)
+
+
+def _salted(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, total: int, how: str) -> DataFrame:
+    spark = left.sparkSession
+    names = [c for c in right.columns if c != key]
+    copies: dict[int, int] = {}
+    for r in hot.collect():  # HOT_SHARE rows at most
+        copies[r["__h"]] = max(copies.get(r["__h"], 1), -(-r["__w"] // _part(total)))
+    if not copies:
+        both = left.join(right.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__r_{c}") for c in names]), F.col(key) == F.col("__k"), how)
+        return both.select(*left.columns, *[F.col(f"__r_{c}").alias(c) for c in names])
+    few = F.broadcast(spark.createDataFrame(list(copies.items()), "__h long, __copies int"))
     n = F.coalesce("__copies", F.lit(1))
-    dealt = right.withColumn("__h", F.xxhash64(key)).join(copies, "__h", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), n - 1)))
+    dealt = right.withColumn("__h", F.xxhash64(key)).join(few, "__h", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), n - 1)))
     dealt = dealt.select(F.col(key).alias("__k"), F.col("__salt").alias("__s"), *[F.col(c).alias(f"__r_{c}") for c in names])
-    marked = left.withColumns({"__row": F.monotonically_increasing_id(), "__h": F.xxhash64(key)}).join(copies, "__h", "left")
+    marked = left.withColumns({"__row": F.monotonically_increasing_id(), "__h": F.xxhash64(key)}).join(few, "__h", "left")
     marked = marked.withColumn("__salt", F.pmod(F.xxhash64("__row"), n).cast("int"))
     both = marked.join(dealt, (F.col(key) == F.col("__k")) & (F.col("__salt") == F.col("__s")), how)
     return both.select(*left.columns, *[F.col(f"__r_{c}").alias(c) for c in names])
 
 
-def attach_counted(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """``attach`` where the rows of ``left`` by key are still to be counted."""
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("__w"))
-    weighed = stage(right.join(counts, key), "attach")
-    total = weighed.agg(F.sum("__w")).first()[0] or 0
-    return attach(left, weighed, key, "__w", total, how)
-
-
 def ranged(df: DataFrame, order: list[Column], values: dict[str, Column], name: str) -> DataFrame:
     """``df``, staged, with a column for each of ``values``: its sum over all rows before, in
     the given order (``values`` are whole numbers or doubles). Rows are dealt by ranges of

@@ -15,8 +15,8 @@ Coordinates are banded (``BANDS`` of ``ROWS``); texts that share a band meet in
 
 1. Equal texts are one node; only different texts are compared.
 2. Hub rounds: each node is compared with the least node of each of its buckets; as long as
-   a bucket holds over ``BLOCK`` nodes that no hub has claimed, it gets another hub from
-   among them, ``ROUNDS`` at most.
+   a bucket holds over 4 ``BLOCK`` nodes that no hub has claimed, it gets another hub from
+   among them, ``ROUNDS`` more at most.
 3. Buckets that still hold nodes of several components are searched in blocks: the nodes
    outside the component of the bucket's first hub, ``BLOCK`` at a time, against all nodes of
    the bucket, ``WIDE`` at a time (fewer if texts are long: a block has about
@@ -61,9 +61,11 @@ K = BANDS * ROWS
 DARTS = K * (np.log(K) + 4)
 #: Darts that are expected in a region.
 AREA = 1.0
-BLOCK, WIDE, BLOCK_BYTES, ROUNDS = 192, 384, 8_000_000, 4
+BLOCK, WIDE, BLOCK_BYTES, ROUNDS = 192, 384, 8_000_000, 2
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BATCH_DARTS = 400_000
+#: Up to so many pairs of a node are compared one by one, more all at once.
+FEW_PAIRS = 16
 BROADCAST_ROWS = 500_000
 
 
@@ -240,28 +242,36 @@ def block_links(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
         return x
 
     cells = [np.frombuffer(r[8], dtype=np.uint32) for r in every]
-    sizes, outside, bands = np.array([len(c) for c in cells]), [r[6] for r in every], np.array([r[7] for r in every])
+    sizes, outside, bands = np.array([len(c) for c in cells]), np.array([r[6] for r in every]), np.array([r[7] for r in every])
     table = np.concatenate(cells)
     order = np.argsort(table, kind="stable")
     table, owner = table[order], np.repeat(np.arange(len(every)), sizes)[order]
     nodes, comps = [r[4] for r in every], [r[5] for r in every]
+    names = np.array(nodes, dtype=object)
     for _, _, _, _, node, comp, _, own_bands, own_cells in mine:
         own = np.frombuffer(own_cells, dtype=np.uint32)
-        left = np.searchsorted(table, own)
-        n = np.searchsorted(table, own, side="right") - left
-        hits = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
-        both = np.bincount(owner[hits], minlength=len(every))
-        near = both / (sizes + len(own) - both)
-        at = np.flatnonzero(near >= THRESHOLD)
-        if not len(at):
+        # pairs of fitting sizes, in the first band that they share; of two nodes outside, which
+        # meet twice, the smaller one asks
+        fit = np.minimum(sizes, len(own)) >= THRESHOLD * np.maximum(sizes, len(own))
+        fit &= np.take_along_axis(bands, (bands == np.array(own_bands)).argmax(axis=1)[:, None], 1)[:, 0] == key
+        fit &= ~(outside & (names <= node))
+        home = find(comp)
+        at = [j for j in np.flatnonzero(fit).tolist() if find(comps[j]) != home]
+        if not at:
             continue
-        first = bands[at, (bands[at] == np.array(own_bands)).argmax(axis=1)] == key
-        for j in at[first][np.argsort(-near[at[first]], kind="stable")].tolist():
-            # two nodes outside meet twice; the smaller one asks
-            if outside[j] and nodes[j] <= node or find(comps[j]) == find(comp):
-                continue
-            parent[find(comp)] = find(comps[j])
-            yield (node, nodes[j]) if node < nodes[j] else (nodes[j], node)
+        if len(at) <= FEW_PAIRS:
+            near = np.array([similarity(own, cells[j]) for j in at])
+        else:
+            left = np.searchsorted(table, own)
+            n = np.searchsorted(table, own, side="right") - left
+            hits = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(owner[hits], minlength=len(every))[at]
+            near = both / (sizes[at] + len(own) - both)
+        for k in np.argsort(-near, kind="stable").tolist():
+            j = at[k]
+            if near[k] >= THRESHOLD and find(comps[j]) != find(comp):
+                parent[find(comp)] = find(comps[j])
+                yield (node, nodes[j]) if node < nodes[j] else (nodes[j], node)
 
 
 def search_buckets(members: DataFrame, comps: DataFrame, nodes: DataFrame, cells: DataFrame) -> DataFrame:
@@ -291,9 +301,8 @@ def search_buckets(members: DataFrame, comps: DataFrame, nodes: DataFrame, cells
             if found := list(block_links(block)):
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.binary()) for c in (0, 1)], ["a", "b"])
 
-    # a task for each few blocks, so that none has many of them by chance
-    blocks = counts.agg(F.sum(F.col("ps").cast("long") * F.col("qs"))).first()[0] or 0
-    tasks = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks))
+    # a few blocks for each task
+    tasks = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // (4 * (BLOCK + WIDE))))
     dealt = full.repartition(tasks, "key", "p", "q").sortWithinPartitions("key", "p", "q")
     out = stage(dealt.mapInArrow(run, "a binary, b binary"), "near-links")
     unstage(live, counts, sized, rows, data)
@@ -369,7 +378,7 @@ def hub_rounds(big: DataFrame, links: DataFrame, comps: DataFrame, cells: DataFr
         comp = stage(open_.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "near-round")
         of_hub = comp.where("node = hub").select("key", F.col("comp").alias("main"))
         left = stage(attach_counted(comp, of_hub, "key", "inner").where("comp <> main").select("key", "node"), "near-left")
-        many = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where(F.col("n") > BLOCK)
+        many = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where(F.col("n") > 4 * BLOCK)
         many = stage(many, "near-many")
         unstage(comp, *([open_] if open_ is not big else []))
         if many.isEmpty():

@@ -84,7 +84,7 @@ def test_near_blocks(spark, monkeypatch):
 
 def test_near_rounds(spark, monkeypatch):
     """Buckets of several groups, with more hubs, give the same classes."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
     monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 4000)
     base = prose(60, 1).split()
     rows = [(100 * g + i, changed(" ".join(base[: 60 - 7 * g]) + " " + prose(7 * g, 50 + g), i % 3, 7 * i + g)) for g in range(4) for i in range(14)]
