@@ -9,7 +9,8 @@ removed but for the first (by doc_id, null last, then place in the text), if the
 
 Plan: (1) counts of chunk hashes, without texts; (2) chunks whose hash is repeated, with
 texts, grouped by hash and text, which compares the bytes, and summed before the shuffle;
-(3) these chunks joined to their group by shuffle, hot groups salted; (4) the numbers of removed chunks joined to their documents. The set of repeated
+(3) the numbers of these chunks joined to their group by shuffle, hot groups salted (texts
+only where two of them have one hash); (4) the numbers of removed chunks joined to their documents. The set of repeated
 hashes is broadcast in (2) if it has at most ``BROADCAST_ROWS`` rows, joined by shuffle if not.
 
 Chunks miss short lines between long ones, long lines of one sentence and repeats that hold no whole chunk. ``dedup_runs``,
@@ -96,19 +97,36 @@ def units(text: Column) -> Column:
     return let(F.split(text, "\n", -1), lambda lines: let(word_lines(lines), lambda at: made(lines, at)))
 
 
+def number_of(chunk: Column) -> Column:
+    return F.xxhash64(chunk)
+
+
 def later(docs: DataFrame, parts: Callable[[Column], Column], *extra: str) -> DataFrame:
     """(__d, __t, k, extra): the parts of texts that were found before."""
     rows = keyed(docs.where("text IS NOT NULL").select("doc_id", "text"))
     rows = rows.select("__d", "__t", F.explode(F.filter(parts(F.col("text")), lambda c: c["counts"])).alias("c"))
-    rows = rows.select("__d", "__t", *[F.col(f"c.{x}").alias(x) for x in ("k", *extra)], F.col("c.text").alias("chunk")).withColumn("h", F.xxhash64("chunk"))
+    rows = rows.select("__d", "__t", *[F.col(f"c.{x}").alias(x) for x in ("k", *extra)], F.col("c.text").alias("chunk")).withColumn("h", number_of(F.col("chunk")))
     twice = stage(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1"), "line-hashes")
     one = twice.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows")).first()
     few = one["n"] <= BROADCAST_ROWS
     repeats = rows.join(F.broadcast(twice.select("h")), "h", "left_semi") if few else attach(rows, twice, "h", "n_rows", one["rows"], "inner")
     found = stage(repeats, "line-chunks")
     first = F.min(F.struct("__d", "__t", "k")).alias("first")
-    groups = stage(found.groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n_rows"), first).where("n_rows > 1").withColumnRenamed("chunk", "same"), "line-groups")
-    both = attach(found, groups, "h", "n_rows", found.count(), "inner").where("chunk = same")
+    grouped = found.groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n_rows"), first)
+    # the bytes are compared here; where a hash has one text, its number stands for it below
+    groups = stage(grouped.select("h", "n_rows", "first"), "line-groups")
+    clash = stage(groups.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("h"), "line-clash")
+    numbers = found.drop("chunk")
+    if clash.isEmpty():
+        both = attach(numbers, groups.where("n_rows > 1"), "h", "n_rows", found.count(), "inner")
+    else:
+        alone = stage(numbers.join(clash, "h", "left_anti"), "line-alone")
+        single = groups.join(clash, "h", "left_anti").where("n_rows > 1")
+        both = attach(alone, single, "h", "n_rows", alone.count(), "inner")
+        odd = stage(found.join(clash, "h", "left_semi").withColumn("__h", F.sha2("chunk", 256)), "line-odd")
+        texts = stage(odd.groupBy("__h", "chunk").agg(F.count(F.lit(1)).alias("n_rows"), first).where("n_rows > 1").withColumnRenamed("chunk", "same"), "line-texts")
+        told = attach(odd, texts, "__h", "n_rows", odd.count(), "inner").where("chunk = same")
+        both = both.unionByName(told.select(*both.columns))
     return both.where(F.struct("__d", "__t", "k") != F.col("first")).select("__d", "__t", "k", *extra)
 
 

@@ -103,3 +103,13 @@ def test_chunks_have_several_lines(spark):
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()}
     assert [got[2 * i] for i in range(4)] == texts
     assert got[1] == "" and got[3] == one and got[5] == "Short one. Short two."
+
+
+def test_hashes_that_clash(spark, monkeypatch):
+    """Texts of one hash are told apart by their bytes."""
+    docs = [(i, "\n".join(f"{chr(97 + (i * j) % 7)} line {i * j % 5}\nand more" for j in range(1, 9))) for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = [sorted(map(tuple, f(frame).collect())) for f in (line_dedup.dedup_lines, line_dedup.dedup_runs)]
+    monkeypatch.setattr(line_dedup, "number_of", lambda c: line_dedup.F.length(c) % 3)
+    assert want == [sorted(map(tuple, f(frame).collect())) for f in (line_dedup.dedup_lines, line_dedup.dedup_runs)]
+    assert want[1] == [tuple(r) for r in by_force(docs)]
