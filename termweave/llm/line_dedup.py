@@ -3,8 +3,9 @@
 Lines are hashed, and a rolling hash over the hashes of ``WINDOW`` = 2 lines chooses chunk
 boundaries, so they depend on content alone and fall into step again after an insertion. A
 line of ``LONG`` characters or more is a paragraph whose line breaks were joined: it is
-wrapped again, into a line for each sentence, and these lines are bounded on both sides and
-make one chunk. A chunk counts if it has two lines with words. Chunks that are found more than once in the corpus are
+wrapped again between words, each line shorter than ``LONG``, so it has two lines or more
+unless it is one word; these lines are bounded on both sides and make one chunk. A chunk
+counts if it has two lines with words. Chunks that are found more than once in the corpus are
 removed but for the first (by doc_id, null last, then place in the text), if their bytes are equal.
 
 Plan: (1) counts of chunk hashes, without texts; (2) chunks whose hash is repeated, with
@@ -13,7 +14,7 @@ texts, grouped by hash and text, which compares the bytes, and summed before the
 only where two of them have one hash); (4) the numbers of removed chunks joined to their documents. The set of repeated
 hashes is broadcast in (2) if it has at most ``BROADCAST_ROWS`` rows, joined by shuffle if not.
 
-Chunks miss short lines between long ones, long lines of one sentence and repeats that hold no whole chunk. ``dedup_runs``,
+Chunks miss short lines between long ones, long lines of one word and repeats that hold no whole chunk. ``dedup_runs``,
 which the pipeline takes, has no boundaries: every two successive lines with words are a unit
 (with the lines without words between them), and so is every long line. A line goes if a unit
 that it is in was found before, so each repeated run of two lines goes whole, an exact copy of
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 from termweave.llm.common import WORD, attach, let, stage, table
 
 LONG = 120
-#: Where a long line is wrapped.
-SENTENCE_END = r"[.!?]\x20+[^\x20]"
+#: Where a long line can be wrapped.
+BETWEEN_WORDS = r"[^\x20\x09-\x0D][\x20\x09-\x0D]+[^\x20\x09-\x0D]"
 BROADCAST_ROWS = 1_000_000
 
 
@@ -62,7 +63,7 @@ def chunks(text: Column) -> Column:
 
     def piece(lines: Column, begin: Column, end: Column, k: Column) -> Column:
         own = F.slice(lines, begin + 1, end - begin)
-        full = F.aggregate(own, F.lit(0), lambda n, x: n + F.when(~x.rlike(WORD), 0).when(F.length(x) >= LONG, F.regexp_count(x, F.lit(SENTENCE_END)) + 1).otherwise(1))
+        full = F.aggregate(own, F.lit(0), lambda n, x: n + F.when(~x.rlike(WORD), 0).when((F.length(x) >= LONG) & x.rlike(BETWEEN_WORDS), 2).otherwise(1))
         counts = full >= 2
         return F.struct(k.cast("int").alias("k"), (end - begin).alias("lines"), counts.alias("counts"), F.array_join(own, "\n").alias("text"))
 
@@ -198,7 +199,7 @@ WITH l AS (
   SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM f
 ), c AS (
   SELECT doc_id, k, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS chunk,
-    sum(CASE WHEN NOT regexp_matches(line, '[^\x20\x09-\x0D]') THEN 0 WHEN length(line) >= {LONG} THEN len(regexp_extract_all(line, '{SENTENCE_END}')) + 1 ELSE 1 END) AS full_lines
+    sum(CASE WHEN NOT regexp_matches(line, '[^\x20\x09-\x0D]') THEN 0 WHEN length(line) >= {LONG} AND regexp_matches(line, '{BETWEEN_WORDS}') THEN 2 ELSE 1 END) AS full_lines
   FROM g GROUP BY doc_id, k
 ), r AS (
   SELECT *, full_lines >= 2 AS counts FROM c

@@ -95,14 +95,25 @@ def test_clashing_names_and_hot_chunks(spark):
 
 
 def test_chunks_have_several_lines(spark):
-    """A long line of several sentences is a chunk of several lines, one of one sentence is
-    not; sentences of short lines are not told apart."""
-    one = "word " * 30 + "end."
-    texts = [SENTENCES, one, "Short one. Short two.", "a b\n\nc d"]
+    """A long line is a chunk of several lines, be it of one sentence or of many, unless it is
+    one word; a single short line is no chunk."""
+    one, word = "word " * 30 + "end.", "x" * 200
+    texts = [SENTENCES, one, "Short one. Short two.", "a b\n\nc d", word]
     frame = spark.createDataFrame([(2 * i + k, t) for i, t in enumerate(texts) for k in range(2)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()}
-    assert [got[2 * i] for i in range(4)] == texts
-    assert got[1] == "" and got[3] == one and got[5] == "Short one. Short two."
+    assert [got[2 * i] for i in range(5)] == texts
+    assert got[1] == got[3] == "" and got[5] == "Short one. Short two." and got[9] == word
+
+
+def test_passages_of_over_50_words_go(spark):
+    """Passages of one line, with and without sentence ends, between short and long own lines."""
+    passages = [" ".join(f"p{n}w{i}" for i in range(60)) for n in range(4)]
+    passages += [p.replace("w30", "w30.") for p in passages]
+    docs = [(i, "\n".join([line(n, 100 * i + n) for n in (30, 130)] + [passages[i % 8]] + [line(n, 100 * i + n) for n in (40, 150)])) for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()}
+    for i, text in docs:
+        assert texts[i] == (text if i < 8 else text.replace(passages[i % 8] + "\n", ""))
 
 
 def test_hashes_that_clash(spark, monkeypatch):
