@@ -12,6 +12,10 @@ Escapes, in texts and roles of an escaped rendering: ``\\`` becomes ``\\b``, ``<
 becomes ``<\\p`` and, in roles only, a line feed becomes ``\\n``. After the first of them
 every backslash starts a two-character escape, so decoding by plain replacement is exact.
 
+The loss mask is a list of spans of the formatted text (code points, ends exclusive): the
+texts of assistant turns as they stand there, escapes included, without roles and control
+strings. ``masked`` cuts them out again, in work linear in the text.
+
 Defined results: a null role or text is empty; rows of one conversation are ordered by
 turn (null first), then role, then text, so ties are settled by content and repeated rows
 are repeated turns; a null conv_id is a conversation of its own; an empty table gives no
@@ -24,8 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.common import table
+from termweave.llm.common import let, running, table
 
+#: Blocks of a formatted text out of which masked spans are cut.
+BLOCK = 1024
 OPEN, CLOSE, MARK = "<|s|>", "<|/s|>", "<|e|>"
 CONTROL = "<|"
 ESCAPED_CONTROL = "<\\p"
@@ -57,13 +63,19 @@ def render(turns: Column, escaped: bool) -> Column:
     return F.concat(F.lit(MARK), body) if escaped else body
 
 
-def parse(formatted: Column) -> Column:
-    """The turns that a reader finds: pieces between OPEN and CLOSE, the role up to the
-    first line feed; null if the text is not of the grammar."""
+def pieces_of(formatted: Column) -> tuple[Column, Column, Column]:
+    """Whether the text is marked as escaped, the text without the mark, and the pieces of it
+    between the first OPEN and the last CLOSE: a role, a line feed and a text each."""
     marked = F.startswith(formatted, F.lit(MARK))
     body = F.when(marked, F.substr(formatted, F.lit(len(MARK) + 1))).otherwise(formatted)
     inner = F.substr(body, F.lit(len(OPEN) + 1), F.length(body) - F.lit(len(OPEN) + len(CLOSE)))
-    pieces = F.split(inner, r"<\|/s\|><\|s\|>", -1)
+    return marked, body, F.split(inner, r"<\|/s\|><\|s\|>", -1)
+
+
+def parse(formatted: Column) -> Column:
+    """The turns that a reader finds: pieces between OPEN and CLOSE, the role up to the
+    first line feed; null if the text is not of the grammar."""
+    marked, body, pieces = pieces_of(formatted)
 
     def one(p: Column) -> Column:
         at = F.locate("\n", p)
@@ -78,9 +90,9 @@ def parse(formatted: Column) -> Column:
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
-    """(conv_id, formatted, escaped, turns): the formatted text, whether it is escaped and
-    the turns read back from it. A conversation that does not come back identical even
-    escaped would fail the job."""
+    """(conv_id, formatted, escaped, mask, turns): the formatted text, whether it is escaped,
+    its loss mask and the turns read back from it. A conversation that does not come back
+    identical even escaped would fail the job."""
     both = turns_of(rows).withColumn("plain", render(F.col("turns"), False))
     # a plain rendering is kept if it parses to the source
     both = both.withColumn("escaped", ~F.coalesce(parse(F.col("plain")) == F.col("turns"), F.lit(False)))
@@ -88,12 +100,41 @@ def format_chats(rows: DataFrame) -> DataFrame:
     done = done.withColumn("back", parse(F.col("formatted")))
     same = F.coalesce(F.col("back") == F.col("turns"), F.lit(False))
     checked = F.when(same, F.col("back")).otherwise(F.raise_error(F.lit("round trip failed")).cast("array<struct<role:string,text:string>>"))
-    return done.select("conv_id", "formatted", "escaped", checked.alias("turns"))
+    return done.select("conv_id", "formatted", "escaped", loss_mask(F.col("formatted")).alias("mask"), checked.alias("turns"))
+
+
+def loss_mask(formatted: Column) -> Column:
+    """array<struct<start,end>> of a text of the grammar: what stands there of the texts of
+    assistant turns, in order; a span of an empty text is empty."""
+    marked, _, pieces = pieces_of(formatted)
+
+    def spans(pieces: Column) -> Column:
+        steps = F.transform(pieces, lambda p: F.length(p) + len(OPEN) + len(CLOSE))
+
+        def span(p: Column, before: Column) -> Column:
+            begin = F.when(marked, len(MARK)).otherwise(0) + before + len(OPEN)
+            one = F.struct((begin + F.locate("\n", p)).cast("int").alias("start"), (begin + F.length(p)).cast("int").alias("end"))
+            return F.when(F.startswith(p, F.lit("assistant\n")), one)
+
+        return F.filter(let(steps, lambda s: F.zip_with(pieces, running(s), span)), lambda x: x.isNotNull())
+
+    return let(pieces, spans)
+
+
+def masked(formatted: Column, mask: Column) -> Column:
+    """The texts under the mask, unescaped."""
+    marked = F.startswith(formatted, F.lit(MARK))
+
+    def cut(blocks: Column) -> Column:
+        def one(s: Column) -> Column:
+            first, last = F.floor(s["start"] / BLOCK).cast("int"), F.floor(s["end"] / BLOCK).cast("int")
+            own = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+            text = F.substr(own, s["start"] - first * BLOCK + 1, s["end"] - s["start"])
+            return F.when(marked, unescape(text)).otherwise(text)
 
+        return F.transform(mask, one)
 
-def loss_spans(turns: Column) -> Column:
-    """Texts under the loss mask, in order."""
-    return F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["text"])
+    return let(F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), cut)
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +143,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ok).alias("text"))
     done = format_chats(rows.unionByName(extra))
     shown = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(loss_spans(F.col("turns")), "")
+    loss = F.array_join(masked(F.col("formatted"), F.col("mask")), "")
     return done.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

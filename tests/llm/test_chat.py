@@ -23,6 +23,19 @@ def test_round_trip(spark):
     assert got[None].escaped
 
 
+def test_mask_covers_assistant_texts(spark):
+    """Spans of the formatted text, counted in code points by Python, hold each assistant text
+    once; cut out again they are the source texts."""
+    odd = ["é😀" * 3000 + "<|s|>", "x" * 1023, "x" * 1024 + "\n", "", "assistant\nno turn", "<|/s|>assistant\nno turn"]
+    frame = rows(spark).unionByName(spark.createDataFrame([(100 + i, j, r, t) for i, t in enumerate(odd) for j, r in enumerate(("user", "assistant", "user", "assistant"))], "conv_id long, turn long, role string, text string"))
+    for r in chat.format_chats(frame).withColumn("loss", chat.masked(chat.F.col("formatted"), chat.F.col("mask"))).collect():
+        want = [t.text for t in r.turns if t.role == "assistant"]
+        assert r.loss == want
+        raw = [r.formatted[s.start : s.end] for s in r.mask]
+        assert [t.replace("<\\p", "<|").replace("\\b", "\\") if r.escaped else t for t in raw] == want
+        assert all(r.formatted[: s.start].endswith("<|s|>assistant\n") and r.formatted[s.end :].startswith("<|/s|>") for s in r.mask)
+
+
 def test_empty(spark):
     assert chat.format_chats(rows(spark).limit(0)).count() == 0
 
