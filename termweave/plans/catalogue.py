@@ -130,46 +130,53 @@ def chunk_invariants(spark, sf_dir):
 # -- spans and entities ----------------------------------------------------------------------
 
 
-@query("""WITH m AS (SELECT item_id, text, unnest(['on', 'th', 'ee', 'éé', 'zzz']) AS mention FROM benchmark)
-SELECT item_id, mention, i AS "start", i + length(mention) AS "end" FROM (SELECT *, unnest(range(0, length(text))) AS i FROM m) WHERE substr(text, i + 1, length(mention)) = mention""")
+# mentions hold no blank, so each lies in one of the pieces between blanks
+PIECE_SQL = """p AS (SELECT doc_id, piece, sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) - 1 AS base
+  FROM (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS piece FROM (SELECT doc_id, string_split(text, ' ') AS s FROM documents)))"""
+MENTIONS = ["ontion", "erer", "ee", "éé", "zzz"]
+
+
+@query(f"""WITH {PIECE_SQL}, m AS (SELECT *, unnest({MENTIONS}) AS mention FROM p)
+SELECT doc_id, mention, CAST(base + i AS BIGINT) AS "start", CAST(base + i + length(mention) AS BIGINT) AS "end"
+FROM (SELECT *, unnest(range(0, length(piece))) AS i FROM m WHERE contains(piece, mention)) WHERE substr(piece, i + 1, length(mention)) = mention""")
 def exact_mentions(spark, sf_dir):
-    words = F.array(*map(F.lit, ["on", "th", "ee", "éé", "zzz"]))
-    rows = table(spark, sf_dir, "benchmark").select("item_id", "text", F.explode(words).alias("mention"))
-    found = rows.select("item_id", "mention", F.explode(spans.exact_matches(F.col("text"), F.col("mention"))).alias("m"))
-    return found.select("item_id", "mention", F.col("m.start").cast("long").alias("start"), F.col("m.end").cast("long").alias("end"))
+    words = F.array(*map(F.lit, MENTIONS))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(words).alias("mention"))
+    found = rows.select("doc_id", "mention", F.explode(spans.exact_matches(F.col("text"), F.col("mention"))).alias("m"))
+    return found.select("doc_id", "mention", F.col("m.start").cast("long").alias("start"), F.col("m.end").cast("long").alias("end"))
 
 
-@query("""WITH w AS (SELECT item_id, text, string_split(text, ' ')[5] AS mention, 7 * (item_id % 9) AS p FROM benchmark),
-m AS (SELECT item_id, text, mention, p, list_filter(range(0, length(text)), lambda i: substr(text, i + 1, length(mention)) = mention) AS l FROM w),
-d AS (SELECT *, substr(text, p + 1, length(mention)) = mention AND p + length(mention) <= length(text) AS good, list_sort(list_transform(l, lambda i: [abs(i - p), i])) AS o FROM m)
-SELECT item_id, CASE WHEN good THEN p WHEN len(o) = 1 OR o[2][1] > o[1][1] THEN o[1][2] END AS fixed FROM d""")
+@query(f"""WITH {PIECE_SQL}, w AS (SELECT doc_id, text, string_split(text, ' ')[5] AS mention, 7 * (doc_id % 9) AS p FROM documents),
+m AS (SELECT w.doc_id, w.p, base + unnest(range(0, length(piece) - length(mention) + 1)) AS i, piece, base, mention FROM w JOIN p USING (doc_id) WHERE mention <> '' AND contains(piece, mention)),
+o AS (SELECT doc_id, list_sort(list([abs(i - p), i])) AS o FROM m WHERE substr(piece, CAST(i - base + 1 AS BIGINT), length(mention)) = mention GROUP BY doc_id)
+SELECT doc_id, CAST(CASE WHEN mention <> '' AND substr(text, p + 1, length(mention)) = mention THEN p WHEN len(o) = 1 OR o[2][1] > o[1][1] THEN o[1][2] END AS BIGINT) AS fixed FROM w LEFT JOIN o USING (doc_id)""")
 def span_repair(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select("item_id", "text", F.get(F.split("text", " "), F.lit(4)).alias("mention"), (7 * (F.col("item_id") % 9)).cast("int").alias("p"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.get(F.split("text", " "), F.lit(4)).alias("mention"), (7 * (F.col("doc_id") % 9)).cast("int").alias("p"))
     fixed = spans.correct_span(F.col("text"), F.col("mention"), F.col("p"), F.col("p") + F.length("mention"))
-    return rows.select("item_id", fixed["start"].cast("long").alias("fixed"))
+    return rows.select("doc_id", fixed["start"].cast("long").alias("fixed"))
 
 
-@query("""SELECT item_id, k, item_id % 11 < item_id % 11 + k AND item_id % 11 + k <= length(text) AND text[CAST(item_id % 11 + 1 AS INT) : CAST(item_id % 11 + k AS INT)] = substr(text, 4, 3) AS valid,
-  CASE WHEN k > 0 AND item_id % 11 + k <= 12 THEN 100 + item_id % 11 END AS global_start
-FROM (SELECT *, unnest([0, 3, 99999]) AS k FROM benchmark)""")
+@query("""SELECT doc_id, k, coalesce(k > 0 AND doc_id % 11 + k <= length(text) AND text[CAST(doc_id % 11 + 1 AS INT) : CAST(doc_id % 11 + k AS INT)] = substr(text, 4, 3), false) AS valid,
+  CASE WHEN k > 0 AND doc_id % 11 + k <= 12 THEN 100 + doc_id % 11 END AS global_start
+FROM (SELECT *, unnest([0, 3, 99999]) AS k FROM documents)""")
 def span_validate(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select("item_id", "text", F.explode(F.array(*map(F.lit, (0, 3, 99999)))).alias("k"))
-    start = (F.col("item_id") % 11).cast("int")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array(*map(F.lit, (0, 3, 99999)))).alias("k"))
+    start = (F.col("doc_id") % 11).cast("int")
     valid = spans.valid_span(F.col("text"), F.substr(F.col("text"), F.lit(4), F.lit(3)), start, start + F.col("k"))
     moved = spans.to_global(F.lit(100), F.lit(112), start, start + F.col("k"))
-    return rows.select("item_id", "k", valid.alias("valid"), moved["start"].cast("long").alias("global_start"))
+    return rows.select("doc_id", "k", valid.alias("valid"), moved["start"].cast("long").alias("global_start"))
 
 
 RULE_SQL = "\n UNION ALL ".join(
-    f"SELECT doc_id, text, {k} AS rank, '{p}' AS pattern, '{t}' AS type, unnest(list_filter(range(0, length(text)), lambda i: substr(text, i + 1, {len(p)}) = '{p}')) AS s FROM conv WHERE contains(text, '{p}')"
+    f"SELECT doc_id, text, {k} AS rank, '{p}' AS pattern, '{t}' AS type, base + unnest(list_filter(range(0, length(text)), lambda i: substr(text, i + 1, {len(p)}) = '{p}')) AS s FROM conv WHERE contains(text, '{p}')"
     for k, (p, t) in enumerate(RuleExtractor().patterns)
 )
 
 
-@query(f"""WITH conv AS (SELECT item_id AS doc_id, text FROM benchmark), f AS ({RULE_SQL})
-SELECT CAST(doc_id AS VARCHAR) AS doc_id, pattern AS text, type, s AS "start", s + length(pattern) AS "end", 0 AS n_assertions FROM f""")
+@query(CHUNK_SQL + f""", conv AS (SELECT doc_id, s AS base, substr(text, s + 1, e - s) AS text FROM c WHERE chunk_index >= 0), f AS ({RULE_SQL})
+SELECT DISTINCT CAST(doc_id AS VARCHAR) AS doc_id, pattern AS text, type, CAST(s AS BIGINT) AS "start", CAST(s + length(pattern) AS BIGINT) AS "end", 0 AS n_assertions FROM f""")
 def rule_entities(spark, sf_dir):
-    docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("doc_id"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     rows = extract_entities(docs, RuleExtractor())
     return rows.select("doc_id", "text", "type", F.col("position")[0].cast("long").alias("start"), F.col("position")[1].cast("long").alias("end"), F.size("assertions").alias("n_assertions"))
 
