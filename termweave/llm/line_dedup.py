@@ -15,12 +15,14 @@ only where two of them have one hash); (4) the numbers of removed chunks joined
 hashes is broadcast in (2) if it has at most ``BROADCAST_ROWS`` rows, joined by shuffle if not.
 
 Chunks miss short lines between long ones, long lines of one word and repeats that hold no whole chunk. ``dedup_runs``,
-which the pipeline takes, has no boundaries: every two successive lines with words are a unit
-(with the lines without words between them), and so is every long line. A line goes if a unit
-that it is in was found before, so each repeated run of two lines goes whole, an exact copy of
-such a text becomes empty, and all that chunks remove goes too. The first occurrence of a line
+which the pipeline takes, removes the repeated chunks in the same way and then checks exactly
+what their boundaries leave: every two successive lines with words are a unit (with the lines
+without words between them), and so is every long line. A line goes if its chunk or a unit
+that it is in was found before, so each repeated run of two lines goes whole, and an exact copy
+of such a text becomes empty. Units that lie in a removed chunk are not compared: they are in
+its first occurrence too, so none of them is the first of its kind. The first occurrence of a line
 always stays. Lines without words go with the line before them, those at the start with the
-first one that has words. The plan is the same, with units for chunks.
+first one that has words. The plan of the check is the same, with units for chunks.
 
 Defined results: a null text stays null, an empty one empty; a text without line feed is one
 line; lines without words never count but belong to their chunk; a text that loses all its
@@ -36,11 +38,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.common import WORD, attach, let, stage, table
+from termweave.llm.common import WORD, attach, let, running, stage, table
 
 LONG = 120
 #: Where a long line can be wrapped.
 BETWEEN_WORDS = r"[^\x20\x09-\x0D][\x20\x09-\x0D]+[^\x20\x09-\x0D]"
+#: A line with words, from its first word on.
+WORD_LINE = r"[^\x20\x09-\x0D][^\n]*"
 BROADCAST_ROWS = 1_000_000
 
 
@@ -80,6 +84,19 @@ def word_lines(lines: Column) -> Column:
     return F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
 
 
+def placed_chunks(text: Column) -> Column:
+    """array<struct<k,n,counts,text>>: the chunks of a text by their lines with words, ``n``
+    from number ``k`` on."""
+
+    def placed(all_: Column, n: Column) -> Column:
+        def one(before: Column) -> Column:
+            return F.transform(all_, lambda c, i: F.struct(F.get(before, i).alias("k"), F.get(n, i).alias("n"), c["counts"].alias("counts"), c["text"].alias("text")))
+
+        return let(running(n), one)
+
+    return let(chunks(text), lambda all_: let(F.transform(all_, lambda c: F.regexp_count(c["text"], F.lit(WORD_LINE))), lambda n: placed(all_, n)))
+
+
 def units(text: Column) -> Column:
     """array<struct<k,n,counts,text>>: each two successive lines with words (n = 2) and each
     long one (n = 1); ``k`` numbers the lines with words."""
@@ -102,8 +119,9 @@ def number_of(chunk: Column) -> Column:
     return F.xxhash64(chunk)
 
 
-def later(docs: DataFrame, parts: Callable[[Column], Column], *extra: str) -> DataFrame:
-    """(__d, __t, k, extra): the parts of texts that were found before."""
+def later(docs: DataFrame, parts: Callable[[Column], Column], *extra: str, but: DataFrame | None = None) -> DataFrame:
+    """(__d, __t, k, extra): the parts of texts that were found before. Parts that ``but``
+    names are not compared."""
     rows = keyed(docs.where("text IS NOT NULL").select("doc_id", "text"))
     rows = rows.select("__d", "__t", F.explode(F.filter(parts(F.col("text")), lambda c: c["counts"])).alias("c"))
     rows = rows.select("__d", "__t", *[F.col(f"c.{x}").alias(x) for x in ("k", *extra)], F.col("c.text").alias("chunk")).withColumn("h", number_of(F.col("chunk")))
@@ -111,7 +129,7 @@ def later(docs: DataFrame, parts: Callable[[Column], Column], *extra: str) -> Da
     one = twice.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows")).first()
     few = one["n"] <= BROADCAST_ROWS
     repeats = rows.join(F.broadcast(twice.select("h")), "h", "left_semi") if few else attach(rows, twice, "h", "n_rows", one["rows"], "inner")
-    found = stage(repeats, "line-chunks")
+    found = stage(repeats if but is None else repeats.join(but, but.columns, "left_anti"), "line-chunks")
     first = F.min(F.struct("__d", "__t", "k")).alias("first")
     grouped = found.groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n_rows"), first)
     # the bytes are compared here; where a hash has one text, its number stands for it below
@@ -141,9 +159,16 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(__d2, __t2, __ks): numbers of the lines with words that each document loses."""
-    lost = later(docs, units, "n").select("__d", "__t", F.explode(F.sequence("k", F.col("k") + F.col("n") - 1)).alias("k"))
-    return by_document(lost)
+    """(__d2, __t2, __ks): numbers of the lines with words that each document loses, by
+    chunks first, then by the units that no removed chunk holds."""
+
+    def lines(lost: DataFrame) -> DataFrame:
+        last = (F.col("k") + F.col("n") - 1).alias("last")
+        return lost.select("__d", "__t", last, F.explode(F.sequence("k", last)).alias("k"))
+
+    by_chunks = lines(stage(later(docs, placed_chunks, "n"), "line-removed"))
+    held = by_chunks.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).where("k + n - 1 <= last").drop("last")
+    return by_document(by_chunks.unionByName(lines(later(docs, units, "n", but=held))))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Repeated runs of lines go whole, whatever the lengths of their lines."""
 
+import hashlib
 import random
 
 import corpus_pipeline
 from termweave.llm import line_dedup
+from termweave.llm.common import stage
 
 
 def line(chars, seed):
@@ -124,3 +126,43 @@ def test_hashes_that_clash(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "number_of", lambda c: line_dedup.F.length(c) % 3)
     assert want == [sorted(map(tuple, f(frame).collect())) for f in (line_dedup.dedup_lines, line_dedup.dedup_runs)]
     assert want[1] == [tuple(r) for r in by_force(docs)]
+
+
+def chunks_by_force(text):
+    """(first line with words, such lines, counts, text) of the chunks between content-defined bounds."""
+
+    def md5(x):
+        return hashlib.md5(x.encode()).hexdigest()
+
+    lines, out, own, k = text.split("\n"), [], [], 0
+    for i, x in enumerate(lines):
+        own.append(x)
+        rolled = i > 0 and md5(md5(lines[i - 1]) + md5(x))[0] in "048c"
+        if i == len(lines) - 1 or len(x) >= 120 or len(lines[i + 1]) >= 120 or rolled:
+            n = sum(1 for y in own if y.strip())
+            out.append((k, n, sum(2 if len(y) >= 120 and " " in y.strip() else 1 for y in own if y.strip()) >= 2, "\n".join(own)))
+            k, own = k + n, []
+    return out
+
+
+def test_chunks_go_first(spark, monkeypatch):
+    """Runs are removed by content-defined chunks, compared by their bytes; the exact check of
+    pairs and long lines is left with those that no removed chunk holds."""
+    compared = []
+    monkeypatch.setattr(line_dedup, "stage", lambda df, name: compared.append((name, stage(df, name))) or compared[-1][1])
+    texts = {d: t for d, t in rows() if t is not None}
+    frame = spark.createDataFrame(rows(), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_runs(frame).collect()}
+    assert sorted(got.items()) == by_force(rows())
+    seen, gone = set(), set()
+    for d in sorted(texts):
+        for k, n, counts, chunk in chunks_by_force(texts[d]):
+            if counts and chunk in seen:
+                gone.add((d, k, n))
+            elif counts:
+                seen.add(chunk)
+    assert any(n > 2 for _, _, n in gone)
+    by_chunks, checked = [{(r["__d"], r.k, r.n) for r in df.collect()} for name, df in compared if name == "line-chunks"]
+    removed = [{(r["__d"], r.k, r.n) for r in df.collect()} for name, df in compared if name == "line-removed"]
+    assert removed == [gone] and gone <= by_chunks
+    assert checked and not any(d == e and k <= i and i + m <= k + n for d, k, n in gone for e, i, m in checked)
