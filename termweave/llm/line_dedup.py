@@ -19,8 +19,8 @@ which the pipeline takes, removes the repeated chunks in the same way and then c
 what their boundaries leave: every two successive lines with words are a unit (with the lines
 without words between them), and so is every long line. A line goes if its chunk or a unit
 that it is in was found before, so each repeated run of two lines goes whole, and an exact copy
-of such a text becomes empty. Units that lie in a removed chunk are not compared: they are in
-its first occurrence too, so none of them is the first of its kind. The first occurrence of a line
+of such a text becomes empty. Units that a removed chunk holds are settled with it and left out
+of step (3): its first occurrence holds them too, so none is the first of its kind. The first occurrence of a line
 always stays. Lines without words go with the line before them, those at the start with the
 first one that has words. The plan of the check is the same, with units for chunks.
 
@@ -120,8 +120,8 @@ def number_of(chunk: Column) -> Column:
 
 
 def later(docs: DataFrame, parts: Callable[[Column], Column], *extra: str, but: DataFrame | None = None) -> DataFrame:
-    """(__d, __t, k, extra): the parts of texts that were found before. Parts that ``but``
-    names are not compared."""
+    """(__d, __t, k, extra): the parts of texts that were found before, but for those that
+    ``but`` names, which are settled."""
     rows = keyed(docs.where("text IS NOT NULL").select("doc_id", "text"))
     rows = rows.select("__d", "__t", F.explode(F.filter(parts(F.col("text")), lambda c: c["counts"])).alias("c"))
     rows = rows.select("__d", "__t", *[F.col(f"c.{x}").alias(x) for x in ("k", *extra)], F.col("c.text").alias("chunk")).withColumn("h", number_of(F.col("chunk")))
@@ -129,15 +129,17 @@ def later(docs: DataFrame, parts: Callable[[Column], Column], *extra: str, but:
     one = twice.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows")).first()
     few = one["n"] <= BROADCAST_ROWS
     repeats = rows.join(F.broadcast(twice.select("h")), "h", "left_semi") if few else attach(rows, twice, "h", "n_rows", one["rows"], "inner")
-    found = stage(repeats if but is None else repeats.join(but, but.columns, "left_anti"), "line-chunks")
+    found = stage(repeats, "line-chunks")
     first = F.min(F.struct("__d", "__t", "k")).alias("first")
     grouped = found.groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n_rows"), first)
     # the bytes are compared here; where a hash has one text, its number stands for it below
     groups = stage(grouped.select("h", "n_rows", "first"), "line-groups")
     clash = stage(groups.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("h"), "line-clash")
     numbers = found.drop("chunk")
+    if but is not None:  # by numbers, so that no texts are moved
+        numbers = stage(numbers.join(but, but.columns, "left_anti"), "line-open")
     if clash.isEmpty():
-        both = attach(numbers, groups.where("n_rows > 1"), "h", "n_rows", found.count(), "inner")
+        both = attach(numbers, groups.where("n_rows > 1"), "h", "n_rows", numbers.count(), "inner")
     else:
         alone = stage(numbers.join(clash, "h", "left_anti"), "line-alone")
         single = groups.join(clash, "h", "left_anti").where("n_rows > 1")

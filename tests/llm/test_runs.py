@@ -147,7 +147,7 @@ def chunks_by_force(text):
 
 def test_chunks_go_first(spark, monkeypatch):
     """Runs are removed by content-defined chunks, compared by their bytes; the exact check of
-    pairs and long lines is left with those that no removed chunk holds."""
+    pairs and long lines settles those that no removed chunk holds."""
     compared = []
     monkeypatch.setattr(line_dedup, "stage", lambda df, name: compared.append((name, stage(df, name))) or compared[-1][1])
     texts = {d: t for d, t in rows() if t is not None}
@@ -162,7 +162,7 @@ def test_chunks_go_first(spark, monkeypatch):
             elif counts:
                 seen.add(chunk)
     assert any(n > 2 for _, _, n in gone)
-    by_chunks, checked = [{(r["__d"], r.k, r.n) for r in df.collect()} for name, df in compared if name == "line-chunks"]
-    removed = [{(r["__d"], r.k, r.n) for r in df.collect()} for name, df in compared if name == "line-removed"]
-    assert removed == [gone] and gone <= by_chunks
-    assert checked and not any(d == e and k <= i and i + m <= k + n for d, k, n in gone for e, i, m in checked)
+    tables = {name: {(r["__d"], r.k, r.n) for r in df.collect()} for name, df in compared if name in ("line-chunks", "line-removed", "line-open")}
+    assert tables["line-removed"] == gone
+    held = {(e, i, m) for e, i, m in tables["line-chunks"] for d, k, n in gone if d == e and k <= i and i + m <= k + n}
+    assert held and tables["line-open"] == tables["line-chunks"] - held
