@@ -67,6 +67,8 @@ BATCH_DARTS = 400_000
 #: Up to so many pairs of a node are compared one by one, more all at once.
 FEW_PAIRS = 16
 BROADCAST_ROWS = 500_000
+#: Up to so many links are united by one task, more are contracted in rounds first.
+FEW_LINKS = 200_000
 
 
 def shingles(text: str) -> np.ndarray:
@@ -309,30 +311,66 @@ def search_buckets(members: DataFrame, comps: DataFrame, nodes: DataFrame, cells
     return out
 
 
+def united(edges: DataFrame) -> DataFrame:
+    """(u, to) of the nodes of (a, b) edges; ``to`` is the least node of the component. One
+    task takes them all, so they are FEW_LINKS at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[bytes, bytes] = {}
+
+        def find(x: bytes) -> bytes:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        for batch in batches:
+            for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                low, high = sorted((find(a), find(b)))
+                parent[high] = low
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (nodes, [find(x) for x in nodes])], ["u", "to"])
+
+    return edges.select("a", "b").repartition(1).mapInArrow(run, "u binary, to binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of the nodes of (a, b) links; comp is the least node of a component.
 
-    Every node points at its least neighbour or itself, links are contracted along the
-    pointers, until none is left. All tables are written between steps; the nodes of many
-    links are salted.
+    As long as there are more than FEW_LINKS links, every node points at its least neighbour or
+    itself, and links are contracted along the pointers; one task unites the rest. All tables
+    are written between steps; the nodes of many links are salted.
     """
-    edges = stage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "cc-edges")
+    apart = links.where("a <> b")
+    if apart.count() <= FEW_LINKS:
+        return stage(united(apart).select(F.col("u").alias("node"), F.col("to").alias("comp")), "cc-labels")
+    edges = stage(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
     both = edges.select("a").union(edges.select(F.col("b").alias("a"))).distinct()
     labels = stage(both.select(F.col("a").alias("node"), F.col("a").alias("comp")), "cc-labels")
-    while not edges.isEmpty():
+    while (n := edges.count()) > FEW_LINKS:
         ends = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         point = stage(ends.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("to")), "cc-point")
         jump = stage(attach_counted(point, point.select(F.col("u").alias("to"), F.col("to").alias("next")), "to").select("u", F.col("next").alias("to")), "cc-jump")
         moved = stage(attach_counted(edges, jump.select(F.col("u").alias("a"), F.col("to").alias("x")), "a").select("x", "b"), "cc-moved")
         nxt = attach_counted(moved, jump.select(F.col("u").alias("b"), F.col("to").alias("y")), "b").where("x <> y")
         nxt = stage(nxt.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
-        named = stage(attach_counted(labels, jump.select(F.col("u").alias("comp"), "to"), "comp").select("node", F.coalesce("to", "comp").alias("comp")), "cc-labels")
+        named = renamed(labels, jump)
         unstage(edges, labels, point, jump, moved)
         edges, labels = nxt, named
+    if n:
+        last = stage(united(edges), "cc-jump")
+        named = renamed(labels, last)
+        unstage(labels, last)
+        labels = named
     unstage(edges)
     return labels
 
 
+def renamed(labels: DataFrame, jump: DataFrame) -> DataFrame:
+    """(node, comp) with the components moved along (u, to)."""
+    moved = attach_counted(labels, jump.select(F.col("u").alias("comp"), "to"), "comp")
+    return stage(moved.select("node", F.coalesce("to", "comp").alias("comp")), "cc-labels")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, node, comp, class_id) of each row of ``docs``; ``comp`` tells classes apart
     that have no doc_id."""

@@ -131,6 +131,20 @@ def test_components(spark):
     assert found == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, **{200 + i: 200 for i in range(20)}, 260: 200}
 
 
+@pytest.mark.parametrize("few", [0, 10, 100])
+def test_few_links_are_united_at_once(spark, monkeypatch, few):
+    """Rounds alone, rounds and a task for the rest, and one task write the same components;
+    the last writes one table, whatever the diameter."""
+    edges = [(i, i + 1) for i in range(9)] + [(100 + i, 140) for i in range(20)] + [(7, 3), (100, 99), (150, 150)]
+    frame = spark.createDataFrame([(bytearray([a]), bytearray([b])) for a, b in edges], "a binary, b binary")
+    staged = []
+    monkeypatch.setattr(near_dedup, "FEW_LINKS", few, raising=False)
+    monkeypatch.setattr(near_dedup, "stage", lambda df, name, f=near_dedup.stage: staged.append(name) or f(df, name))
+    found = {r.node[0]: r.comp[0] for r in near_dedup.components(frame).collect()}
+    assert found == {**{i: 0 for i in range(10)}, **{100 + i: 99 for i in range(20)}, 99: 99, 140: 99}
+    assert few < len(edges) or staged == ["cc-labels"]
+
+
 def test_decontamination(spark):
     item = "Mary has 5 apples and gives 2 kg to Peter before she walks home with 5 friends along the river bank."
     plain = prose(40, 11)
