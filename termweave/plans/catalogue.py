@@ -335,7 +335,7 @@ def dense_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     vectors = v.select(F.col("vec_id").cast("string").alias("id"), "embedding")
     asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("query_id"), "embedding")
-    return search.vector_search(asked, vectors, 5).select("query_id", "id", F.round("score", 6).alias("score"))
+    return search.vector_search(asked, vectors, 5, digits=6).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 def _customer_results(spark: SparkSession, sf_dir: str, later: bool) -> DataFrame:

@@ -485,3 +485,26 @@ def test_search_of_equal_documents(spark):
     best = lambda scored: sorted(search.top_k(scored, 4).select("query_id", "id", "score").collect())
     assert best(few) == best(every) == sorted(search.sparse_search(asked, docs, 4, bm25=False).select("query_id", "id", "score").collect())
     assert search.candidates(docs, 4).count() == 15 * 4
+
+
+def test_vector_scores_in_tiles():
+    """A block of queries and a block of vectors never give all their scores at once."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    vectors, asked = rng.integers(-2, 3, (5000, 8)).astype(float), rng.integers(-2, 3, (1000, 8)).astype(float)
+    batch = pd.DataFrame({"id": [str(i) for i in range(5000)], "embedding": list(vectors)})
+    tracemalloc.start()
+    got = search.best_of(np.array([str(i) for i in range(1000)], dtype=object), asked, batch, 3, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70e6  # all scores take 40 MB, and each step on them as much again
+    norms = np.where((n := np.linalg.norm(vectors, axis=1)) == 0, 1e-9, n)
+    for q in range(0, 1000, 50):
+        if (size := np.linalg.norm(asked[q])) > 0:
+            scores = (vectors @ asked[q] / norms / size).round(6)
+            want = sorted((-s, str(i)) for i, s in enumerate(scores) if s > 0)[:3]
+            assert [(-s, i) for s, i in zip(*got[got["query_id"] == str(q)][["score", "id"]].values.T)] == want
