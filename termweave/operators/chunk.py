@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Boundaries by preference; each pattern ends where a chunk may end. The last place in
 #: the window counts.
@@ -15,7 +15,7 @@ SENTENCE = re.compile(r"(?s:.*)[.!?;](?=\s)")
 CLAUSE = re.compile(r"(?s:.*)[,:](?=\s)")
 BLANK = re.compile(r"(?s:.*)\s")
 WORD_EDGE = re.compile(r"(?<=\s)|(?=\s)")
-PARTS = "array<struct<chunk_index:int,start:int,end:int,text:string>>"
+CHUNK = "chunk_index int, start int, end int, text string"
 
 
 @dataclass(frozen=True)
@@ -79,17 +79,37 @@ def next_start(text: str, start: int, end: int, overlap: int) -> int:
     return found.start() if found else end
 
 
-def chunk_parts(text: Column, config: ChunkConfig) -> Column:
-    """The chunks of a text as an array, in one Arrow batch call without a shuffle."""
+#: Code points of the texts whose chunks a worker holds at once (one text at least).
+HELD_CHARS = 1 << 20
 
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"chunk_index": k, "start": a, "end": b, "text": t[a:b]} for k, (a, b) in enumerate(split_text(t, config))])
 
-    return F.pandas_udf(run, PARTS)(text)
+def chunk_batches(batches: Iterator[pa.RecordBatch], config: ChunkConfig) -> Iterator[pa.RecordBatch]:
+    """The chunks of batches of (doc_id, text), in batches of the chunks of HELD_CHARS."""
+
+    def made(ids: pa.Array, held: list[tuple]) -> pa.RecordBatch:
+        row, *columns = zip(*held)
+        kinds = pa.int32(), pa.int32(), pa.int32(), pa.string()
+        cut = [pa.array(values, kind) for values, kind in zip(columns, kinds)]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), *cut], ["doc_id", "chunk_index", "start", "end", "text"])
+
+    for batch in batches:
+        ids, texts = batch.column("doc_id"), batch.column("text")
+        held, size = [], 0
+        for row in range(len(texts)):
+            text = texts[row].as_py()
+            held += [(row, k, a, b, text[a:b]) for k, (a, b) in enumerate(split_text(text, config))]
+            size += len(text or "")
+            if held and size >= HELD_CHARS:
+                yield made(ids, held)
+                held, size = [], 0
+        if held:
+            yield made(ids, held)
 
 
 def chunks(documents: DataFrame, config: ChunkConfig = NOTES) -> DataFrame:
     """(doc_id, chunk_index, start, end, text) of each chunk; an empty or null text has
-    none. ``text`` of the source from start to end is the chunk's text."""
-    parts = documents.select("doc_id", F.explode(chunk_parts(F.col("text"), config)).alias("c"))
-    return parts.select("doc_id", "c.*")
+    none. ``text`` of the source from start to end is the chunk's text. Chunks leave a worker
+    in small batches, however many documents come in at once."""
+    rows = documents.select("doc_id", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(lambda batches: chunk_batches(batches, config), f"doc_id {kind}, {CHUNK}")

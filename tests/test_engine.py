@@ -508,3 +508,19 @@ def test_vector_scores_in_tiles():
             scores = (vectors @ asked[q] / norms / size).round(6)
             want = sorted((-s, str(i)) for i, s in enumerate(scores) if s > 0)[:3]
             assert [(-s, i) for s, i in zip(*got[got["query_id"] == str(q)][["score", "id"]].values.T)] == want
+
+
+def test_chunks_leave_in_small_batches(spark, monkeypatch):
+    """What a worker holds of its chunks doesn't grow with the documents of a batch."""
+    import pyarrow as pa
+
+    texts = ["", None, *["Một câu ngắn. " * n for n in (1, 40, 200, 90, 3) * 8]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    want = [(i, k, a, b, t[a:b]) for i, t in enumerate(texts) for k, (a, b) in enumerate(chunk.split_text(t, chunk.NOTES))]
+    rows = chunk.chunks(docs).select("doc_id", "chunk_index", "start", "end", "text")
+    assert rows.schema["doc_id"].dataType.simpleString() == "int" and [tuple(r) for r in rows.collect()] == want
+    monkeypatch.setattr(chunk, "HELD_CHARS", 2000)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    parts = [b.to_pylist() for b in chunk.chunk_batches(iter([batch]), chunk.NOTES)]
+    assert [tuple(r.values()) for p in parts for r in p] == want
+    assert max(sum(len(r["text"]) for r in p) for p in parts) < 2000 + 200 * 14 and len(parts) > 8
