@@ -15,50 +15,65 @@ EMPTY, STRICT, TOLERANT, SALVAGED, FAILED = "empty", "strict", "tolerant", "salv
 FLAT_OBJECT = r"\{[^{}]+\}"
 
 
-def _is(value: Column, kind: str) -> Column:
-    """Whether a variant is of a JSON kind."""
-    schema = F.schema_of_variant(value)
-    return F.coalesce(F.startswith(schema, F.lit(kind)), F.lit(False))
+FIELDS = "struct<text:variant,type:variant,position:variant,assertions:variant,candidates:variant>"
 
 
-def _string(value: Column, path: str) -> Column:
-    """A string field; null if it is something else."""
-    inner = F.try_variant_get(value, path, "variant")
-    return F.when(_is(inner, "STRING"), F.try_variant_get(value, path, "string"))
+def _schema(value: Column) -> Column:
+    """The JSON kind of a variant; empty for none."""
+    return F.coalesce(F.schema_of_variant(value), F.lit(""))
 
 
-def _items(value: Column, path: str) -> Column:
-    """A list field as variants; null if it is something else."""
-    return F.try_variant_get(value, path, "array<variant>")
+def _string(value: Column) -> Column:
+    """A string; null if it is something else."""
+    return F.when(_schema(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
-def entity_of(value: Column, mend: bool) -> Column:
-    """An entity struct from a variant object, null if it is not valid. ``mend`` empties
+def _all(value: Column, kind: str, item: str) -> Column:
+    """A list whose items are all of one JSON kind; null if it is something else."""
+    same = F.when(_schema(value).isin(f"ARRAY<{kind}>", "ARRAY<VOID>"), F.try_variant_get(value, "$", f"array<{item}>"))
+    # a null has no kind of its own
+    return let(same, lambda x: F.when(F.forall(x, lambda y: y.isNotNull()), x))
+
+
+def fields_of(value: Column) -> Column:
+    """The fields of a variant object, taken out once for both readings; ``candidates`` is null
+    where the list is not one of strings."""
+    none = F.array().cast("array<string>")
+
+    def typed(f: Column) -> Column:
+        assertions = F.when(f["assertions"].isNull(), none).otherwise(F.array_distinct(_all(f["assertions"], "STRING", "string")))
+        candidates = F.when(f["candidates"].isNull() | F.is_variant_null(f["candidates"]), none).otherwise(F.try_variant_get(f["candidates"], "$", "array<string>"))
+        return F.struct(_string(f["text"]).alias("text"), _all(f["position"], "BIGINT", "int").alias("position"), _string(f["type"]).alias("type"), assertions.alias("assertions"), candidates.alias("candidates"))
+
+    return let(F.try_variant_get(value, "$", FIELDS), typed)
+
+
+def entity_from(fields: Column, mend: bool) -> Column:
+    """An entity struct from the fields of an object, null if it is not valid. ``mend`` empties
     lists that the type does not allow."""
-    kind, text = _string(value, "$.type"), _string(value, "$.text")
-    places = _items(value, "$.position")
-    position = F.when(F.forall(places, lambda p: _is(p, "BIGINT")), F.try_variant_get(value, "$.position", "array<int>"))
-    missing_assertions = F.try_variant_get(value, "$.assertions", "variant").isNull()
-    marks = _items(value, "$.assertions")
-    assertions = F.when(missing_assertions, F.array().cast("array<string>")).when(F.forall(marks, lambda m: _is(m, "STRING")), F.array_distinct(F.try_variant_get(value, "$.assertions", "array<string>")))
-    raw = F.try_variant_get(value, "$.candidates", "variant")
-    candidates = F.when(raw.isNull() | F.is_variant_null(raw), F.array().cast("array<string>")).otherwise(F.try_variant_get(value, "$.candidates", "array<string>"))
-    if mend:
-        none = F.array().cast("array<string>")
-        assertions = F.when(among(kind, ASSERTION_TYPES), assertions).otherwise(none)
-        candidates = F.when(among(kind, CANDIDATE_TYPES), candidates).otherwise(none)
-    made = F.struct(text.alias("text"), position.alias("position"), kind.alias("type"), assertions.alias("assertions"), candidates.alias("candidates"))
 
     def judge(e: Column) -> Column:
         whole = e["text"].isNotNull() & e["position"].isNotNull() & e["type"].isNotNull() & e["assertions"].isNotNull() & e["candidates"].isNotNull()
         good = whole & (F.size(entity_faults(e["text"], e["position"], e["type"], e["assertions"], e["candidates"])) == 0)
         return F.when(F.coalesce(good, F.lit(False)), e)
 
+    if not mend:
+        return judge(fields)
+    none = F.array().cast("array<string>")
+    assertions = F.when(among(fields["type"], ASSERTION_TYPES), fields["assertions"]).otherwise(none)
+    candidates = F.when(among(fields["type"], CANDIDATE_TYPES), fields["candidates"]).otherwise(none)
+    made = F.struct(fields["text"].alias("text"), fields["position"].alias("position"), fields["type"].alias("type"), assertions.alias("assertions"), candidates.alias("candidates"))
     return let(made, judge)
 
 
+def entity_of(value: Column, mend: bool) -> Column:
+    """An entity struct from a variant object, null if it is not valid."""
+    return let(fields_of(value), lambda f: entity_from(f, mend))
+
+
 def _good(items: Column, mend: bool) -> Column:
-    return F.filter(F.transform(items, lambda v: entity_of(v, mend)), lambda e: e.isNotNull())
+    """The valid entities of an array of fields."""
+    return F.filter(F.transform(items, lambda f: entity_from(f, mend)), lambda e: e.isNotNull())
 
 
 def parse_answer(text: Column) -> Column:
@@ -71,11 +86,11 @@ def parse_answer(text: Column) -> Column:
 
     def flat(t: Column) -> Column:
         parsed = F.transform(F.regexp_extract_all(t, F.lit(FLAT_OBJECT), F.lit(0)), lambda o: F.try_parse_json(o))
-        return _good(F.filter(parsed, lambda v: v.isNotNull()), True)
+        return let(F.transform(F.filter(parsed, lambda v: v.isNotNull()), fields_of), lambda i: _good(i, True))
 
     def read(v: Column) -> Column:
         field = F.try_variant_get(v, "$.entities", "variant")
-        items = F.when(field.isNull(), F.array().cast("array<variant>")).otherwise(_items(v, "$.entities"))
+        items = F.when(field.isNull(), F.array().cast("array<variant>")).otherwise(F.try_variant_get(field, "$", "array<variant>"))
 
         def judge(i: Column) -> Column:
             strict = _good(i, False)
@@ -83,7 +98,7 @@ def parse_answer(text: Column) -> Column:
                 let(strict, lambda s: F.when(F.size(s) == F.size(i), F.struct(F.lit(STRICT).alias("outcome"), s.alias("entities"))).otherwise(F.struct(F.lit(TOLERANT).alias("outcome"), _good(i, True).alias("entities"))))
             )
 
-        return let(items, judge)
+        return let(F.transform(items, fields_of), judge)
 
     value = F.try_parse_json(body)
     return (

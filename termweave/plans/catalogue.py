@@ -27,6 +27,10 @@ ORACLES: dict[str, str] = {}
 SQL_SPACE = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+#: Events of a task: each makes an answer to be parsed.
+EVENT_ROWS = 25_000
+
+
 def query(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
@@ -40,7 +44,7 @@ def query(sql: str | None = None):
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     # texts and JSON cost far more to work on than to move
-    return files.spread(read) if name in ("documents", "conversations", "events") else read
+    return files.spread(read, EVENT_ROWS if name == "events" else None) if name in ("documents", "conversations", "events") else read
 
 
 def sql_fold(x: str) -> str:

@@ -16,11 +16,14 @@ from termweave.sources.scratch import stage
 BYTE_ORDER_MARK = "﻿"
 
 
-def spread(table: DataFrame) -> DataFrame:
+def spread(table: DataFrame, part_rows: int | None = None) -> DataFrame:
     """A table that is read in fewer parts than there are cores, dealt out to all of them, for
-    work that costs more than the copy. Larger tables stay as they are read."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table._jdf.toJavaRDD().getNumPartitions() < cores else table
+    work that costs more than the copy. Larger tables stay as they are read, or are dealt out to
+    parts of ``part_rows`` at most, where very many short rows fit into a part of the usual size."""
+    parts = table.sparkSession.sparkContext.defaultParallelism
+    if part_rows:
+        parts = max(parts, -(-table.count() // part_rows))
+    return table.repartition(parts) if table._jdf.toJavaRDD().getNumPartitions() < parts else table
 
 
 def list_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:

@@ -524,3 +524,15 @@ def test_chunks_leave_in_small_batches(spark, monkeypatch):
     parts = [b.to_pylist() for b in chunk.chunk_batches(iter([batch]), chunk.NOTES)]
     assert [tuple(r.values()) for p in parts for r in p] == want
     assert max(sum(len(r["text"]) for r in p) for p in parts) < 2000 + 200 * 14 and len(parts) > 8
+
+
+def test_short_rows_make_many_parts(spark, tmp_path):
+    """Parts of a table of short rows grow in number, not in size; fields of answers are read
+    once, with nulls and mixed lists as before."""
+    spark.range(200000).write.parquet(str(tmp_path / "t"))
+    assert files.spread(spark.read.parquet(str(tmp_path / "t")), 50_000).rdd.getNumPartitions() > 8
+    item = '{"entities": [{"text": "ho", "type": "THUỐC", "position": %s, "assertions": %s, "candidates": %s}]}'
+    cases = [("[0, 2]", "[]", "null"), ("[0, null]", "[]", "[]"), ("[0, 2.5]", "[]", "[]"), ("[0, 2]", "[null]", "[]"), ("[0, 2]", "null", "[]"), ("[0, 3000000000]", "[]", "[]"), ("[0, 2]", '["isFamily", "isFamily"]', '["1", 2]')]
+    rows = spark.createDataFrame([(k, item % c) for k, c in enumerate(cases)], "k int, generated string")
+    got = [r.entities[0].asDict() if r.entities else None for r in model_json.parse_answers(rows).orderBy("k").collect()]
+    assert [g and (g["position"], g["assertions"], g["candidates"]) for g in got] == [([0, 2], [], []), None, None, None, None, None, ([0, 2], ["isFamily"], ["1", "2"])]
