@@ -278,8 +278,7 @@ r AS (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITIO
 @query(f"WITH {BM25_SQL} SELECT query_id, id, score FROM r WHERE rank <= 5")
 def bm25_topk(spark, sf_dir):
     docs, asked = _document_search(spark, sf_dir)
-    raw = search.Bm25Index.build(docs).scores(asked).withColumn("score", F.round("score", 6))
-    return search.top_k(raw, 5).select("query_id", "id", "score")
+    return search.Bm25Index.build(docs).best(asked, 5, 6).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:

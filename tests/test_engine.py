@@ -536,3 +536,14 @@ def test_short_rows_make_many_parts(spark, tmp_path):
     rows = spark.createDataFrame([(k, item % c) for k, c in enumerate(cases)], "k int, generated string")
     got = [r.entities[0].asDict() if r.entities else None for r in model_json.parse_answers(rows).orderBy("k").collect()]
     assert [g and (g["position"], g["assertions"], g["candidates"]) for g in got] == [([0, 2], [], []), None, None, None, None, None, ([0, 2], ["isFamily"], ["1", "2"])]
+
+
+def test_bm25_best_is_taken_where_documents_are(spark, monkeypatch):
+    docs = spark.createDataFrame([(str(i), " ".join("abcdefgh"[(i * j) % 8] for j in range(1, i % 7 + 2)), []) for i in range(300)], "id string, text string, aliases array<string>")
+    index, asked = search.Bm25Index.build(docs), queries(spark, "a b", "c c-d", "h", "zz", "a a e g")
+    best = lambda: sorted(tuple(r) for r in index.best(asked, 4, 6).select("query_id", "id", "score").collect())
+    want = sorted(tuple(r) for r in search.top_k(index.scores(asked).withColumn("score", F.round("score", 6)), 4).select("query_id", "id", "score").collect())
+    monkeypatch.setattr(search, "BM25_DOCUMENTS", 7)
+    assert best() == want and len(want) == 16
+    monkeypatch.setattr(search, "BM25_QUERIES", 2)
+    assert best() == want
